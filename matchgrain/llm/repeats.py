@@ -4,9 +4,10 @@ A rolling hash of ``GRAM`` bytes cuts each text into phrases: successive starts
 same least hash (the trigger) form one phrase, which reaches to the end of the last of these strings. A trigger
 depends on the string alone, so equal strings lie in phrases of the same trigger, wherever they stand. The parse lists
 the phrases of the corpus, the dictionary its distinct ones with their first places. All starts of a phrase that
-the dictionary has from an earlier place are repeats at once. What is left are suffixes of different phrases of one
-trigger; their order, cut at ``size`` bytes, is built for these phrases only: sorted within each block of text, merged
-across blocks, and combined with the places in corpus order, so that all but the first of equal ones are repeats.
+the dictionary has from an earlier place are repeats at once. What is left are suffixes of different dictionary
+phrases of one trigger; their order, cut at ``size`` bytes and by fingerprint, as only equality counts, is built at the
+first places of these phrases: sorted within each block of text, merged across blocks, and combined with the places in
+corpus order, so that all but the first of equal ones are repeats.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from matchgrain.llm.staging import staged
 from matchgrain.llm.textbytes import POWERS, U, byte_slices, mix, prefix_hash, text_bytes
 
 #: Bytes of a trigger's rolling hash.
-GRAM = 24
+GRAM = 48
 #: Bits of a place that count the byte within its document; the rest number the documents.
 AT_BITS = 30
-#: Most bits of a broadcast filter of triggers. It has 8 to 16 bits for each; beyond, more phrases pass it than need to.
+#: Most bits of a broadcast filter of triggers or places. It has 16 to 32 bits for each; beyond, more phrases pass it than need to.
 FILTER_BITS = 1 << 28
 
 
@@ -86,7 +87,7 @@ class Filter:
 
     def __init__(self, keys: DataFrame, bits: int = FILTER_BITS) -> None:
         """``keys`` has one long column; Spark gathers the set bits, and at most ``bits`` of them reach the driver."""
-        wanted = max(64, keys.count() * 8)
+        wanted = max(64, keys.count() * 16)
         self.bits = min(1 << (wanted - 1).bit_length(), bits)
         words = np.zeros(self.bits // 64, np.uint64)
 
@@ -100,6 +101,7 @@ class Filter:
         self.shared = keys.sparkSession.sparkContext.broadcast(words)
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = mix(keys)
         return keys % U(self.bits), (keys >> U(32)) % U(self.bits)
 
     def __getstate__(self) -> dict:
@@ -159,10 +161,10 @@ def repeated_spans(rows: DataFrame, size: int) -> DataFrame:
     dictionary = staged(parsed.groupBy("trigger", "phrase").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.max("twice").alias("twice")), "dictionary")
     later = parsed.join(dictionary.where("n > 1").select("trigger", "phrase", "first"), ["trigger", "phrase"]).where("place > first")
     mixed = dictionary.groupBy("trigger").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("trigger")
-    several = Filter(staged(mixed, "mixed"))
+    firsts = Filter(staged(dictionary.join(mixed, "trigger").select("first"), "firsts"))
 
     def suffixes(p: Phrases, place: np.ndarray) -> list[np.ndarray]:
-        on = np.flatnonzero(several.passes(p.trigger))
+        on = np.flatnonzero(firsts.passes((place + p.first).view(U)))
         n = p.starts[on]
         owner = np.repeat(on, n)
         begin = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + p.first[owner]
