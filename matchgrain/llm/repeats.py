@@ -5,9 +5,9 @@ same least hash (the trigger) form one phrase, which reaches to the end of the l
 depends on the string alone, so equal strings lie in phrases of the same trigger, wherever they stand. The parse lists
 the phrases of the corpus, the dictionary its distinct ones with their first places. All starts of a phrase that
 the dictionary has from an earlier place are repeats at once. What is left are suffixes of different dictionary
-phrases of one trigger; their order, cut at ``size`` bytes and by fingerprint, as only equality counts, is built at the
-first places of these phrases: sorted within each block of text, merged across blocks, and combined with the places in
-corpus order, so that all but the first of equal ones are repeats.
+phrases of one trigger, taken at their first places. They are brought together by trigger, and a suffix array of them,
+cut at ``size`` bytes and by fingerprint, as only equality counts, gives with the places in corpus order all but the
+first of equal ones. Triggers with many or long phrases would not fit one task; their suffixes are merged by Spark.
 """
 
 from __future__ import annotations
@@ -16,17 +16,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrain.llm.staging import staged
-from matchgrain.llm.textbytes import POWERS, U, byte_slices, mix, prefix_hash, text_bytes
+from matchgrain.llm.textbytes import POWERS, U, byte_slices, mix, prefix_hash, span_hash, text_bytes
 
 #: Bytes of a trigger's rolling hash.
-GRAM = 48
+GRAM = 32
 #: Bits of a place that count the byte within its document; the rest number the documents.
 AT_BITS = 30
+#: Most dictionary phrases of a trigger, and most starts of each, that are sorted together in one task.
+GROUP, STARTS = 256, 512
 #: Most bits of a broadcast filter of triggers or places. It has 16 to 32 bits for each; beyond, more phrases pass it than need to.
 FILTER_BITS = 1 << 28
 
@@ -35,7 +38,7 @@ class Phrases:
     """The phrases of a block of texts: trigger, first start, number of starts, and whether the trigger stands in it twice."""
 
     def __init__(self, column: pa.Array, size: int) -> None:
-        buf, self.offs = text_bytes(column)
+        self.buf, self.offs = buf, _ = text_bytes(column)
         self.hash = prefix_hash(buf)
         n, span = len(buf), size - GRAM + 1
         self.trigger, self.first, self.starts, self.twice = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -60,7 +63,7 @@ class Phrases:
 
     def strings(self, begin: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Fingerprints of the strings that begin at these bytes."""
-        return mix((self.hash[begin + length] - self.hash[begin]) * POWERS.down[begin] + np.asarray(length, np.int64).astype(U))
+        return span_hash(self.hash, begin, begin + length)
 
 
 def sliding(least: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
@@ -136,7 +139,7 @@ def phrase_rows(rows: DataFrame, size: int, out: str, make) -> DataFrame:
             p = Phrases(batch.column(1), size)
             if len(p.first):
                 place = (batch.column(0).to_numpy(zero_copy_only=False)[p.doc] << AT_BITS) - p.offs[p.doc]  # of the document's first byte, less its place in the block
-                columns = [x.view(np.int64) if x.dtype == U else x for x in make(p, place)]
+                columns = [x.view(np.int64) if getattr(x, "dtype", None) == U else x for x in make(p, place)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[c.split()[0] for c in out.split(", ")])
 
     return rows.select("n", "text").mapInArrow(run, out)
@@ -158,25 +161,76 @@ def repeated_spans(rows: DataFrame, size: int) -> DataFrame:
         return [p.trigger[on], p.strings(p.first[on], p.starts[on] + size - 1), place[on] + p.first[on], p.starts[on], p.twice[on]]
 
     parsed = staged(phrase_rows(rows, size, "trigger long, phrase long, place long, starts long, twice boolean", parse), "parse")
-    dictionary = staged(parsed.groupBy("trigger", "phrase").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.max("twice").alias("twice")), "dictionary")
+    entries = parsed.groupBy("trigger", "phrase").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.max("twice").alias("twice"), F.max("starts").alias("starts"))
+    dictionary = staged(entries, "dictionary")
     later = parsed.join(dictionary.where("n > 1").select("trigger", "phrase", "first"), ["trigger", "phrase"]).where("place > first")
-    mixed = dictionary.groupBy("trigger").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("trigger")
-    firsts = Filter(staged(dictionary.join(mixed, "trigger").select("first"), "firsts"))
+    groups = dictionary.groupBy("trigger").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.max("starts").alias("starts")).where("n > 1 or twice")
+    groups = groups.select("trigger", ((F.col("n") > GROUP) | (F.col("starts") > STARTS)).alias("large"))
+    mixed = staged(dictionary.join(groups, "trigger").select("first", "large"), "mixed")
+    both = later.select("place", (F.col("starts") + size - 1).alias("length")).union(small_groups(rows, Filter(mixed.where("not large").select("first")), size))
+    if not mixed.where("large").isEmpty():
+        both = both.union(large_groups(rows, Filter(mixed.where("large").select("first")), size))
+    return both.select(F.shiftright("place", AT_BITS).alias("n"), F.col("place").bitwiseAND((1 << AT_BITS) - 1).cast("int").alias("begin"), F.col("length").cast("int").alias("length"))
+
+
+def small_groups(rows: DataFrame, firsts: Filter, size: int) -> DataFrame:
+    """(place, length) of repeats among the phrases of each trigger, by a suffix array of each task's phrases."""
+
+    def strings(p: Phrases, place: np.ndarray) -> list:
+        on = np.flatnonzero(firsts.passes((place + p.first).view(U)))
+        ends = p.first[on] + p.starts[on] + size - 1
+        return [p.trigger[on], place[on] + p.first[on], [p.buf[a:b].tobytes() for a, b in zip(p.first[on], ends, strict=True)]]
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # the last trigger of a batch may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            trigger = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(trigger, trigger[-1]))
+            if cut or kept and kept[-1].column(0)[0].as_py() != trigger[0]:
+                yield from array_of([*kept, batch.slice(0, cut)])
+                kept = []
+            kept.append(batch.slice(cut))
+        yield from array_of(kept)
+
+    def array_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sum(b.num_rows for b in batches):
+            return
+        table = pa.Table.from_batches(batches).combine_chunks()
+        buf, offs = text_bytes(table.column(2).cast(pa.large_binary()).combine_chunks().view(pa.large_string()))
+        n = np.diff(offs) - size + 1
+        h, owner = prefix_hash(buf), np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        begin = offs[owner] + step
+        place, trigger = table.column(1).to_numpy()[owner] + step, table.column(0).to_numpy()[owner]
+        key = span_hash(h, begin, begin + size)
+        order = np.lexsort((place, key, trigger))
+        place, key, trigger = place[order], key[order], trigger[order]
+        same = np.concatenate([[False], (key[1:] == key[:-1]) & (trigger[1:] == trigger[:-1])])
+        first = place[np.maximum.accumulate(np.where(same, 0, np.arange(len(place))))]
+        again = np.unique(place[same & (place > first)])
+        cut = np.flatnonzero(np.diff(again, prepend=again[:1] - 2) != 1)  # successive starts become one span
+        length = np.diff(cut, append=len(again)) + size - 1
+        yield pa.RecordBatch.from_arrays([pa.array(again[cut]), pa.array(length)], names=["place", "length"])
+
+    found = phrase_rows(rows, size, "trigger long, place long, string binary", strings)
+    return found.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(sort, "place long, length long")
+
+
+def large_groups(rows: DataFrame, firsts: Filter, size: int) -> DataFrame:
+    """The same where a trigger has too many or too long phrases for one task: one row for each suffix."""
 
     def suffixes(p: Phrases, place: np.ndarray) -> list[np.ndarray]:
         on = np.flatnonzero(firsts.passes((place + p.first).view(U)))
         n = p.starts[on]
         owner = np.repeat(on, n)
         begin = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + p.first[owner]
-        key = p.strings(begin, size)
-        order = np.lexsort((begin, key))
-        return [p.trigger[owner][order], key[order], (place[owner] + begin)[order]]
-
-    strings = staged(phrase_rows(rows, size, "trigger long, suffix long, place long", suffixes), "suffixes")
-    merged = strings.groupBy("trigger", "suffix").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
-    single = strings.join(merged, ["trigger", "suffix"]).where("place > first")
-    both = later.select("place", (F.col("starts") + size - 1).alias("length")).union(single.select("place", F.lit(size).cast("long")))
-    return both.select(F.shiftright("place", AT_BITS).alias("n"), F.col("place").bitwiseAND((1 << AT_BITS) - 1).cast("int").alias("begin"), F.col("length").cast("int").alias("length"))
+        return [p.trigger[owner], p.strings(begin, size), place[owner] + begin]
+
+    found = staged(phrase_rows(rows, size, "trigger long, suffix long, place long", suffixes), "suffixes")
+    merged = found.groupBy("trigger", "suffix").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
+    return found.join(merged, ["trigger", "suffix"]).where("place > first").select("place", F.lit(size).cast("long").alias("length"))
 
 
 def runs(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -201,8 +255,15 @@ def remove_repeats(docs: DataFrame, *, size: int = 100, id_col: str = "doc_id",
     """
     rows = numbered(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = repeated_spans(rows, size).groupBy("n").agg(F.collect_list(F.struct("begin", "length")).alias("spans"))
-    told = rows.join(spans, "n", "left").select("id", "text", "spans")
+    spans = staged(repeated_spans(rows, size).groupBy("n").agg(F.collect_list(F.struct("begin", "length")).alias("spans")), "spans")
+    touched = Filter(spans.select("n"))
+
+    def passing(n: pd.Series) -> pd.Series:
+        return pd.Series(touched.passes(n.to_numpy().view(U)))
+
+    marked = rows.withColumn("touched", F.pandas_udf(passing, "boolean")("n"))  # the others need no shuffle
+    told = marked.where("touched").join(spans, "n", "left").select("id", "text", "spans")
+    told = told.union(marked.where("not touched").select("id", "text", F.lit(None).cast("array<struct<begin:int,length:int>>")))
     unnamed = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     told = told.union(unnamed.withColumn("spans", F.lit(None).cast("array<struct<begin:int,length:int>>")))
 
