@@ -16,11 +16,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchgrain.llm.bitfilter import Filter
 from matchgrain.llm.staging import staged
 from matchgrain.llm.textbytes import POWERS, U, byte_slices, mix, prefix_hash, span_hash, text_bytes
 
@@ -30,8 +30,6 @@ GRAM = 32
 AT_BITS = 30
 #: Most dictionary phrases of a trigger, and most starts of each, that are sorted together in one task.
 GROUP, STARTS = 256, 512
-#: Most bits of a broadcast filter of triggers or places. It has 16 to 32 bits for each; beyond, more phrases pass it than need to.
-FILTER_BITS = 1 << 28
 
 
 class Phrases:
@@ -85,36 +83,6 @@ def close_pairs(gram: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
     return np.unique(value[1:][value[1:] == value[:-1]])
 
 
-class Filter:
-    """A bit filter of 64-bit keys: two bits each."""
-
-    def __init__(self, keys: DataFrame, bits: int = FILTER_BITS) -> None:
-        """``keys`` has one long column; Spark gathers the set bits, and at most ``bits`` of them reach the driver."""
-        wanted = max(64, keys.count() * 16)
-        self.bits = min(1 << (wanted - 1).bit_length(), bits)
-        words = np.zeros(self.bits // 64, np.uint64)
-
-        def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bit = np.concatenate(self.places(batch.column(0).to_numpy(zero_copy_only=False).view(U)))
-                yield pa.RecordBatch.from_arrays([pa.array((bit >> U(6)).astype(np.int64)), pa.array((U(1) << (bit & U(63))).view(np.int64))], names=["word", "mask"])
-
-        got = keys.mapInArrow(masks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        words[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(U)
-        self.shared = keys.sparkSession.sparkContext.broadcast(words)
-
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = mix(keys)
-        return keys % U(self.bits), (keys >> U(32)) % U(self.bits)
-
-    def __getstate__(self) -> dict:
-        return {"bits": self.bits, "shared": self.shared} if "shared" in self.__dict__ else {"bits": self.bits}
-
-    def passes(self, keys: np.ndarray) -> np.ndarray:
-        words = self.shared.value
-        return np.logical_and(*((words[bit >> U(6)] >> (bit & U(63))) & U(1) > 0 for bit in self.places(keys)))
-
-
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, n, text) without null ids: n keeps the order of ids. Rows that repeat an id are ordered by a hash of their text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -258,10 +226,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 100, id_col: str = "doc_id",
     spans = staged(repeated_spans(rows, size).groupBy("n").agg(F.collect_list(F.struct("begin", "length")).alias("spans")), "spans")
     touched = Filter(spans.select("n"))
 
-    def passing(n: pd.Series) -> pd.Series:
-        return pd.Series(touched.passes(n.to_numpy().view(U)))
-
-    marked = rows.withColumn("touched", F.pandas_udf(passing, "boolean")("n"))  # the others need no shuffle
+    marked = rows.withColumn("touched", touched.column(F.col("n")))  # the others need no shuffle
     told = marked.where("touched").join(spans, "n", "left").select("id", "text", "spans")
     told = told.union(marked.where("not touched").select("id", "text", F.lit(None).cast("array<struct<begin:int,length:int>>")))
     unnamed = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
