@@ -11,7 +11,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of text that one numpy step works on, so that a task's memory stays bounded.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def byte_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
