@@ -5,11 +5,243 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from matchgrain.functions import listing
+from matchgrain.operators import baseline, fixtures, form, model, value
+from matchgrain.plans import oracle
+from matchgrain.sources import merge
+from matchgrain.sources import surrogate as src
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def agg02_fixture_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    return src.matches(spark, sf).select("match_id", "league", "status", "home_id", "away_id", "home_score", "away_score")
+
+
+@query
+def agg05_team_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return form.splits(src.games(spark, sf))
+
+
+@query
+def agg06_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return form.side_sets(src.games(spark, sf))
+
+
+@query
+def win01_last_n_form(spark: SparkSession, sf: str) -> DataFrame:
+    return form.last_games(src.games(spark, sf), 10).select("team_id", "match_id", "rn", "result", "scored", "conceded")
+
+
+@query
+def agg08_weighted_form(spark: SparkSession, sf: str) -> DataFrame:
+    out = form.weighted(src.games(spark, sf), 10.0)
+    return out.select("team_id", *(F.round(c, 6).alias(c) for c in ("effective_games", "w_points", "w_scored", "w_conceded")))
+
+
+@query
+def agg09_momentum(spark: SparkSession, sf: str) -> DataFrame:
+    out = form.momentum(src.games(spark, sf))
+    return out.select("team_id", "games", *(F.round(c, 6).alias(c) for c in ("d_points", "d_scored", "d_conceded")))
+
+
+@query
+def agg11_opponent_strength(spark: SparkSession, sf: str) -> DataFrame:
+    return form.opponent_strength(src.games(spark, sf, clubs=True)).withColumn("strength", F.round("strength", 6))
+
+
+@query
+def agg12_streak(spark: SparkSession, sf: str) -> DataFrame:
+    return form.streaks(src.games(spark, sf))
+
+
+@query
+def agg13_head_to_head(spark: SparkSession, sf: str) -> DataFrame:
+    return form.head_to_head(src.finals(spark, sf, clubs=True)).drop("last_met")
+
+
+@query
+def agg14_league_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    out = baseline.league_baseline(src.matches(spark, sf))
+    return out.select("league", "n", *(F.round(c, 6).alias(c) for c in ("avg_home", "avg_away", "home_advantage", "margin_sd", "draw_rate")))
+
+
+@query
+def win13_trailing_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    out = baseline.trailing_baseline(src.matches(spark, sf))
+    return out.select("match_id", "league", "n", *(F.round(c, 6).alias(c) for c in ("avg_home", "avg_away", "home_advantage", "draw_rate")))
+
+
+@query
+def agg15_rest_and_congestion(spark: SparkSession, sf: str) -> DataFrame:
+    return form.rest(fixtures.team_games(src.matches(spark, sf)).select("team_id", "match_id", "kickoff")).drop("kickoff")
+
+
+@query
+def jn09_asof_previous_match(spark: SparkSession, sf: str) -> DataFrame:
+    games = src.games(spark, sf)
+    fixtures_ = fixtures.team_games(src.matches(spark, sf).where("status = 'scheduled'")).select("team_id", F.col("match_id").alias("fixture_id"), "kickoff")
+    return form.as_of(fixtures_, games, "team_id", "kickoff", ["match_id", "result"]).select("team_id", "fixture_id", "match_id", "result")
+
+
+@query
+def agg17_injury_burden(spark: SparkSession, sf: str) -> DataFrame:
+    injuries, stats = src.injuries(spark, sf)
+    return baseline.injury_burden(injuries, baseline.appearance_share(stats)).drop("top").withColumn("burden", F.round("burden", 6))
+
+
+@query
+def agg18_appearance_share(spark: SparkSession, sf: str) -> DataFrame:
+    return baseline.appearance_share(src.injuries(spark, sf)[1]).withColumn("importance", F.round("importance", 6))
+
+
+def grid(spark: SparkSession, sf: str) -> DataFrame:
+    return model.score_grid(src.goal_rates(spark, sf))
+
+
+@query
+def mod12_score_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return grid(spark, sf).withColumn("p", F.round("p", 9))
+
+
+@query
+def mkt01_match_odds(spark: SparkSession, sf: str) -> DataFrame:
+    out = model.match_odds(grid(spark, sf))
+    return out.select("match_id", *(F.round(c, 7).alias(c) for c in ("home", "draw", "away", "home_draw", "home_away", "draw_away")))
+
+
+@query
+def mkt03_totals(spark: SparkSession, sf: str) -> DataFrame:
+    out = model.totals(grid(spark, sf))
+    return out.select("match_id", "line", *(F.round(c, 7).alias(c) for c in ("over", "under", "btts", "exp_total", "supremacy")))
+
+
+@query
+def mkt05_correct_score(spark: SparkSession, sf: str) -> DataFrame:
+    return model.correct_scores(grid(spark, sf).withColumn("p", F.round("p", 9)))
+
+
+@query
+def mod09_fit_sweeps3(spark: SparkSession, sf: str) -> DataFrame:
+    out = model.fit_leagues(src.finals(spark, sf, clubs=True), 10.0, sweeps=3)
+    return out.select("league", "team_id", "matches", *(F.round(c, 6).alias(c) for c in ("attack", "defence", "home_advantage")))
+
+
+@query
+def mod09_fit_full(spark: SparkSession, sf: str) -> DataFrame:
+    return model.fit_leagues(src.finals(spark, sf, clubs=True), 10.0)
+
+
+@query
+def fc01_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Markets of the scheduled matches under the fitted ratings."""
+    ratings = model.fit_leagues(src.finals(spark, sf, clubs=True), 10.0)
+    return model.match_odds(model.score_grid(model.rated(src.matches(spark, sf, clubs=True).where("status = 'scheduled'"), ratings)))
+
+
+@query
+def odd05_parse_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    m = src.matches(spark, sf, clubs=True)
+    text = lambda c: c.cast("string")
+    n = F.col("match_id")
+    quotes = m.select(
+        "match_id", F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("p"), text(n % 3))).alias("provider"), text(n % 400 - 200).alias("home"), F.when(n % 5 == 0, "EVEN").otherwise(F.concat(F.lit("+"), text(n % 300 + 100))).alias("draw"),
+        F.when(n % 11 == 0, "OFF").otherwise(text(n % 90 / 10.0)).alias("away"), text(n % 4 + F.when(n % 2 == 0, 0.5).otherwise(0.0)).alias("total"), F.lit("-110").alias("over"), F.lit(" 1.9 ").alias("under"),
+    )
+    return value.parse_quotes(quotes)
+
+
+@query
+def val02_devig(spark: SparkSession, sf: str) -> DataFrame:
+    return value.devig(src.odds(spark, sf)).select("match_id", "provider", "market", "selection", "line", F.round("overround", 8).alias("overround"), F.round("implied", 8).alias("implied"), "quoted", "complete")
+
+
+def bets(spark: SparkSession, sf: str) -> DataFrame:
+    """Value bets on final matches under given probabilities, settled."""
+    results = src.finals(spark, sf, clubs=True).select("match_id", "league", "kickoff", "home_score", "away_score")
+    probability = (F.col("match_id") * 13 + F.length("selection") * 29) % 60 / 100.0 + 0.1
+    models = src.odds(spark, sf).where("provider = 'fd-avg'").select("match_id", "market", "selection", "line", probability.alias("probability"))
+    out = value.value_bets(src.odds(spark, sf), models).join(results, "match_id")
+    return out.withColumn("won", value.settled(*map(F.col, ("market", "selection", "line", "home_score", "away_score"))))
+
+
+@query
+def val05_value_bets(spark: SparkSession, sf: str) -> DataFrame:
+    return bets(spark, sf).select("match_id", "provider", "market", "selection", "line", F.round("edge", 7).alias("edge"), F.round("ev", 7).alias("ev"), "stake", "won")
+
+
+@query
+def bt03_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    out = value.ledger(bets(spark, sf).withColumn("stake", F.lit(0.001)), "league")
+    return out.select("league", "match_id", "provider", "market", "selection", F.round("bankroll", 6).alias("bankroll"), F.round("drawdown", 6).alias("drawdown"))
+
+
+@query
+def agg25_flat_yield(spark: SparkSession, sf: str) -> DataFrame:
+    out = value.flat_yield(bets(spark, sf), "league")
+    return out.select("league", "bets", *(F.round(c, 6).alias(c) for c in ("yield", "stderr", "t")))
+
+
+def market_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """The devigged three-way prices of the first provider beside the outcome of each final match."""
+    p = value.devig(src.odds(spark, sf).where("market = '1x2' and provider = 'fd-avg'")).where("complete")
+    wide = p.groupBy("match_id").agg(*(F.max(F.when(F.col("selection") == s, F.col("implied"))).alias(s) for s in ("home", "draw", "away")))
+    return wide.join(src.finals(spark, sf, clubs=True), "match_id").select("league", "home", "draw", "away", value.actual(F.col("home_score"), F.col("away_score")).alias("outcome"))
+
+
+@query
+def agg22_scores(spark: SparkSession, sf: str) -> DataFrame:
+    out = value.scores(market_forecasts(spark, sf), ["league"])
+    return out.select("league", "n", *(F.round(c, 6).alias(c) for c in ("log_loss", "brier", "accuracy")))
+
+
+@query
+def agg24_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    return value.calibration(market_forecasts(spark, sf)).select("bin", "n", F.round("predicted", 6).alias("predicted"), F.round("observed", 6).alias("observed"))
+
+
+@query
+def flt07_team_semi(spark: SparkSession, sf: str) -> DataFrame:
+    m = src.matches(spark, sf)
+    named = src.competitors(spark, sf).where(F.col("team_id") % 10 == 3).select(F.col("event_id").alias("match_id"))
+    return m.join(named, "match_id", "left_semi").select("match_id", "league", "home_id", "away_id")
+
+
+@query
+def flt08_search(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.search(src.table(spark, sf, "part"), "blue, ECONOMY", ["p_name", "p_type"]).unionByName(listing.search(src.table(spark, sf, "part"), "brand#1", ["p_brand"])).select("p_partkey", "p_name", "p_type")
+
+
+@query
+def flt10_page(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.page(src.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), ["-c_acctbal", "c_custkey"], number=2, size=25, allowed={"c_acctbal", "c_custkey"})
+
+
+@query
+def snk02_merge(spark: SparkSession, sf: str) -> DataFrame:
+    c = src.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    old, new = c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    return merge.upsert(old, new, ["c_custkey"])
+
+
+@query
+def snk09_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    s = src.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return merge.replace_snapshot(s, s.where("s_nationkey < 5 and s_acctbal > 0"), ["s_nationkey"])
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
