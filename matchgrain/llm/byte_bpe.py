@@ -18,7 +18,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 SPLIT = regex.compile(PATTERN)
 #: Distinct pieces whose counts a worker remembers; then it starts afresh. Results never depend on it.
-MEMO_SIZE = 400_000
+MEMO_SIZE = 150_000
 
 
 def byte_letters() -> list[str]:

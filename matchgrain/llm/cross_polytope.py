@@ -62,7 +62,7 @@ def by_width(rows: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, flat[starts[at][:, None] + np.arange(w)]
 
 
-def search(vectors: DataFrame, *, query_every: int = 20, k: int = 20, tables: int = 8, probe: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, *, query_every: int = 20, k: int = 20, tables: int = 10, probe: int = 24, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> DataFrame:
     """The k candidates with the largest inner product for each query, of those that some probed bucket holds.
 
     Queries are the rows whose id is divisible by ``query_every``; candidates all rows but the query's own. Rows

@@ -18,7 +18,7 @@ from matchgrain.llm.staging import staged
 #: A space beside other white space: there a text cannot be cut before each space.
 MIXED = re.compile(r"\s | \s")
 #: Distinct chunks that a worker remembers; then it starts afresh. Results never depend on it.
-MEMO_SIZE = 300_000
+MEMO_SIZE = 100_000
 #: Groups by which rows of one length are numbered, so that no task gets all rows of a frequent length.
 SALTS = 512
 

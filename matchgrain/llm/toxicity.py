@@ -25,7 +25,7 @@ STEMS = (3, 4, 5, 6, 7)
 #: Most labelled rows that the classifier is fitted on, a sample by a hash of the id; and most features it may use.
 TRAIN_ROWS, FEATURES = 20_000, 4096
 #: Distinct chunks of text that a worker remembers; then it starts afresh. Results never depend on it.
-MEMO_SIZE = 300_000
+MEMO_SIZE = 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Single characters with separators between them: four or more.
