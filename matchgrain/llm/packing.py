@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ from matchgrain.llm.staging import staged
 MIXED = re.compile(r"\s | \s")
 #: Distinct chunks that a worker remembers; then it starts afresh. Results never depend on it.
 MEMO_SIZE = 100_000
+#: Texts that the tokenizer encodes at once, and documents of one step: its results take much more memory than the texts.
+ENCODED, STEP = 500, 64
 #: Groups by which rows of one length are numbered, so that no task gets all rows of a frequent length.
 SALTS = 512
 
@@ -32,7 +35,10 @@ class ChunkIds:
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), ENCODED):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + ENCODED], add_special_tokens=False)]
+        return out
 
     def documents(self, texts: list[str]) -> list[bytes]:
         """The identifiers of each text. A text is cut before its spaces where no piece can cross them."""
@@ -60,6 +66,7 @@ class ChunkIds:
 
 @lru_cache(maxsize=1)
 def chunk_ids(path: str) -> ChunkIds:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work
     return ChunkIds(path)
 
 
@@ -69,8 +76,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = chunk_ids(vocabulary), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, STEP):
+                batch = whole.slice(at, STEP)
                 rows: list[tuple] = []
                 for r, ids in enumerate(ids_of.documents([t or "" for t in batch.column(1).to_pylist()])):
                     data = ids + end

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from matchgrain.llm.textbytes import byte_slices
+
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -242,7 +244,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     model = BoostedTrees(*examples(EXAMPLES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, text_col):
             rows = []
             for t in batch.column(1).to_pylist():
                 base, spans = all_spans(t or "", model)
@@ -265,7 +267,7 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, text_col):
             texts = [None if t is None else redacted(t, all_spans(t, model)[1]) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns)], names=names)
 
