@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Most bytes of rows in one Arrow batch between the JVM and Python; a longer row is a batch of its own.
+BATCH_BYTES = 4_000_000
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES, so that tasks with long texts hold few of them at once."""
+    if not 0 < int(spark.conf.get(BATCH_LIMIT).removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
