@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from matchgrain.llm.staging import bound_batches
+
 import heapq
 import json
 import re
@@ -126,6 +128,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     empty (0 bytes, 0 tokens); null ids stay; repeated rows stay repeated; other columns are ignored; an empty
     table gives an empty result. Returns id, n_bytes, n_tokens, over_limit (n_tokens > limit).
     """
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, added = load(vocabulary)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchgrain.llm.staging import bound_batches
 from matchgrain.llm.textbytes import ALNUM, U, byte_slices, gram_hash, lower_ascii, prefix_hash, span_hash, text_bytes, word_spans
 
 #: Most bytes of benchmark text that are broadcast at once; more items are tiled in several blocks, one after another.
@@ -81,6 +82,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, cove
     contaminated, n_items, item_ids (ascending), max_coverage (0 without a shared seed), n_tiles (of contaminating
     items).
     """
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.min("t").alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))

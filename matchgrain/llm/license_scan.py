@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchgrain.llm.staging import bound_batches
 from matchgrain.llm.textbytes import ALNUM, byte_slices, lower_ascii, prefix_hash, span_hash, string_hash, text_bytes, word_spans
 
 #: Phrases whose words stand consecutively, and their labels: fixed values.
@@ -92,6 +93,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
     an empty result. Returns id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest
     containment met, 1 with a phrase, else 0), blocks (line and template label of each match).
     """
+    bound_batches(docs.sparkSession)
     vocabulary = sorted({w for t in templates for w in t.split()})
     known = Templates(templates, word_counts(docs, vocabulary, text_col), threshold)
     order = np.argsort(known.codes)

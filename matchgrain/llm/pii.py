@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from matchgrain.llm.staging import bound_batches
 from matchgrain.llm.textbytes import byte_slices
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -241,6 +242,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     ignored; an empty table gives an empty result. Returns id, n_email, n_ip, n_card, n_phone, base_sha256 (of the
     base spans), spans (base and added), redacted (the text without them; null for null).
     """
+    bound_batches(docs.sparkSession)
     model = BoostedTrees(*examples(EXAMPLES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +264,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The same rows with all spans of each text replaced by the names of their kinds; null texts stay null."""
+    bound_batches(docs.sparkSession)
     model = BoostedTrees(*examples(EXAMPLES))
     names = docs.columns
     place = names.index(text_col)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchgrain.llm.staging import bound_batches
 from matchgrain.llm.textbytes import byte_slices, lower_ascii, text_bytes
 
 #: What a written character may stand for besides itself: fixed values of the channel.
@@ -233,6 +234,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     are ignored; empty tables are fine (without labels every score is 0.5). Returns id, held_out, score, predicted
     (1 from ``cut`` on).
     """
+    bound_batches(docs.sparkSession)
     held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = CharModel(char_counts(docs, text_col))
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)").where(~held(F.col("_id")))
