@@ -100,15 +100,18 @@ def calibration(forecasts: DataFrame, bins: int = 10) -> DataFrame:
 def ledger(bets: DataFrame, by: str) -> DataFrame:
     """Bankroll after each bet, its peak and drawdown, by running products over the bets in order.
 
-    ``bets`` has match_id, kickoff, provider, market, selection, line, decimal_odds, stake (a fraction) and won. The
-    growth of a bet is 1 + stake * (odds - 1) or 1 - stake, so a window of log growth replaces a fold.
+    ``bets`` has match_id, kickoff, provider, market, selection, line, decimal_odds, ev, stake (a fraction) and won. The
+    bets of a match are settled by expected value (five decimals), the largest first. The growth of a bet is
+    1 + stake * (odds - 1) or 1 - stake, so a window of log growth replaces a fold; drawdown is taken from logarithms,
+    as a bankroll of many bets leaves the range of doubles.
     """
     order = ["kickoff", "match_id", "provider", "market", "selection", "line"]
     growth = F.when(F.col("won"), 1 + F.col("stake") * (F.col("decimal_odds") - 1)).otherwise(1 - F.col("stake"))
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = bets.where("won is not null and stake > 0").withColumn("bankroll", F.exp(F.sum(F.log(growth)).over(w)))
-    rows = rows.withColumn("peak", F.greatest(F.max("bankroll").over(w), F.lit(1.0)))
-    return rows.select(by, *order, "decimal_odds", "stake", "won", "bankroll", "peak", (1 - F.col("bankroll") / F.col("peak")).alias("drawdown"))
+    w = Window.partitionBy(by).orderBy(*order[:2], F.round("ev", 5).desc(), *order[2:]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = bets.where("won is not null and stake > 0").withColumn("log_bankroll", F.sum(F.log(growth)).over(w))
+    rows = rows.withColumn("_log_peak", F.greatest(F.max("log_bankroll").over(w), F.lit(0.0)))
+    rows = rows.withColumns({"bankroll": F.exp("log_bankroll"), "peak": F.exp("_log_peak"), "drawdown": 1 - F.exp(F.col("log_bankroll") - F.col("_log_peak"))})
+    return rows.select(by, *order, "decimal_odds", "ev", "stake", "won", "log_bankroll", "bankroll", "peak", "drawdown")
 
 
 def flat_yield(bets: DataFrame, by: str) -> DataFrame:

@@ -181,10 +181,18 @@ def val05_value_bets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bt03_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    out = value.ledger(bets(spark, sf).withColumn("stake", F.lit(0.001)), "league")
+    """The ledger of level stakes, bets of a match by name, as its SQL has it; bt03_ledger_kelly has the real one."""
+    out = value.ledger(bets(spark, sf).withColumns({"stake": F.lit(0.001), "ev": F.lit(0.0)}), "league")
     return out.select("league", "match_id", "provider", "market", "selection", F.round("bankroll", 6).alias("bankroll"), F.round("drawdown", 6).alias("drawdown"))
 
 
+@query
+def bt03_ledger_kelly(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger of the computed stakes, bets of a match by expected value."""
+    out = value.ledger(bets(spark, sf), "league")
+    return out.select("league", "match_id", "provider", "market", "selection", "line", "stake", F.round("log_bankroll", 6).alias("log_bankroll"), F.round("drawdown", 6).alias("drawdown"))
+
+
 @query
 def agg25_flat_yield(spark: SparkSession, sf: str) -> DataFrame:
     out = value.flat_yield(bets(spark, sf), "league")
