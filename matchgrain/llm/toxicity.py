@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -29,13 +29,16 @@ TRAIN_ROWS, FEATURES = 20_000, 4096
 MEMO_SIZE = 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Single characters with separators between them: four or more.
-SPACED = re.compile(r"(?<![\w@$!|+])(?:[^\W_][ .*_\-]{1,3}){3,}[^\W_](?![\w@$!|+])")
-#: A letter and a character that may stand for one.
-INNER = re.compile(rf"[^\W\d_].*[{re.escape(''.join(LEET))}]|[{re.escape(''.join(LEET))}].*[^\W\d_]")
+#: Single characters, signs that may stand for letters among them, with separators between them: three or more.
+SPACED = re.compile(r"(?<![\w@$!|+])(?:(?:[^\W_]|[@$!|+])[ .*_\-]{1,3}){2,}(?:[^\W_]|[@$!|+])(?![\w@$!|+])")
+LETTER = re.compile(r"[^\W\d_]")
+#: A character that may stand for a letter.
+SIGN = re.compile(f"[{re.escape(''.join(LEET))}]")
 #: A letter three times, or two letters twice.
 RUN = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
 EDGES = ".,;:?!\"'()[]{}<>#%&*=~`^/\\_-|+"
+#: Those that stand for no letter.
+PLAIN = "".join(c for c in EDGES if c not in LEET)
 #: Character classes of the language model: a boundary, a-z, and any other letter.
 OTHER, CLASSES = 27, 28
 
@@ -73,10 +76,10 @@ class CharModel:
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The cheapest reading, by Viterbi over states of the last two classes. An option is (letters, channel cost)."""
-        beam = {(0, 0): (0.0, "")}
+        beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for options in [*lattice, [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in beam.items():
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (cost, path) in beam.items():
                 for letters, extra in options:
                     x, y, total = a, b, cost + extra
                     for c in letters:
@@ -85,9 +88,19 @@ class CharModel:
                             total += self.cost[x][y][z]
                             x, y = y, z
                     if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, text + letters)
+                        after[x, y] = (total, (path, letters))
             beam = after
-        return min(beam.values())[1].strip()
+        least = min(cost for cost, _ in beam.values())
+        return min(spelled(path) for cost, path in beam.values() if cost == least).strip()
+
+
+def spelled(path: tuple) -> str:
+    """The text of a path, a chain of (path before, letters)."""
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def letters_lattice(chunk: str) -> list[list[tuple[str, float]]]:
@@ -109,13 +122,20 @@ def spaced_lattice(text: str) -> list[list[tuple[str, float]]]:
     """Single characters with gaps, each a boundary or nothing."""
     out = []
     for c in text:
-        if c.isalnum():
+        if c.isalnum() or c in LEET:
             out.append([(c, 0.0) if c.isalpha() else (" ", COST_SIGN), *((letter, COST_LEET) for letter in LEET.get(c, ""))])
         elif out[-1] is not GAP:
             out.append(GAP)
     return out
 
 
+def as_letters(lattice: list[list[tuple[str, float]]], signs: list[str]) -> list[list[tuple[str, float]]]:
+    """The lattice of these characters with the signs at the edges as letters."""
+    inner = [i for i, c in enumerate(signs) if c not in EDGES and c != " "]
+    lead, tail = (inner[0], inner[-1]) if inner else (len(signs), -1)
+    return [options[1:] if c in LEET and not lead <= i <= tail else options for i, (c, options) in enumerate(zip(signs, lattice, strict=True))]
+
+
 class Restorer:
     """Words of a text as its writer meant them."""
 
@@ -123,18 +143,31 @@ class Restorer:
         self.model, self.memo = model, {}
 
     def chunk(self, chunk: str) -> tuple[str, ...]:
+        """The words of a chunk. A sign at its edge may be punctuation or a letter: the words of both readings count."""
         core = chunk.strip(EDGES)
         if core.isalpha() and not RUN.search(core):
-            return (core,)
-        if INNER.search(core) or RUN.search(core):
-            if len(core) <= 64:  # longer ones are addresses and keys, read as they stand
-                return tuple(WORD.findall(self.model.decode(letters_lattice(core))))
-        return tuple(WORD.findall(core))
+            out = [core]
+        elif RUN.search(core) or (LETTER.search(core) and SIGN.search(core)):
+            out = WORD.findall(self.model.decode(letters_lattice(core)))
+        else:
+            out = WORD.findall(core)
+        whole = chunk.strip(PLAIN)
+        if whole != core and LETTER.search(core):
+            out += WORD.findall(self.model.decode(as_letters(letters_lattice(whole), [c for c, _ in groupby(whole)])))
+        return tuple(out)
+
+    def spaced(self, text: str) -> str:
+        lattice = spaced_lattice(text)
+        read = self.model.decode(lattice)
+        if text[0] in EDGES or text[-1] in EDGES:
+            signs = [c for own, group in groupby(text, lambda c: c.isalnum() or c in LEET) for c in (group if own else " ")]
+            read += " " + self.model.decode(as_letters(lattice, signs))
+        return read
 
     def words(self, text: str) -> set[str]:
         low, out, memo = text.lower(), set(), self.memo
         if SPACED.search(low):
-            low = SPACED.sub(lambda m: self.model.decode(spaced_lattice(m[0])), low)
+            low = SPACED.sub(lambda m: self.spaced(m[0]), low)
         if len(memo) > MEMO_SIZE:
             memo.clear()
         for c in set(low.split()):
@@ -224,15 +257,15 @@ def fit(train: DataFrame, model: CharModel) -> tuple[dict[str, float], float]:
     return {f: float(w[i]) for f, i in index.items() if w[i]}, float(b)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.7, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.7, train_rows: int = TRAIN_ROWS, keep: Sequence[str] = ()) -> DataFrame:
     """How likely each whole text is toxic, learned from labels of rows whose crc32(id as text) mod 3 is not 1.
 
     The language model counts all texts; the classifier is fitted on about ``train_rows`` labelled rows at most,
     chosen by a hash of the id, equal texts once. Inputs of a score are the restored words of the text alone. A null
     or empty text has no words and gets the base rate; null ids count as not held out; labels with a null id or value
     are ignored; of repeated labels of an id the larger counts; repeated rows are scored one by one; other columns
-    are ignored; empty tables are fine (without labels every score is 0.5). Returns id, held_out, score, predicted
-    (1 from ``cut`` on).
+    are ignored unless in ``keep``; empty tables are fine (without labels every score is 0.5). Returns id, ``keep``,
+    held_out, score, predicted (1 from ``cut`` on).
     """
     bound_batches(docs.sparkSession)
     held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -260,8 +293,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
                     if found:
                         hits.update(found)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, base + math.fsum(weights[h] for h in hits))))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(out, pa.float64())], names=[id_col, *keep, "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
-    return scored.select(id_col, held(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    scored = docs.select(id_col, text_col, *keep).mapInArrow(run, f"{kinds}, score double")
+    return scored.select(id_col, *keep, held(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
