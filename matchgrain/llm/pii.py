@@ -205,16 +205,17 @@ class BoostedTrees:
 
 
 def all_spans(text: str, model: BoostedTrees) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, base and added spans). Of overlapping candidates the likelier stays; base spans always do."""
+    """(base spans, base and added spans). Of overlapping candidates the likelier stays, unless a base span covers it; base spans always do."""
     base, proposed = base_spans(text), candidates(text)
     if not proposed:
         return base, base
     p = model.probability(np.array([features(text, *c) for c in proposed]))
     good = [(-round(float(q), 9), c) for q, c in zip(p, proposed, strict=True) if q >= model.thresholds.get(KINDS.index(c[0]), 0.5)]
-    taken = sorted((s, e) for _, s, e in base)
+    taken: list[tuple[int, int]] = []
     added: list[tuple[str, int, int]] = []
     for _, (kind, start, end) in sorted(good):
-        if not any(s < end and start < e for s, e in taken):
+        covered = any(s <= start and end <= e for _, s, e in base)
+        if not covered and not any(s < end and start < e for s, e in taken):
             taken.append((start, end))
             added.append((kind, start, end))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
