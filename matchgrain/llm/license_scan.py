@@ -29,6 +29,20 @@ TEMPLATES = {
     "all rights reserved no part may be reproduced without written permission": "all-rights-reserved",
 }
 
+#: Words that tell licenses apart: those that must stand where a template is met, and those that must not.
+TELLING = {
+    "mit": ({"mit"}, set()),
+    "apache-2": ({"apache", "2"}, set()),
+    "cc-by-nc": ({"nc"}, set()),
+    "cc-by-sa": ({"sa"}, set()),
+    "cc-by": ({"cc"}, {"nc", "sa", "nd"}),
+    "gpl-3": ({"gnu", "3"}, {"lesser", "library", "affero"}),
+    "lgpl": ({"lesser"}, set()),
+    "mpl-2": ({"mozilla", "2"}, set()),
+}
+#: Words of a window for each word of its template.
+SPREAD = 2
+
 
 def word_counts(docs: DataFrame, words: list[str], text_col: str) -> dict[str, int]:
     """How often each of these words stands in all texts; the driver gets one row a word."""
@@ -52,50 +66,65 @@ def word_counts(docs: DataFrame, words: list[str], text_col: str) -> dict[str, i
 
 
 class Templates:
-    """Template token sets in the corpus' order of frequency, rarest first, and their prefix filters."""
+    """Template token sets in the corpus' order of frequency, rarest first, and their filters."""
 
-    def __init__(self, templates: dict[str, str], counts: dict[str, int], threshold: float) -> None:
-        self.labels, self.sets, self.need = [], [], []
-        self.prefixes: dict[int, list[tuple[int, int]]] = {}
+    def __init__(self, templates: dict[str, str], counts: dict[str, int], threshold: float, telling: dict[str, tuple[set[str], set[str]]]) -> None:
+        self.labels, self.sets, self.need, self.width, self.telling = [], [], [], [], []
         rank = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
         self.codes = np.array([string_hash(w) for w in sorted(rank, key=rank.get)], np.uint64)  # by rank
-        for k, (text, label) in enumerate(templates.items()):
+        for text, label in templates.items():
             tokens = sorted({rank[w] for w in text.split()})
-            need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
             self.labels.append(label)
             self.sets.append(tokens)
-            self.need.append(need)
-            for place, token in enumerate(tokens[: len(tokens) - need + 1]):
-                self.prefixes.setdefault(token, []).append((k, place))
-
-    def matches(self, block: list[int]) -> list[tuple[int, float]]:
-        """(template, containment) of the templates met by a block, given as its sorted template-token ranks."""
-        out, seen, held = [], set(), set(block)
-        for token in block:
-            for k, place in self.prefixes.get(token, ()):
-                # positional filter: this is the block's first token of the template, so those before it are missing
-                if k in seen or len(block) < self.need[k] or len(self.sets[k]) - place < self.need[k]:
+            self.need.append(max(1, math.ceil(threshold * len(tokens) - 1e-9)))
+            self.width.append(SPREAD * len(text.split()))
+            self.telling.append(tuple({rank[w] for w in words} for words in telling.get(label, (set(), set()))))
+
+    def matches(self, token: np.ndarray, place: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, float, bool]]:
+        """(template, first, last, containment, told) of the windows that meet a template, by their first word.
+
+        ``token`` are the ranks of template words, ``place`` their places among all words, ``end`` the ends of their
+        texts. ``first`` and ``last`` are indices of the shortest run from the window's first word that meets it;
+        ``told`` says whether the words that tell the template apart agree.
+        """
+        for k, tokens in enumerate(self.sets):
+            need, (must, never) = self.need[k], self.telling[k]
+            own = np.flatnonzero(np.isin(token, tokens))
+            at = place[own]
+            stop = np.searchsorted(at, np.minimum(at + self.width[k], end[own]))
+            rare = np.concatenate([[0], np.cumsum(np.isin(token[own], tokens[: len(tokens) - need + 1]))])
+            begin = np.arange(len(own))
+            for lo in np.flatnonzero((stop - begin >= need) & (rare[stop] > rare[begin])):  # length and prefix filters
+                part = token[own[lo : stop[lo]]].tolist()
+                held = set(part)
+                # positional filter: the rarest word held is the first of the template's that is, so those before it are missing
+                if len(tokens) - tokens.index(min(held)) < need or len(held) < need:
                     continue
-                seen.add(k)
-                common = sum(t in held for t in self.sets[k][place:])
-                if common >= self.need[k]:
-                    out.append((k, common / len(self.sets[k])))
-        return out
+                seen: set[int] = set()
+                for hi, t in enumerate(part):
+                    seen.add(t)
+                    if len(seen) >= need:
+                        break
+                run = token[own[lo] : own[lo + hi] + 1]
+                yield k, int(own[lo]), int(own[lo + hi]), len(held) / len(tokens), must <= held and not never & {*run.tolist()}
 
 
-def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, telling: dict[str, tuple[set[str], set[str]]] = TELLING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """License phrases and template-like blocks of each whole text.
 
-    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A block is a line. A block meets a
-    template if it holds at least ``threshold`` of the template's distinct words; tokens are ordered by their count
-    over all texts, rarest first, and only blocks with a token of a template's prefix are compared. Phrases may run
-    over line ends. A null text is empty; ids may be null or repeat; other columns are ignored; an empty table gives
-    an empty result. Returns id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest
-    containment met, 1 with a phrase, else 0), blocks (line and template label of each match).
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A block is a window of SPREAD times a
+    template's words, from any word on and over line ends. A block meets the template if it holds at least
+    ``threshold`` of its distinct words; tokens are ordered by their count over all texts, rarest first, and only
+    blocks with a token of the template's prefix are compared. Of the labels met, licenses has those whose ``telling``
+    words agree: (all of these in the block, none of those inside the match). Phrases may run over line ends. A null
+    text is empty; ids may be null or repeat; other columns are ignored; an empty table gives an empty result. Returns
+    id, n_words, n_base, first_word, last_word, base_labels, labels, licenses, score (the largest containment met, 1
+    with a phrase, else 0), blocks (first line and template label of each run of overlapping matches).
     """
     bound_batches(docs.sparkSession)
-    vocabulary = sorted({w for t in templates for w in t.split()})
-    known = Templates(templates, word_counts(docs, vocabulary, text_col), threshold)
+    telling = {label: words for label, words in telling.items() if label in templates.values()}
+    vocabulary = sorted({w for t in templates for w in t.split()}.union(*(a | b for a, b in telling.values())))
+    known = Templates(templates, word_counts(docs, vocabulary, text_col), threshold, telling)
     order = np.argsort(known.codes)
     ranked = known.codes[order]
     spelled = [(np.array([string_hash(w) for w in p.split()], np.uint64), label) for p, label in phrases.items()]
@@ -125,36 +154,32 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
                     low[d] = place if low[d] < 0 else min(low[d], place)
                     high[d] = max(high[d], place)
                     base[d].add(label)
-        labels = [set(x) for x in base]
+        labels, licenses = [set(x) for x in base], [set(x) for x in base]
         score = np.array([1.0 if x else 0.0 for x in base])
         blocks: list[list[dict]] = [[] for _ in range(n)]
         if len(h) and len(ranked):
             at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
             w = np.flatnonzero(ranked[at] == h)
-            token = order[at[w]]
-            line = np.cumsum(raw == 10)[starts[w]] if len(w) else w  # lines before the word in the whole slice
-            key = doc[w] * (len(raw) + 1) + line
-            cut = np.flatnonzero(np.diff(key)) + 1
-            rare = np.zeros(len(known.codes), bool)
-            rare[list(known.prefixes)] = True
-            least, lines_before = min(known.need), np.concatenate([[0], np.cumsum(raw == 10)])[offs]
-            for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(w)]]), strict=True):
-                if hi - lo < least or not rare[token[lo:hi]].any():  # length and prefix filters
-                    continue
+            breaks = np.concatenate([[0], np.cumsum(raw == 10)])
+            open_block = (-1, -1)  # template and last word of the run of matches before
+            for k, lo, hi, share, told in known.matches(order[at[w]], w, first[doc[w] + 1]):
                 d = doc[w[lo]]
-                for k, share in known.matches(sorted({*token[lo:hi].tolist()})):
-                    labels[d].add(known.labels[k])
-                    score[d] = max(score[d], share)
-                    blocks[d].append({"line": int(line[lo] - lines_before[d]), "label": known.labels[k]})
+                labels[d].add(known.labels[k])
+                if told:
+                    licenses[d].add(known.labels[k])
+                score[d] = max(score[d], share)
+                if open_block[0] != k or lo > open_block[1] or doc[w[open_block[1]]] != d:
+                    blocks[d].append({"line": int(breaks[starts[w[lo]]] - breaks[offs[d]]), "label": known.labels[k]})
+                open_block = k, hi
         none = low < 0
         join = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(id_col), pa.array(np.diff(first), pa.int64()), pa.array(n_base), pa.array(low.astype(np.int64), mask=none), pa.array(high.astype(np.int64), mask=none),
-                join(base), join(labels), pa.array(score), pa.array(blocks, pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string())]))),
+                join(base), join(labels), join(licenses), pa.array(score), pa.array(blocks, pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string())]))),
             ],
-            names=[id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"],
+            names=[id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "licenses", "score", "blocks"],
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line:long,label:string>>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, licenses string, score double, blocks array<struct<line:long,label:string>>")
