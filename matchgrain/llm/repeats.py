@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrain.llm.bitfilter import Filter
-from matchgrain.llm.staging import staged
+from matchgrain.llm.staging import bound_batches, staged
 from matchgrain.llm.textbytes import POWERS, U, byte_slices, mix, prefix_hash, span_hash, text_bytes
 
 #: Bytes of a trigger's rolling hash.
@@ -30,6 +31,8 @@ GRAM = 32
 AT_BITS = 30
 #: Most dictionary phrases of a trigger, and most starts of each, that are sorted together in one task.
 GROUP, STARTS = 256, 512
+#: About so many bytes of phrases are sorted at once in a task; the phrases of one trigger always are, up to GROUP * (STARTS + size) bytes.
+SORT_BYTES = 500_000
 
 
 class Phrases:
@@ -154,12 +157,16 @@ def small_groups(rows: DataFrame, firsts: Filter, size: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            trigger = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(trigger, trigger[-1]))
-            if cut or kept and kept[-1].column(0)[0].as_py() != trigger[0]:
-                yield from array_of([*kept, batch.slice(0, cut)])
+            trigger, at = batch.column(0).to_numpy(), 0
+            bytes_to = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
+            for cut in (np.flatnonzero(trigger[1:] != trigger[:-1]) + 1 if batch.num_rows > 1 else ()):  # where a trigger ends
+                if bytes_to[cut - 1] - (bytes_to[at - 1] if at else 0) >= SORT_BYTES:
+                    yield from array_of([*kept, batch.slice(at, cut - at)])
+                    kept, at = [], int(cut)
+            if kept and kept[-1].column(0)[-1].as_py() != trigger[at] and sum(b.nbytes for b in kept) >= SORT_BYTES:
+                yield from array_of(kept)
                 kept = []
-            kept.append(batch.slice(cut))
+            kept.append(batch.slice(at))
         yield from array_of(kept)
 
     def array_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +228,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 100, id_col: str = "doc_id",
     Other columns are ignored; an empty table gives an empty result. Returns id, n_bytes, n_removed, n_spans,
     kept_sha256 (of what is left), removed (the runs as begin and end).
     """
+    bound_batches(docs.sparkSession)
     rows = numbered(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     spans = staged(repeated_spans(rows, size).groupBy("n").agg(F.collect_list(F.struct("begin", "length")).alias("spans")), "spans")
@@ -233,7 +241,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 100, id_col: str = "doc_id",
     told = told.union(unnamed.withColumn("spans", F.lit(None).cast("array<struct<begin:int,length:int>>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches):
             cols: list[list] = [[], [], [], [], []]
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 data, last, parts = (text.as_py() or "").encode(), 0, []
