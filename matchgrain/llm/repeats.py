@@ -104,6 +104,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def phrase_rows(rows: DataFrame, size: int, out: str, make) -> DataFrame:
     """``make`` turns the phrases of each block of texts and the places of their documents into columns."""
+    names, kinds = zip(*((c.split()[0], {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]]) for c in out.split(", ")), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text", 500_000):
@@ -111,7 +112,7 @@ def phrase_rows(rows: DataFrame, size: int, out: str, make) -> DataFrame:
             if len(p.first):
                 place = (batch.column(0).to_numpy(zero_copy_only=False)[p.doc] << AT_BITS) - p.offs[p.doc]  # of the document's first byte, less its place in the block
                 columns = [x.view(np.int64) if getattr(x, "dtype", None) == U else x for x in make(p, place)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[c.split()[0] for c in out.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
 
     return rows.select("n", "text").mapInArrow(run, out)
 
