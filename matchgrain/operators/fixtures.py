@@ -12,19 +12,21 @@ def score_of(score: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?[0-9]{1,9}$"), F.try_to_number(F.regexp_replace(text, r"^\+", ""), F.lit("S999999999"))).cast("int")
 
 
-def pivot(competitors: DataFrame) -> DataFrame:
+def pivot(competitors: DataFrame, facts: tuple[str, ...] = ()) -> DataFrame:
     """One row for each event with exactly two competitors.
 
     ``competitors`` has event_id, team_id, home_away, score, ord. Where the labels are one 'home' and one 'away', they
-    decide; otherwise the smaller ``ord`` is away and the other home. One shuffle on the event.
+    decide; otherwise the smaller ``ord`` is away and the other home. ``facts`` are columns of the event, taken from a
+    row labelled home. One shuffle on the event, of aggregates of fixed size.
     """
     side = F.struct("ord", "home_away", "team_id", "score")
-    both = competitors.groupBy("event_id").agg(F.sort_array(F.collect_list(side)).alias("c")).where(F.size("c") == 2)
-    one, two = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    more = [F.max(F.when(F.col("home_away") == "home", F.struct(*facts))).alias("facts")] if facts else []
+    both = competitors.groupBy("event_id").agg(F.count("*").alias("n"), F.min(side).alias("one"), F.max(side).alias("two"), *more).where("n = 2")
+    one, two = F.col("one"), F.col("two")
     swapped = (one["home_away"] == "home") & (two["home_away"] == "away")
     pick = lambda field: (F.when(swapped, one[field]).otherwise(two[field]), F.when(swapped, two[field]).otherwise(one[field]))
     (home, away), (hs, as_) = pick("team_id"), pick("score")
-    return both.select("event_id", home.alias("home_id"), away.alias("away_id"), hs.alias("home_score"), as_.alias("away_score"))
+    return both.select("event_id", home.alias("home_id"), away.alias("away_id"), hs.alias("home_score"), as_.alias("away_score"), *(F.col(f"facts.{c}").alias(c) for c in facts))
 
 
 def completed(fixtures: DataFrame, before: Column | None = None) -> DataFrame:

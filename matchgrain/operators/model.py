@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 GOALS, RATE_FLOOR, LINES, TOP_SCORES = 10, 1e-6, (0.5, 1.5, 2.5, 3.5, 4.5), 8
 #: Least matches of a fit, least effective matches of a reliable one, sweeps and tolerance of the fit.
 MIN_MATCHES, MIN_EFFECTIVE, SWEEPS, TOLERANCE = 20, 60.0, 200, 1e-9
-RATINGS = "league string, team_id long, attack double, defence double, home_advantage double, rho double, matches long, effective double, converged boolean, sweeps int"
+RATINGS = "league string, team_id long, attack double, defence double, home_advantage double, rho double, matches long, effective double, converged boolean, sweeps int, reliable boolean"
 
 
 def poisson(goals: Column, rate: Column) -> Column:
@@ -32,19 +32,23 @@ def low_score(hg: Column, ag: Column, lam: Column, mu: Column, rho: Column) -> C
 def score_grid(rates: DataFrame) -> DataFrame:
     """(match_id, hg, ag, p) for rows (match_id, lam, mu, rho): 121 cells a fixture, which sum to 1.
 
-    The cells are generated beside their fixture and its total is folded over the same array, so nothing is shuffled.
+    Each side's Poisson terms are computed once a fixture, and the total is the product of their sums but for the
+    four low scores, so nothing is shuffled and each cell is a product of two terms.
     """
-    cells = F.array(*(F.struct(F.lit(h).alias("hg"), F.lit(a).alias("ag")) for h in range(GOALS + 1) for a in range(GOALS + 1)))
     lam, mu, rho = F.col("lam"), F.col("mu"), F.col("rho")
-    raw = lambda c: F.greatest(poisson(c["hg"], lam) * poisson(c["ag"], mu) * low_score(c["hg"], c["ag"], lam, mu, rho), F.lit(0.0))
-    grid = F.transform(cells, lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), raw(c).alias("q")))
-    total = F.aggregate("grid", F.lit(0.0), lambda s, c: s + c["q"])
-    out = rates.withColumn("grid", grid).withColumn("total", total)
-    return out.select("match_id", "total", F.explode("grid").alias("c")).select("match_id", "c.hg", "c.ag", (F.col("c.q") / F.col("total")).alias("p"))
+    terms = lambda rate: F.array(*(poisson(F.lit(g), rate) for g in range(GOALS + 1)))
+    out = rates.select("match_id", "lam", "mu", "rho", terms(lam).alias("h"), terms(mu).alias("a"))
+    add = lambda c: sum((F.get(c, F.lit(g)) for g in range(1, GOALS + 1)), F.get(c, F.lit(0)))
+    cell = lambda h, a: F.get("h", h) * F.get("a", a)
+    q = lambda h, a: F.greatest(cell(h, a) * low_score(h, a, lam, mu, rho), F.lit(0.0))
+    low = sum((q(F.lit(h), F.lit(a)) - cell(F.lit(h), F.lit(a)) for h, a in ((0, 0), (0, 1), (1, 0), (1, 1))), F.lit(0.0))
+    out = out.withColumn("total", add("h") * add("a") + low).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit((GOALS + 1) ** 2 - 1))))
+    out = out.withColumns({"hg": F.floor(F.col("i") / (GOALS + 1)).cast("int"), "ag": (F.col("i") % (GOALS + 1)).cast("int")})
+    return out.select("match_id", "hg", "ag", F.try_divide(q(F.col("hg"), F.col("ag")), F.col("total")).alias("p"))
 
 
 def fair(p: Column) -> Column:
-    return F.when(p > 0, F.round(1 / p, 3))
+    return F.when(p > 0, F.round(F.try_divide(F.lit(1.0), p), 3))
 
 
 def match_odds(grid: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ def best_rho(hg: np.ndarray, ag: np.ndarray, w: np.ndarray, lam: np.ndarray, mu:
     if not low.any() or lo >= hi:
         return 0.0
     best = 0.0
-    for _ in range(5):
+    for _ in range(4):
         grid = np.linspace(lo, hi, 61)
         value = [float((w[low] * log_tau(hg[low], ag[low], lam[low], mu[low], r)).sum()) for r in grid]
         best, step = float(grid[int(np.argmax(value))]), (hi - lo) / 60
@@ -120,27 +124,47 @@ def fit_group(home: np.ndarray, away: np.ndarray, hg: np.ndarray, ag: np.ndarray
     return {"attack": att, "defence": dfc, "home_advantage": ha, "rho": best_rho(hg, ag, w, lam, mu), "converged": converged, "sweeps": done}
 
 
-def fit_leagues(fixtures: DataFrame, half_life_days: float = 120.0, sweeps: int = SWEEPS) -> DataFrame:
-    """Ratings of every team of each league with at least MIN_MATCHES final fixtures, weighted by age.
+def weight(age: Column, half_life_days: float) -> Column:
+    """The weight of a match so many days old."""
+    return F.exp(-math.log(2) / half_life_days * F.greatest(age, F.lit(0.0)))
+
+
+def days_between(since: Column, until: Column) -> Column:
+    return (F.unix_micros(until.cast("timestamp")) - F.unix_micros(since.cast("timestamp"))) / 86_400_000_000.0
 
-    Matches of one pairing and score are summed first, so a task gets at most teams squared times scores rows of a
-    league, however long its history. ``fixtures`` has league, home_id, away_id, scores and kickoff.
+
+def fit_pairs(rows: DataFrame, by: list[str], sweeps: int = SWEEPS) -> DataFrame:
+    """Ratings of every team of each group with at least MIN_MATCHES matches and two teams.
+
+    ``rows`` has the group, home_id, away_id, the scores, w (summed weight) and n, one row for each pairing and score,
+    so a task gets at most teams squared times scores rows, however long the history. A fit is reliable if it
+    converged over an effective MIN_EFFECTIVE matches.
     """
-    latest = fixtures.groupBy("league").agg(F.max("kickoff").alias("anchor"))
-    age = (F.unix_micros(F.col("anchor").cast("timestamp")) - F.unix_micros(F.col("kickoff").cast("timestamp"))) / 86_400_000_000.0
-    weight = F.exp(-math.log(2) / half_life_days * F.greatest(age, F.lit(0.0)))
-    rows = fixtures.join(F.broadcast(latest), "league").groupBy("league", "home_id", "away_id", "home_score", "away_score").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by) + RATINGS.removeprefix("league string")
+    names = [c.split()[0].strip("`") for c in kinds.split(", ")]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["home_id", "away_id", "home_score", "away_score"])
         teams = np.unique(pdf[["home_id", "away_id"]].to_numpy())
         if pdf["n"].sum() < MIN_MATCHES or len(teams) < 2:
-            return pd.DataFrame(columns=[c.split()[0] for c in RATINGS.split(", ")])
+            return pd.DataFrame(columns=names)
         at = lambda c: np.searchsorted(teams, pdf[c].to_numpy())
         got = fit_group(at("home_id"), at("away_id"), pdf["home_score"].to_numpy(float), pdf["away_score"].to_numpy(float), pdf["w"].to_numpy(), len(teams), sweeps)
-        return pd.DataFrame({"league": pdf["league"].iloc[0], "team_id": teams, "matches": pdf["n"].sum(), "effective": pdf["w"].sum()} | got)[[c.split()[0] for c in RATINGS.split(", ")]]
+        group = {c: pdf[c].iloc[0] for c in by}
+        return pd.DataFrame(group | {"team_id": teams, "matches": pdf["n"].sum(), "effective": pdf["w"].sum(), "reliable": got["converged"] and pdf["w"].sum() >= MIN_EFFECTIVE} | got)[names]
 
-    return rows.groupBy("league").applyInPandas(fit, RATINGS)
+    return rows.groupBy(*by).applyInPandas(fit, kinds)
+
+
+def fit_leagues(fixtures: DataFrame, half_life_days: float = 120.0, sweeps: int = SWEEPS) -> DataFrame:
+    """Ratings of every team of each league from final fixtures, weighted by age before the league's latest.
+
+    ``fixtures`` has league, home_id, away_id, scores and kickoff; matches of one pairing and score are summed first.
+    """
+    latest = fixtures.groupBy("league").agg(F.max("kickoff").alias("anchor"))
+    w = weight(days_between(F.col("kickoff"), F.col("anchor")), half_life_days)
+    rows = fixtures.join(latest, "league").groupBy("league", "home_id", "away_id", "home_score", "away_score").agg(F.sum(w).alias("w"), F.count("*").alias("n"))
+    return fit_pairs(rows, ["league"], sweeps)
 
 
 def rated(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:

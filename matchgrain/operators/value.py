@@ -18,14 +18,19 @@ def american_to_decimal(a: Column) -> Column:
 def price(text: Column) -> Column:
     """A quoted price as decimal odds: EVEN is 2, numbers between 1 and 100 are decimal, others American; else null.
 
-    Prices outside 1.001 to 1000 are null; results have four decimals.
+    Plus signs are dropped first. Prices outside 1.001 to 1000 are null; results have four decimals.
     """
-    t = F.upper(F.trim(text))
-    number = F.expr("cast(null as double)") if text is None else F.when(t.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), F.regexp_replace(t, r"^\+", "").try_cast("double"))
-    decimal = F.when(t.isin("EVEN", "EV"), F.lit(2.0)).when((number > 1) & (number < 100) & ~t.startswith("+"), number).otherwise(american_to_decimal(number))
+    t = F.upper(F.replace(F.trim(text), F.lit("+"), F.lit("")))
+    number = F.when(t.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)(E-?[0-9]+)?$"), t.try_cast("double"))
+    decimal = F.when(t.isin("EVEN", "EV"), F.lit(2.0)).when((number > 1) & (number < 100), number).otherwise(american_to_decimal(number))
     return F.when(decimal.between(1.001, 1000), F.round(decimal, 4))
 
 
+def boxed_price(text: Column, fields: tuple[str, ...] = ("moneyLine", "moneyline", "decimal", "value", "odds")) -> Column:
+    """The price of JSON text: a plain value, or the first field of an object that holds a price."""
+    return F.coalesce(*(price(F.get_json_object(text, f"$.{f}")) for f in fields), price(text))
+
+
 def half_line(v: Column) -> Column:
     """A totals line as text if it is no whole number, else null."""
     return F.when(v % 1 != 0, v.cast("string"))
@@ -43,6 +48,26 @@ def parse_quotes(quotes: DataFrame) -> DataFrame:
     return out.select("match_id", "provider", "r.*")
 
 
+#: The parts of a provider's entry that are read, objects as JSON text.
+PAYLOAD = "items array<struct<provider: struct<id: string, name: string>, homeTeamOdds: string, awayTeamOdds: string, drawOdds: string, overUnder: string, overOdds: string, underOdds: string, bothTeamsToScoreOdds: string>>"
+
+
+def parse_payloads(payloads: DataFrame) -> DataFrame:
+    """Up to seven priced rows of each provider entry of (match_id, payload as JSON text); entries without a provider id are dropped.
+
+    Returns match_id, provider, provider_name, market, selection, line, decimal_odds, and raw, the prices as read.
+    """
+    items = payloads.select("match_id", F.explode(F.from_json("payload", PAYLOAD)["items"]).alias("i")).where("i.provider.id <> ''")
+    line = half_line(F.col("i.overUnder").try_cast("double"))
+    inner = ("decimal", "decimalOdds", "value", "moneyLine", "american")
+    row = lambda market, selection, odds, at=None: F.struct(F.lit(market).alias("market"), F.lit(selection).alias("selection"), (F.lit("") if at is None else at).alias("line"), odds.alias("decimal_odds"))
+    three = [row("1x2", s, boxed_price(F.col(f"i.{c}"))) for s, c in (("home", "homeTeamOdds"), ("away", "awayTeamOdds"), ("draw", "drawOdds"))]
+    two = [row("totals", s, F.when(line.isNotNull(), boxed_price(F.col(f"i.{s}Odds"), inner)), F.coalesce(line, F.lit(""))) for s in ("over", "under")]
+    btts = [row("btts", s, boxed_price(F.get_json_object("i.bothTeamsToScoreOdds", f"$.{s}"), inner)) for s in ("yes", "no")]
+    rows = F.explode(F.filter(F.array(*three, *two, *btts), lambda r: r["decimal_odds"].isNotNull())).alias("r")
+    return items.select("match_id", F.col("i.provider.id").alias("provider"), F.coalesce("i.provider.name", F.lit("")).alias("provider_name"), rows, F.to_json("i").alias("raw")).select("match_id", "provider", "provider_name", "r.*", "raw")
+
+
 def devig(odds: DataFrame) -> DataFrame:
     """Implied probabilities normalised within a provider's market, its overround and whether all outcomes are quoted."""
     w = Window.partitionBy(*GROUP)

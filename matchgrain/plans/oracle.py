@@ -52,15 +52,28 @@ forecasts as (select league, max(implied) filter (selection = 'home') as home, m
   from devig join finals using (match_id) where market = '1x2' and provider = 'fd-avg' group by match_id, league)"""
 )
 
+#: Matches with the number of the fit in force, every 200 matches, and the matches before each fit under the fit's name.
+PLANNED = """
+counted as (select *, count(*) over (partition by league order by epoch_us(kickoff) range between unbounded preceding and 1 preceding) as before from finals),
+planned as (select *, case when before >= 20 then (sum((before >= 20)::int) over (partition by league order by kickoff, match_id rows unbounded preceding) - 1)::bigint // 200 end as point from counted),
+anchors as (select league, point, min(kickoff) as anchor from planned where point is not null group by all)"""
+HISTORY = "select f.* exclude (league), f.league || '#' || point as league, exp(-ln(2) / 10 * (epoch_us(anchor) - epoch_us(kickoff)) / 86400000000.0) as w from finals f join anchors x on f.league = x.league and f.kickoff < x.anchor"
+
+#: The error function as 7.1.26 of Abramowitz and Stegun has it.
+ERF = "(((((1.061405429::double * t - 1.453152027::double) * t) + 1.421413741::double) * t - 0.284496736::double) * t + 0.254829592::double) * t"
+
 RECORD = """count(*) as played, count(*) filter (result = 'win') as wins, count(*) filter (result = 'draw') as draws, count(*) filter (result = 'loss') as losses,
   sum(scored)::bigint as scored, sum(conceded)::bigint as conceded, avg(scored) as avg_scored, avg(conceded) as avg_conceded,
   (count(*) filter (result = 'win') + 0.5::double * count(*) filter (result = 'draw')) / count(*) as win_pct, sum(points)::bigint as points"""
 
 
-def fit_sweeps(n: int) -> str:
+AGED = "select f.*, exp(-ln(2) / 10 * (epoch_us(max(kickoff) over (partition by league)) - epoch_us(kickoff)) / 86400000000.0) as w from finals f"
+
+
+def fit_blocks(n: int, aged: str) -> str:
     """The rating fit as a chain of common table expressions, one block for each step of a sweep."""
-    out = """
-aged as (select f.*, exp(-ln(2) / 10 * (epoch_us(max(kickoff) over (partition by league)) - epoch_us(kickoff)) / 86400000000.0) as w from finals f),
+    out = f"""
+aged as ({aged}),
 pairs as (select league, home_id, away_id, sum(w) as w, sum(w * home_score) as hg, sum(w * away_score) as ag, count(*) as n from aged group by all),
 sums as (select league, team_id, sum(s) as s, sum(c) as c from (select league, home_id as team_id, hg as s, ag as c from pairs union all select league, away_id, ag, hg from pairs) group by all),
 size as (select league, sum(n)::bigint as matches from pairs group by league),
@@ -77,7 +90,11 @@ dd{i} as (select league, team_id, sum(d) as d from (select p.league, p.away_id a
 ad{i} as (select a.league, a.team_id, a.att, greatest(c / d, 1e-6) as def from an{i} a join sums using (league, team_id) join dd{i} using (league, team_id)),
 hh{i} as (select p.league, greatest(sum(hg) / sum(w * h.att * a.def), 1e-6) as ha from pairs p join ad{i} h on h.league = p.league and h.team_id = p.home_id join ad{i} a on a.league = p.league and a.team_id = p.away_id group by p.league),
 r{i} as (select a.league, a.team_id, a.att, a.def, h.ha from ad{i} a join hh{i} h using (league))"""
-    return out + f"""
+    return out
+
+
+def fit_sweeps(n: int) -> str:
+    return fit_blocks(n, AGED) + f"""
 select league, team_id, matches, round(att, 6) as attack, round(def, 6) as defence, round(ha, 6) as home_advantage from r{n} join size using (league) where matches >= 20"""
 
 
@@ -133,6 +150,34 @@ select match_id, round(home, 7) as home, round(draw, 7) as draw, round(away, 7)
 select match_id, line, round(over_p, 7) as "over", round(1 - over_p, 7) as "under", round(btts, 7) as btts, round(eh + ea, 7) as exp_total, round(eh - ea, 7) as supremacy from t""",
         "mkt05_correct_score": f"{clubs}, {GRID}, r as (select match_id, hg, ag, round(p, 9) as p from grid) select match_id, hg, ag, p, row_number() over (partition by match_id order by p desc, hg, ag)::int as rank from r qualify rank <= 8",
         "mod09_fit_sweeps3": f"{clubs}, {fit_sweeps(3)}",
+        "mkt07_fair_odds": f"""{clubs}, {GRID}, o as (select match_id, sum(p) filter (hg > ag) as home, sum(p) filter (hg = ag) as draw, sum(p) filter (hg < ag) as away from grid group by match_id)
+select match_id, round(1 / home, 3) as fair_home, round(1 / draw, 3) as fair_draw, round(1 / away, 3) as fair_away, round(1 / (home + draw), 3) as fair_home_draw from o""",
+        "bt04_walk_forward": f"""{clubs}, {PLANNED}, {fit_blocks(3, HISTORY)}
+select match_id, p.league, before, point, case when h.att is not null and a.att is not null then round(greatest(h.att * a.def * h.ha, 1e-6), 6) end as lam, case when h.att is not null and a.att is not null then round(greatest(a.att * h.def, 1e-6), 6) end as mu,
+  case when point is null then 'no_history' when h.att is null or a.att is null then 'unknown_team' end as skipped
+from planned p left join r3 h on h.league = p.league || '#' || point and h.team_id = home_id left join r3 a on a.league = p.league || '#' || point and a.team_id = away_id""",
+        "bt05_account": f"""{clubs}, {PLANNED}, seen as (select x.league, point, home_id as team_id from finals f join anchors x on f.league = x.league and f.kickoff < anchor union select x.league, point, away_id from finals f join anchors x on f.league = x.league and f.kickoff < anchor),
+r as (select p.*, case when p.point is null then 'no_history' when h.team_id is null or a.team_id is null then 'unknown_team' end as skipped from planned p
+  left join seen h on h.league = p.league and h.point = p.point and h.team_id = home_id left join seen a on a.league = p.league and a.point = p.point and a.team_id = away_id)
+select league, count(*) filter (skipped is null) as scored, count(*) filter (skipped = 'no_history') as skipped_no_history, count(*) filter (skipped = 'unknown_team') as skipped_unknown_team, count(distinct point) as refits from r group by league""",
+        "odd03_payload": f"""{clubs}, q as (select match_id, match_id as n, 1.5::double + match_id % 300 / 100.0::double as d from matches where match_id % 4 <> 0),
+u as (select match_id, '1x2' as market, 'home' as selection, '' as line, 1 + (n % 150 + 100) / 100.0::double as o from q
+  union all select match_id, '1x2', 'away', '', d from q union all select match_id, '1x2', 'draw', '', (n % 89 + 1.5::double) from q
+  union all select match_id, 'totals', 'over', '2.5', 1 + 100 / 110.0::double from q where n % 3 = 0 union all select match_id, 'totals', 'under', '2.5', 2.0::double from q where n % 3 = 0
+  union all select match_id, 'btts', 'yes', '', 1.8::double from q where n % 2 = 0)
+select match_id, 'p' || match_id % 3 as provider, 'name ' || match_id % 3 as provider_name, market, selection, line, round(o, 4) as decimal_odds from u where o between 1.001 and 1000""",
+        "prjn01_projection": f"""{clubs}, split as (select team_id, side as split, count(*) as played, avg(scored) as s, avg(conceded) as c from games group by all union all select team_id, 'overall', count(*), avg(scored), avg(conceded) from games group by all),
+latest as (select * from finals qualify row_number() over (partition by league order by kickoff desc, match_id desc) <= 200),
+base as (select league, case when stddev_pop(home_score - away_score) > 0 then stddev_pop(home_score - away_score) else 10 end as sd, avg((home_score = away_score)::int) as dr from latest group by league),
+f as (select m.match_id, m.league, m.home_id, m.away_id, (case when h.played >= 3 then h.s else ho.s end + case when a.played >= 3 then a.c else ao.c end) / 2 as eh, (case when a.played >= 3 then a.s else ao.s end + case when h.played >= 3 then h.c else ho.c end) / 2 as ea,
+  least(ho.played, ao.played) as g, sd, dr from matches m join base using (league) join split ho on ho.team_id = m.home_id and ho.split = 'overall' join split ao on ao.team_id = m.away_id and ao.split = 'overall'
+  left join split h on h.team_id = m.home_id and h.split = 'home' left join split a on a.team_id = m.away_id and a.split = 'away' where m.status = 'scheduled'),
+z as (select *, abs((eh - ea) / sd) / sqrt(2) as z, 1 / (1 + 0.3275911::double * abs((eh - ea) / sd) / sqrt(2)) as t from f),
+c as (select *, case when eh >= ea then 1 - 0.5::double * {ERF} * exp(-z * z) else 0.5::double * {ERF} * exp(-z * z) end as share from z),
+p as (select *, round((1 - dr) * share, 4) as h, round(dr, 4) as d, round((1 - dr) * (1 - share), 4) as a from c)
+select match_id, league, home_id, away_id, round(eh, 6) as expected_home, round(ea, 6) as expected_away, round(eh - ea, 6) as margin,
+  round(case when h >= d and h >= a then 1 - d - a else h end, 4) as home_win, round(case when (h < d or h < a) and d >= a then 1 - h - a else d end, 4) as draw, round(case when (h < d or h < a) and d < a then 1 - h - d else a end, 4) as away_win,
+  case when g >= 4 then 'medium' else 'low' end as confidence from p""",
         "odd05_parse_quotes": f"""{clubs}, q as (select match_id, match_id as n, case when match_id % 7 = 0 then '' else 'p' || match_id % 3 end as provider, (match_id % 400 - 200)::varchar as home,
   case when match_id % 5 = 0 then 'EVEN' else '+' || (match_id % 300 + 100) end as draw, case when match_id % 11 = 0 then 'OFF' else (match_id % 90 / 10.0::double)::varchar end as away,
   match_id % 4 + case when match_id % 2 = 0 then 0.5::double else 0.0::double end as total, '-110' as "over", ' 1.9 ' as "under" from matches where match_id % 7 <> 0),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrain.functions import listing
-from matchgrain.operators import baseline, fixtures, form, model, value
+from matchgrain.operators import baseline, fixtures, form, model, projection, value, walkforward
 from matchgrain.plans import oracle
 from matchgrain.sources import merge
 from matchgrain.sources import surrogate as src
@@ -130,6 +130,11 @@ def mkt05_correct_score(spark: SparkSession, sf: str) -> DataFrame:
     return model.correct_scores(grid(spark, sf).withColumn("p", F.round("p", 9)))
 
 
+@query
+def mkt07_fair_odds(spark: SparkSession, sf: str) -> DataFrame:
+    return model.match_odds(grid(spark, sf)).select("match_id", "fair_home", "fair_draw", "fair_away", model.fair(F.col("home_draw")).alias("fair_home_draw"))
+
+
 @query
 def mod09_fit_sweeps3(spark: SparkSession, sf: str) -> DataFrame:
     out = model.fit_leagues(src.finals(spark, sf, clubs=True), 10.0, sweeps=3)
@@ -160,6 +165,54 @@ def odd05_parse_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return value.parse_quotes(quotes)
 
 
+@query
+def odd03_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Provider payloads as JSON text: boxed, signed and worded prices, a line that can push, an entry without a provider."""
+    n = F.col("match_id")
+    text = lambda c: c.cast("string")
+    item = F.struct(
+        F.struct(F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("p"), text(n % 3))).alias("id"), F.concat(F.lit("name "), text(n % 3)).alias("name")).alias("provider"),
+        F.struct(F.concat(F.lit("+"), text(n % 150 + 100)).alias("moneyLine")).alias("homeTeamOdds"), F.struct(F.lit("OFF").alias("moneyLine"), (1.5 + n % 300 / 100.0).alias("decimal")).alias("awayTeamOdds"),
+        (n % 89 + 1.5).alias("drawOdds"), F.when(n % 3 == 0, 2.5).otherwise(3.0).alias("overUnder"), F.lit(-110).alias("overOdds"), F.struct(F.lit("EVEN").alias("american")).alias("underOdds"),
+        F.when(n % 2 == 0, F.struct(F.lit("1.8").alias("yes"), F.lit("N/A").alias("no"))).alias("bothTeamsToScoreOdds"),
+    )
+    payloads = src.matches(spark, sf, clubs=True).select("match_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
+    return value.parse_payloads(payloads).drop("raw")
+
+
+@query
+def prjn01_projection(spark: SparkSession, sf: str) -> DataFrame:
+    m = src.matches(spark, sf, clubs=True)
+    out = projection.project(m.where("status = 'scheduled'"), form.splits(fixtures.team_games(fixtures.completed(m))), baseline.league_baseline(m))
+    return out.withColumns({c: F.round(c, 6) for c in ("expected_home", "expected_away", "margin")})
+
+
+def replayed(spark: SparkSession, sf: str, sweeps: int = model.SWEEPS) -> DataFrame:
+    finals = src.finals(spark, sf, clubs=True)
+    planned = walkforward.schedule(finals, 200)
+    return walkforward.forecasts(planned, walkforward.fits(finals, planned, 10.0, sweeps))
+
+
+@query
+def bt04_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
+    return replayed(spark, sf, 3).select("match_id", "league", "before", "point", F.round("lam", 6).alias("lam"), F.round("mu", 6).alias("mu"), "skipped")
+
+
+@query
+def bt05_account(spark: SparkSession, sf: str) -> DataFrame:
+    return walkforward.account(replayed(spark, sf, 3))
+
+
+@query
+def bt06_report(spark: SparkSession, sf: str) -> DataFrame:
+    return walkforward.report(walkforward.outcomes(replayed(spark, sf)))
+
+
+@query
+def bt07_half_life_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return walkforward.half_life_sweep(src.finals(spark, sf, clubs=True), [5.0, 20.0], 400)
+
+
 @query
 def val02_devig(spark: SparkSession, sf: str) -> DataFrame:
     return value.devig(src.odds(spark, sf)).select("match_id", "provider", "market", "selection", "line", F.round("overround", 8).alias("overround"), F.round("implied", 8).alias("implied"), "quoted", "complete")

@@ -26,13 +26,10 @@ def competitors(spark: SparkSession, sf_dir: str, clubs: bool = False) -> DataFr
 
 def matches(spark: SparkSession, sf_dir: str, clubs: bool = False) -> DataFrame:
     """match_id, league, kickoff, status, home_id, away_id, home_score, away_score; a team never plays itself."""
-    rows = competitors(spark, sf_dir, clubs)
-    facts = rows.where("home_away = 'home'").select(
-        F.col("event_id").alias("match_id"), F.col("event_type").alias("league"), F.col("ts").alias("kickoff"), F.when(F.col("k") % 10 == 0, "scheduled").otherwise("final").alias("status")
-    )
-    sides = fixtures.pivot(rows.select("event_id", "team_id", "home_away", "score", "ord")).withColumnRenamed("event_id", "match_id")
-    sides = sides.withColumns({c: fixtures.score_of(F.col(c)) for c in ("home_score", "away_score")})
-    return facts.join(sides, "match_id").where("home_id <> away_id")
+    rows = competitors(spark, sf_dir, clubs).withColumnsRenamed({"ts": "kickoff", "event_type": "league"})
+    sides = fixtures.pivot(rows, ("kickoff", "league", "k")).withColumnRenamed("event_id", "match_id").where("home_id <> away_id")
+    status = F.when(F.col("k") % 10 == 0, "scheduled").otherwise("final").alias("status")
+    return sides.select("match_id", "league", "kickoff", status, "home_id", "away_id", *(fixtures.score_of(F.col(c)).alias(c) for c in ("home_score", "away_score")))
 
 
 def finals(spark: SparkSession, sf_dir: str, clubs: bool = False) -> DataFrame:
