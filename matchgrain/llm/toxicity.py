@@ -25,6 +25,8 @@ COST_LEET, COST_SIGN, COST_TWICE, COST_MORE, COST_END = 0.5, 0.7, 3.0, 0.3, 1.0
 STEMS = (3, 4, 5, 6, 7)
 #: Most labelled rows that the classifier is fitted on, a sample by a hash of the id; and most features it may use.
 TRAIN_ROWS, FEATURES = 20_000, 4096
+#: Least toxic rows with a feature, least log-odds of one, and the L1 penalty of the fit.
+LEAST, ODDS, PENALTY = 2, 1.0, 0.1
 #: Distinct chunks of text that a worker remembers; then it starts afresh. Results never depend on it.
 MEMO_SIZE = 100_000
 
@@ -203,7 +205,7 @@ def char_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def sparse_logistic(rows: list[list[int]], y: np.ndarray, n: int, penalty: float = 0.5, steps: int = 400) -> tuple[np.ndarray, float]:
+def sparse_logistic(rows: list[list[int]], y: np.ndarray, n: int, penalty: float = PENALTY, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept of an L1-penalised logistic regression on 0/1 features, by accelerated proximal gradient."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([j for r in rows for j in r], np.int64)
@@ -221,7 +223,31 @@ def sparse_logistic(rows: list[list[int]], y: np.ndarray, n: int, penalty: float
     return w, b
 
 
-def fit(train: DataFrame, model: CharModel) -> tuple[dict[str, float], float]:
+def shifted(rows: list[list[int]], y: np.ndarray, n: int, cut: float) -> float:
+    """What to add to scores (in logits) so that ``cut`` tells classes apart best, by F1 over three cross-fitted folds.
+
+    Of equally good places the one nearest to no shift is taken.
+    """
+    z = np.zeros(len(rows))
+    fold = np.arange(len(rows)) % 3
+    for k in range(3):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        w, b = sparse_logistic([rows[i] for i in rest], y[rest], n)
+        z[own] = [b + sum(w[j] for j in rows[i]) for i in own]
+    order = np.argsort(-z, kind="stable")
+    hits, told = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f1 = 2 * hits / (told + y.sum())
+    last = np.append(z[order][1:] != z[order][:-1], True)  # equal scores fall on one side
+    best = np.flatnonzero(last & (f1 >= f1[last].max() - 1e-12))
+    at = math.log(cut / (1 - cut))
+    places = []
+    for i in best:
+        high, low = z[order][i], z[order][i + 1] if i + 1 < len(z) else z[order][i] - 2.0
+        places.append(min(max(at, (high + 3 * low) / 4), (3 * high + low) / 4))  # well between the two
+    return at - min(places, key=lambda t: abs(t - at))
+
+
+def fit(train: DataFrame, model: CharModel, cut: float, features: int) -> tuple[dict[str, float], float]:
     """Weights of features and the intercept, from rows (text, y)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +269,7 @@ def fit(train: DataFrame, model: CharModel) -> tuple[dict[str, float], float]:
     on = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0))
     seen = train.select("text", "y").mapInArrow(count, "feature string, y int, n long").groupBy("feature").agg(on(0).alias("n0"), on(1).alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / (n[1] + 1)) - F.log((F.col("n0") + 0.5) / (n[0] + 1))
-    best = seen.where("n1 >= 3").withColumn("odds", odds).where("odds > 1.5").orderBy((F.col("odds") * F.sqrt("n1")).desc(), F.length("feature"), "feature").limit(FEATURES).select("feature").collect()
+    best = seen.where(f"n1 >= {LEAST}").withColumn("odds", odds).where(f"odds > {ODDS}").orderBy((F.col("odds") * F.sqrt("n1")).desc(), F.length("feature"), "feature").limit(features).select("feature").collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +278,19 @@ def fit(train: DataFrame, model: CharModel) -> tuple[dict[str, float], float]:
             found = [sorted({index[s] for w in restorer.words(t.as_py()) for s in stems(w) if s in index}) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["found", "y"])
 
-    rows = train.select("text", "y").mapInArrow(met, "found array<int>, y int").collect()  # at most about TRAIN_ROWS short lists
-    w, b = sparse_logistic([r["found"] for r in rows], np.array([r["y"] for r in rows], float), len(index))
-    return {f: float(w[i]) for f, i in index.items() if w[i]}, float(b)
+    got = train.select("text", "y").mapInArrow(met, "found array<int>, y int").collect()  # at most about TRAIN_ROWS short lists
+    got = sorted((r["found"], r["y"]) for r in got)
+    rows, y = [f for f, _ in got], np.array([v for _, v in got], float)
+    w, b = sparse_logistic(rows, y, len(index))
+    return {f: float(w[i]) for f, i in index.items() if w[i]}, float(b) + shifted(rows, y, len(index), cut)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.7, train_rows: int = TRAIN_ROWS, keep: Sequence[str] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.7, train_rows: int = TRAIN_ROWS, features: int = FEATURES, keep: Sequence[str] = ()) -> DataFrame:
     """How likely each whole text is toxic, learned from labels of rows whose crc32(id as text) mod 3 is not 1.
 
     The language model counts all texts; the classifier is fitted on about ``train_rows`` labelled rows at most,
-    chosen by a hash of the id, equal texts once. Inputs of a score are the restored words of the text alone. A null
+    chosen by a hash of the id, equal texts once, and uses at most ``features`` words and word beginnings, the most
+    telling ones of these rows; scores are calibrated so that ``cut`` tells the classes of cross-fitted rows apart. Inputs of a score are the restored words of the text alone. A null
     or empty text has no words and gets the base rate; null ids count as not held out; labels with a null id or value
     are ignored; of repeated labels of an id the larger counts; repeated rows are scored one by one; other columns
     are ignored unless in ``keep``; empty tables are fine (without labels every score is 0.5). Returns id, ``keep``,
@@ -276,7 +305,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null").join(known, "_id")
     train = train.groupBy(F.xxhash64("text").alias("_h"), "y").agg(F.min_by("text", "_id").alias("text"))
-    weights, base = fit(train.select("text", "y"), model)
+    weights, base = fit(train.select("text", "y"), model, cut, features)
     lengths = sorted({len(f) for f in weights if f[-1] != "$"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
