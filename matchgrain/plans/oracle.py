@@ -205,4 +205,11 @@ union all select p_partkey, p_name, p_type from part where contains(lower(p_bran
         "snk02_merge": """with old as (select c_custkey, c_name, c_acctbal from customer where c_custkey % 3 <> 0), new as (select c_custkey, c_name, c_acctbal + 1 as c_acctbal from customer where c_custkey % 2 = 0)
 select n.*, case when o.c_custkey is null then 'created' else 'updated' end as action from new n left join old o using (c_custkey) union all select o.*, 'kept' from old o anti join new using (c_custkey)""",
         "snk09_snapshot": "select s_suppkey, s_nationkey, s_acctbal from supplier where (s_nationkey < 5 and s_acctbal > 0) or s_nationkey not in (select s_nationkey from supplier where s_nationkey < 5 and s_acctbal > 0)",
+        "snk05_scoreboard": """select cast(event_id as varchar) as event_id, strftime(case when event_id % 9 > 0 then ts else timestamp '2020-01-01' end, '%Y-%m-%d %H:%M') as day,
+cast(year(case when event_id % 9 > 0 then ts else timestamp '2020-01-01' end) as integer) as season_year, 2 as season_type,
+case when event_id % 6 = 0 or event_id % 4 = 2 then 'final' when event_id % 4 = 1 then 'in_progress' else 'scheduled' end as status, case when event_id % 6 = 0 then 'Final' else '' end as status_detail
+from events where event_id % 11 > 0""",
+        "snk07_competitors": """select cast(event_id as varchar) as event_id, cast(user_id + k as varchar) as team_id, case when k = 1 or event_id % 5 > 0 then 'home' else 'away' end as home_away, k as ord, 'team ' || (user_id + k) as display_name
+from events, (values (0), (1)) as t(k) where event_id % 11 > 0""",
+        "snk04_venues": "select distinct cast(user_id % 7 as varchar) as venue_id, 'ground' as name, '' as city, '' as state, 'USA' as country, true as indoor from events",
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchgrain.functions import listing
 from matchgrain.operators import baseline, fixtures, form, model, projection, value, walkforward
 from matchgrain.plans import oracle
-from matchgrain.sources import merge
+from matchgrain.sources import feeds, merge
 from matchgrain.sources import surrogate as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,6 +300,23 @@ def snk09_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return merge.replace_snapshot(s, s.where("s_nationkey < 5 and s_acctbal > 0"), ["s_nationkey"])
 
 
+@query
+def snk05_scoreboard(spark: SparkSession, sf: str) -> DataFrame:
+    rows = feeds.scoreboard(src.scoreboard_feed(spark, sf)).where("not error")
+    return rows.select("event_id", F.date_format("date", "yyyy-MM-dd HH:mm").alias("day"), "season_year", "season_type", "status", "status_detail")
+
+
+@query
+def snk07_competitors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = feeds.competitors(feeds.scoreboard(src.scoreboard_feed(spark, sf)))
+    return rows.select("event_id", "team_id", "home_away", "ord", "display_name")
+
+
+@query
+def snk04_venues(spark: SparkSession, sf: str) -> DataFrame:
+    return feeds.venues(feeds.scoreboard(src.scoreboard_feed(spark, sf)))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -67,3 +67,18 @@ def injuries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     stats = o.groupBy(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("season")).agg(F.count("*").alias("appearances"))
     stats = stats.join(c.select("c_custkey", league), "c_custkey").select("league", F.col("c_custkey").alias("athlete_id"), "season", "appearances")
     return rows, stats
+
+
+def scoreboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON payload of a match for each event row: its state from the type of the row, its two sides from the user."""
+    e = table(spark, sf_dir, "events")
+    state = F.when(F.col("event_id") % 4 == 0, "pre").when(F.col("event_id") % 4 == 1, "in").when(F.col("event_id") % 4 == 2, "post")
+    side = lambda name, id: F.struct(name.alias("homeAway"), F.struct(id.cast("string").alias("id"), F.concat(F.lit("team "), id.cast("string")).alias("name")).alias("team"))
+    sides = F.array(side(F.when(F.col("event_id") % 5 > 0, "home"), F.col("user_id")), side(F.lit("other"), F.col("user_id") + 1))
+    competition = F.struct(F.struct((F.col("user_id") % 7).cast("string").alias("id"), F.lit("ground").alias("shortName")).alias("venue"), sides.alias("competitors"))
+    day = F.when(F.col("event_id") % 9 > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'")).otherwise("to be set")
+    payload = F.struct(
+        F.when(F.col("event_id") % 11 > 0, F.col("event_id")).alias("id"), day.alias("date"), F.struct(F.struct(state.alias("state"), (F.col("event_id") % 6 == 0).alias("completed")).alias("type")).alias("status"),
+        F.array(competition).alias("competitions"),
+    )
+    return e.select(F.to_json(payload).alias("payload"), F.lit("2020-01-01").cast("timestamp").alias("ingested"))
