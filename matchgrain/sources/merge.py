@@ -28,6 +28,11 @@ def replace_snapshot(old: DataFrame, new: DataFrame, part: list[str]) -> DataFra
     return new.unionByName(old.join(new.select(*part).distinct(), part, "left_anti"))
 
 
+def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """The children of ``parents`` are the new ones alone, none of them too; other parents keep theirs."""
+    return new.unionByName(old.join(parents.select(*keys).distinct(), keys, "left_anti"))
+
+
 def counts(merged: DataFrame) -> DataFrame:
     """Rows created, updated and kept."""
     return merged.groupBy("action").count()
