@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrain.llm.staging import bound_batches
+from matchgrain.llm.staging import bound_batches, staged
 from matchgrain.llm.textbytes import ALNUM, U, byte_slices, gram_hash, lower_ascii, prefix_hash, span_hash, text_bytes, word_spans
 
 #: Most bytes of benchmark text that are broadcast at once; more items are tiled in several blocks, one after another.
@@ -86,6 +86,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, cove
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.min("t").alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
+    docs = docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
+    if blocks > 1:
+        docs = staged(docs, "numbered")  # all blocks must see the same row numbers
     out = [scan(docs, items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b), width, coverage, id_col, text_col) for b in range(blocks)]
     if blocks == 1:
         return out[0].drop("_row")
@@ -138,5 +141,4 @@ def scan(docs: DataFrame, items: DataFrame, width: int, coverage: float, id_col:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    numbered = docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
-    return numbered.mapInArrow(run, f"`{id_col}` {kind}, _row long, contaminated boolean, n_items long, item_ids array<long>, max_coverage double, n_tiles long")
+    return docs.mapInArrow(run, f"`{id_col}` {kind}, _row long, contaminated boolean, n_items long, item_ids array<long>, max_coverage double, n_tiles long")
