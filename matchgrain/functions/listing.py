@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,39 @@ def page(df: DataFrame, keys: list[str], number: int, size: int, allowed: set[st
 def lookback(text: str | None, default: int = 10, most: int = 50) -> int:
     """A number of games between 1 and ``most``; anything but digits is the default."""
     return min(max(int(text), 1), most) if text and text.isascii() and text.isdigit() else default
+
+
+def positive(text: str | None, default: float) -> float:
+    """A positive number, else the default."""
+    try:
+        value = float(text or "")
+    except ValueError:
+        return default
+    return value if 0 < value < float("inf") else default
+
+
+def one_of(column: str, value: str, allowed: set[str]) -> Column:
+    """Equality with one of the allowed values; any other value is an error."""
+    if value not in allowed:
+        raise ValueError(f"{column} must be one of {', '.join(sorted(allowed))}")
+    return F.col(column) == value
+
+
+def season(column: str, text: str | None) -> Column:
+    """A season of digits; other text filters nothing."""
+    return F.col(column) == int(text) if text and text.isascii() and text.isdigit() else F.lit(True)
+
+
+def lookup(df: DataFrame, column: str, value: str, order_by: str) -> DataFrame:
+    """The first row of a natural key, or none."""
+    return df.where(F.col(column) == value).orderBy(order_by).limit(1)
+
+
+def selected(events: DataFrame, n: int, at: str = "kickoff", key: str = "match_id") -> DataFrame:
+    """The next ``n`` scheduled events; only where nothing is scheduled the latest ``n`` of all.
+
+    One pass: each row is sorted by whether it is scheduled first, and ``n`` rows are looked at.
+    """
+    coming = F.col("status") == "scheduled"
+    ranked = events.orderBy(F.desc(coming), F.when(coming, F.col(at)).asc_nulls_last(), F.col(at).desc(), key).limit(n)
+    return ranked.withColumn("_any", F.max(coming).over(Window.partitionBy(F.lit(1)))).where(coming | ~F.col("_any")).drop("_any")

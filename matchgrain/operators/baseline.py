@@ -35,17 +35,22 @@ def summary(grouped) -> DataFrame:
 def trailing_baseline(fixtures: DataFrame, days: int = 7) -> DataFrame:
     """For every fixture the baseline of its league over the days strictly before it.
 
-    One range window over microseconds, its upper bound strict. Leagues are the partitions.
+    One range window over microseconds, its upper bound strict. Time is cut into spans of ``days``; a fixture counts in
+    its own span and, as history, in the next, so that a window's partition is two spans of a league, however long the
+    league's history is.
     """
     margin = F.col("home_score") - F.col("away_score")
     final = F.expr("status = 'final' and home_score is not null and away_score is not null")
-    at = fixtures.withColumn("at", micros(F.col("kickoff")))
-    w = Window.partitionBy("league").orderBy("at").rangeBetween(-days * DAY, -1)
+    at = fixtures.select("match_id", "league", "status", "home_score", "away_score", micros(F.col("kickoff")).alias("at"))
+    at = at.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).where(F.col("own") | final)
+    at = at.withColumn("span", F.floor(F.col("at") / (days * DAY)) + F.when(F.col("own"), 0).otherwise(1))
+    w = Window.partitionBy("league", "span").orderBy("at").rangeBetween(-days * DAY, -1)
     over = lambda x: F.avg(F.when(final, x)).over(w)
-    return at.select(
-        "match_id", "league", F.count(F.when(final, 1)).over(w).alias("n"), over(F.col("home_score")).alias("avg_home"), over(F.col("away_score")).alias("avg_away"),
+    out = at.select(
+        "own", "match_id", "league", F.count(F.when(final, 1)).over(w).alias("n"), over(F.col("home_score")).alias("avg_home"), over(F.col("away_score")).alias("avg_away"),
         over(margin).alias("home_advantage"), over((margin == 0).cast("double")).alias("draw_rate"),
     )
+    return out.where("own").drop("own")
 
 
 def severity(status: Column) -> Column:

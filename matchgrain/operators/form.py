@@ -110,6 +110,13 @@ def head_to_head(fixtures: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
+def meetings(fixtures: DataFrame, limit: int = 10) -> DataFrame:
+    """The meetings that ``head_to_head`` counts, one a row, the latest first from ``rn`` 1."""
+    a, b = F.least("home_id", "away_id").alias("team_a"), F.greatest("home_id", "away_id").alias("team_b")
+    rows = fixtures.where("home_id <> away_id").select(a, b, "match_id", "kickoff", "home_id", "away_id", "home_score", "away_score")
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("team_a", "team_b").orderBy(*latest()))).where(F.col("rn") <= limit)
+
+
 def rest(appearances: DataFrame, congestion_days: int = 14, congested_from: int = 4) -> DataFrame:
     """Whole days since each team's previous match and its matches in the days before, for every appearance.
 

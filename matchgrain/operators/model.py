@@ -174,3 +174,31 @@ def rated(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
     both = fixtures.join(home, ["league", "home_id"]).join(away, ["league", "away_id"])
     lam, mu = F.col("ha") * F.col("ad") * F.col("home_advantage"), F.col("aa") * F.col("hd")
     return both.select("match_id", "league", F.greatest(lam, F.lit(1e-6)).alias("lam"), F.greatest(mu, F.lit(1e-6)).alias("mu"), "rho")
+
+
+def summary(grid: DataFrame, k: int = TOP_SCORES) -> DataFrame:
+    """All markets of each fixture, a row for each market, line and selection with its probability and fair price.
+
+    Markets are 1x2, double_chance, totals, btts and correct_score (the k likeliest, ties in the order of the grid).
+    One aggregate of the grid gives them all; probabilities have five decimals, fair prices three.
+    """
+    at = lambda x: F.sum(F.when(F.expr(x), F.col("p")).otherwise(0.0))
+    cells = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("minus"), "hg", "ag")))
+    one = grid.groupBy("match_id").agg(at("hg > ag").alias("home"), at("hg = ag").alias("draw"), at("hg < ag").alias("away"), at("hg > 0 and ag > 0").alias("both"), *(at(f"hg + ag > {x}").alias(f"over_{i}") for i, x in enumerate(LINES)), F.slice(cells, 1, k).alias("cells"))
+    row = lambda market, line, selection, p: F.struct(F.lit(market).alias("market"), F.lit(line).alias("line"), selection.alias("selection"), p.alias("p"))
+    rows = [row("1x2", "", F.lit(s), F.col(s)) for s in ("home", "draw", "away")]
+    rows += [row("double_chance", "", F.lit(f"{a}_or_{b}"), F.col(a) + F.col(b)) for a, b in (("home", "draw"), ("home", "away"), ("draw", "away"))]
+    rows += [row("totals", str(x), F.lit(s), p) for i, x in enumerate(LINES) for s, p in (("over", F.col(f"over_{i}")), ("under", 1 - F.col(f"over_{i}")))]
+    rows += [row("btts", "", F.lit("yes"), F.col("both")), row("btts", "", F.lit("no"), 1 - F.col("both"))]
+    exact = F.transform("cells", lambda c: row("correct_score", "", F.concat_ws("-", c["hg"].cast("string"), c["ag"].cast("string")), -c["minus"]))
+    out = one.select("match_id", F.explode(F.concat(F.array(*rows), exact)).alias("r")).select("match_id", "r.*")
+    return out.select("match_id", "market", "line", "selection", F.round("p", 5).alias("probability"), fair(F.col("p")).alias("fair_odds"))
+
+
+def unrated(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
+    """The fixtures that ``rated`` leaves out, with the sides that the fit does not know."""
+    teams = ratings.select("league", "team_id").distinct()
+    known = lambda side: teams.select("league", F.col("team_id").alias(f"{side}_id"), F.lit(True).alias(f"_{side}"))
+    both = fixtures.join(known("home"), ["league", "home_id"], "left").join(known("away"), ["league", "away_id"], "left")
+    missing = F.array_compact(F.array(*(F.when(F.col(f"_{s}").isNull(), s) for s in ("home", "away"))))
+    return both.select("match_id", "league", "home_id", "away_id", missing.alias("unknown")).where(F.size("unknown") > 0)

@@ -127,14 +127,20 @@ def ledger(bets: DataFrame, by: str) -> DataFrame:
 
     ``bets`` has match_id, kickoff, provider, market, selection, line, decimal_odds, ev, stake (a fraction) and won. The
     bets of a match are settled by expected value (five decimals), the largest first. The growth of a bet is
-    1 + stake * (odds - 1) or 1 - stake, so a window of log growth replaces a fold; drawdown is taken from logarithms,
+    1 + stake * (odds - 1) or 1 - stake, so sums of log growth replace a fold: within the days of ``by`` by a window, over
+    days by another one with a row a day, so that no task holds the whole history of a group; drawdown is taken from logarithms,
     as a bankroll of many bets leaves the range of doubles.
     """
     order = ["kickoff", "match_id", "provider", "market", "selection", "line"]
     growth = F.when(F.col("won"), 1 + F.col("stake") * (F.col("decimal_odds") - 1)).otherwise(1 - F.col("stake"))
-    w = Window.partitionBy(by).orderBy(*order[:2], F.round("ev", 5).desc(), *order[2:]).rowsBetween(Window.unboundedPreceding, 0)
-    rows = bets.where("won is not null and stake > 0").withColumn("log_bankroll", F.sum(F.log(growth)).over(w))
-    rows = rows.withColumn("_log_peak", F.greatest(F.max("log_bankroll").over(w), F.lit(0.0)))
+    w = Window.partitionBy(by, "_day").orderBy(*order[:2], F.round("ev", 5).desc(), *order[2:]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = bets.where("won is not null and stake > 0").withColumns({"_day": F.to_date("kickoff"), "_g": F.log(growth)})
+    rows = rows.withColumn("_sum", F.sum("_g").over(w)).withColumn("_top", F.max("_sum").over(w))
+    before = Window.partitionBy(by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(by, "_day").agg(F.sum("_g").alias("_all"), F.max("_sum").alias("_most")).withColumn("_base", F.coalesce(F.sum("_all").over(before), F.lit(0.0)))
+    days = days.select(by, "_day", "_base", F.greatest(F.lit(0.0), F.max(F.col("_base") + F.col("_most")).over(before)).alias("_peak"))
+    rows = rows.join(days, [by, "_day"]).withColumn("log_bankroll", F.col("_base") + F.col("_sum"))
+    rows = rows.withColumn("_log_peak", F.greatest(F.col("_peak"), F.col("_base") + F.col("_top")))
     rows = rows.withColumns({"bankroll": F.exp("log_bankroll"), "peak": F.exp("_log_peak"), "drawdown": 1 - F.exp(F.col("log_bankroll") - F.col("_log_peak"))})
     return rows.select(by, *order, "decimal_odds", "ev", "stake", "won", "log_bankroll", "bankroll", "peak", "drawdown")
 
@@ -145,3 +151,27 @@ def flat_yield(bets: DataFrame, by: str) -> DataFrame:
     out = bets.where("won is not null").groupBy(by).agg(F.count("*").alias("bets"), F.avg(gain).alias("yield"), F.stddev_samp(gain).alias("sd"))
     error = F.col("sd") / F.sqrt("bets")
     return out.select(by, "bets", "yield", error.alias("stderr"), F.try_divide(F.col("yield"), error).alias("t"))
+
+
+def consensus(odds: DataFrame, preferred: str = "fd-avg") -> DataFrame:
+    """The 1x2 market's probabilities of each match (home, draw, away), from one provider that quotes all three.
+
+    That is the preferred one if it does, else the first by name. Matches without such a provider have no row.
+    """
+    full = devig(odds.where("market = '1x2'")).where("complete")
+    wide = full.groupBy("match_id", "provider").agg(*(F.max(F.when(F.col("selection") == s, F.col("implied"))).alias(s) for s in ("home", "draw", "away"))).dropna()
+    best = F.min_by(F.struct("provider", "home", "draw", "away"), F.struct(F.col("provider") != preferred, "provider"))
+    return wide.groupBy("match_id").agg(best.alias("m")).select("match_id", "m.*")
+
+
+def against_market(forecasts: DataFrame, market: DataFrame, by: list[str]) -> DataFrame:
+    """Model and market scored on the matches that both cover: log losses of four decimals, their difference, who is better.
+
+    ``forecasts`` has match_id, home, draw, away, outcome and the columns of ``by``; ``market`` match_id, home, draw, away.
+    """
+    both = forecasts.join(market.select("match_id", *(F.col(s).alias(f"_{s}") for s in ("home", "draw", "away"))), "match_id")
+    model = scores(both, by).select(*by, F.col("n").alias("matches"), F.round("log_loss", 4).alias("model_log_loss"), "brier")
+    priced = scores(both.select(*by, "outcome", *(F.col(f"_{s}").alias(s) for s in ("home", "draw", "away"))), by)
+    out = model.join(priced.select(*by, F.round("log_loss", 4).alias("market_log_loss"), F.col("brier").alias("market_brier")), by)
+    delta = F.round(F.col("model_log_loss") - F.col("market_log_loss"), 4)
+    return out.withColumns({"log_loss_delta": delta, "beats_market": delta < 0})

@@ -21,6 +21,10 @@ ranked as (select *, row_number() over (partition by team_id order by kickoff de
 
 USERS, CLUBS = base("user_id"), base("user_id % 20")
 
+#: The rows of league history that are kept, with the slug of their league.
+LEAGUE_HISTORY = """with g as (select event_id as n, ts, 'Team ' || event_id as home, 'Side ' || user_id as away, case event_id % 3 when 0 then 'eng.1' when 1 then 'ita.1' else 'fd.zz' end as league from events where event_id % 13 > 0 and event_id % 17 > 0),
+h as (select *, 'fd' || substr(sha1(league || '|' || strftime(ts, '%Y-%m-%d') || '|' || home || '|' || away), 1, 20) as event_id from g)"""
+
 GRID = """
 rates as (select match_id, (home_id * 7 + 10) % 23 / 10.0::double + 0.3::double as lam, (away_id * 5 + 3) % 19 / 10.0::double + 0.2::double as mu, -0.1::double as rho from matches where status = 'scheduled'),
 cells as (select match_id, h.g::int as hg, a.g::int as ag, greatest(exp(-lam) * pow(lam, h.g) / factorial(h.g::int) * exp(-mu) * pow(mu, a.g) / factorial(a.g::int)
@@ -212,4 +216,39 @@ from events where event_id % 11 > 0""",
         "snk07_competitors": """select cast(event_id as varchar) as event_id, cast(user_id + k as varchar) as team_id, case when k = 1 or event_id % 5 > 0 then 'home' else 'away' end as home_away, k as ord, 'team ' || (user_id + k) as display_name
 from events, (values (0), (1)) as t(k) where event_id % 11 > 0""",
         "snk04_venues": "select distinct cast(user_id % 7 as varchar) as venue_id, 'ground' as name, '' as city, '' as state, 'USA' as country, true as indoor from events",
+        "mkt08_summary": f"""{clubs}, {GRID}, r as (select match_id, hg, ag, round(p, 9) as p from grid),
+o as (select match_id, sum(p) filter (hg > ag) as h, sum(p) filter (hg = ag) as d, sum(p) filter (hg < ag) as a, sum(p) filter (hg > 0 and ag > 0) as b from r group by match_id),
+t as (select match_id, line, sum(case when hg + ag > line::double then p else 0 end) as o from r, (values ('0.5'), ('1.5'), ('2.5'), ('3.5'), ('4.5')) l(line) group by match_id, line),
+u as (select match_id, '1x2' as market, '' as line, 'home' as selection, h as p from o union all select match_id, '1x2', '', 'draw', d from o union all select match_id, '1x2', '', 'away', a from o
+  union all select match_id, 'double_chance', '', 'home_or_draw', h + d from o union all select match_id, 'double_chance', '', 'home_or_away', h + a from o union all select match_id, 'double_chance', '', 'draw_or_away', d + a from o
+  union all select match_id, 'totals', line, 'over', o from t union all select match_id, 'totals', line, 'under', 1 - o from t union all select match_id, 'btts', '', 'yes', b from o union all select match_id, 'btts', '', 'no', 1 - b from o
+  union all select * from (select match_id, 'correct_score', '', hg || '-' || ag, p from r qualify row_number() over (partition by match_id order by p desc, hg, ag) <= 8))
+select match_id, market, line, selection, round(p, 5) as probability, round(1 / p, 3) as fair_odds from u""",
+        "agg13_meetings": f"""{clubs} select least(home_id, away_id) as team_a, greatest(home_id, away_id) as team_b, match_id, home_id, away_id, home_score, away_score,
+row_number() over (partition by least(home_id, away_id), greatest(home_id, away_id) order by kickoff desc, match_id desc)::int as rn from finals qualify rn <= 10""",
+        "val06_consensus": f"""{clubs}, {ODDS}, q as (select match_id, provider, selection, 1 / decimal_odds as i from odds where market = '1x2' and not (match_id % 3 = 0 and provider = 'fd-avg' and selection = 'draw') and not (match_id % 6 = 0 and selection = 'away')),
+w as (select match_id, provider, sum(i) filter (selection = 'home') / sum(i) as home, sum(i) filter (selection = 'draw') / sum(i) as draw, sum(i) filter (selection = 'away') / sum(i) as away from q group by all having count(*) = 3)
+select match_id, provider, round(home, 7) as home, round(draw, 7) as draw, round(away, 7) as away from w qualify row_number() over (partition by match_id order by provider <> 'fd-avg', provider) = 1""",
+        "agg23_market_comparison": f"""{clubs}, {ODDS}, w as (select match_id, max(implied) filter (selection = 'home') as mh, max(implied) filter (selection = 'draw') as md, max(implied) filter (selection = 'away') as ma
+  from devig where market = '1x2' and provider = 'fd-avg' and match_id % 4 > 0 group by match_id),
+f as (select match_id, league, (match_id % 5 + match_id % 3 + match_id % 4 + 3)::double as t, (home_score > away_score)::int as yh, (home_score = away_score)::int as yd, (home_score < away_score)::int as ya, mh, md, ma from finals join w using (match_id)),
+s as (select *, (match_id % 5 + 1) / t as h, (match_id % 3 + 1) / t as d, (match_id % 4 + 1) / t as a from f),
+l as (select league, count(*) as matches, round(avg(-ln(yh * h + yd * d + ya * a)), 4) as m, round(avg(-ln(yh * mh + yd * md + ya * ma)), 4) as k,
+  round(avg(pow(h - yh, 2) + pow(d - yd, 2) + pow(a - ya, 2)), 6) as brier, round(avg(pow(mh - yh, 2) + pow(md - yd, 2) + pow(ma - ya, 2)), 6) as market_brier from s group by league)
+select league, matches, m as model_log_loss, k as market_log_loss, brier, market_brier, round(m - k, 4) as log_loss_delta, round(m - k, 4) < 0 as beats_market from l""",
+        "prj04_selected": f"{users} select match_id, status from matches where status = 'scheduled' order by kickoff, match_id limit 5",
+        "prj04_selected_fallback": f"{users} select match_id, status from finals order by kickoff desc, match_id limit 5",
+        "prj01_event_detail": """select cast(event_id as varchar) as event_id, 'ground' as venue_name, (case when event_id % 5 > 0 then 'home' else 'away' end) || ':' || user_id || ',home:' || (user_id + 1) as competitors from events
+where event_id % 11 > 0 and (event_id % 6 = 0 or event_id % 4 = 2) and year(case when event_id % 9 > 0 then ts else timestamp '2020-01-01' end) = 2024""",
+        "snk14_history_events": f"""{LEAGUE_HISTORY} select event_id, league, strftime(ts, '%Y-%m-%d ') || case when n % 4 = 1 then strftime(ts, '%H:%M') else '12:00' end as "at", away || ' at ' || home as name,
+(year(ts) - case when month(ts) >= 7 then 0 else 1 end)::int as season_year, 'final' as status from h""",
+        "snk14_history_sides": f"""{LEAGUE_HISTORY}, m as (select * from h where n % 3 = 1) select event_id, 'home' as home_away, 'fdt' || substr(sha1(league || '|' || home), 1, 20) as team_id, (n % 5)::varchar as score, n % 5 > n % 3 as winner, 1 as ord from m
+union all select event_id, 'away', 'fdt' || substr(sha1(league || '|' || away), 1, 20), (n % 3)::varchar, n % 3 > n % 5, 0 from m""",
+        "snk15_history_odds": f"""{LEAGUE_HISTORY} select event_id, 'fd-avg' as provider, '1x2' as market, 'home' as selection, '' as line, n % 400 / 100.0::double as decimal_odds from h where n % 400 >= 101
+union all select event_id, 'fd-max', 'totals', 'over', '2.5', 2.1::double from h where n % 2 = 0""",
+        "snk09_injury_report": """select c_nationkey as league, c_custkey::varchar as athlete_id, case when c_custkey % 9 > 0 then c_name else '' end as athlete_name, case c_custkey % 4 when 0 then 'out' when 1 then 'ir' when 2 then 'day_to_day' else 'other' end as status,
+case when c_custkey % 50 % 2 = 0 then (c_custkey % 50)::varchar end as team_id, c_custkey % 9 = 0 as error from customer""",
+        "snk10_transactions": """select (o_orderkey % 25)::int as league, case when o_orderkey % 5 > 0 then o_orderkey::varchar end as transaction_id, case when o_orderkey % 7 > 0 then strftime(o_orderdate, '%Y-%m-%d') end as day, o_orderpriority as description,
+case when o_custkey % 50 % 2 = 0 then (o_custkey % 50)::varchar end as team_id from orders where o_orderkey % 6 > 0""",
+        "agg19_appearances": """select o_orderkey, coalesce(case when o_orderkey % 4 = 0 and o_orderkey % 40 >= 5 then o_orderkey % 40 - 5 end, case when o_orderkey % 4 < 2 then o_orderkey % 30 end, case when o_orderkey % 3 > 0 then o_orderkey % 20 / 2.0::double end)::double as appearances from orders""",
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchgrain.functions import listing
 from matchgrain.operators import baseline, fixtures, form, model, projection, value, walkforward
 from matchgrain.plans import oracle
-from matchgrain.sources import feeds, merge
+from matchgrain.sources import feeds, history, merge, reports
 from matchgrain.sources import surrogate as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,6 +317,91 @@ def snk04_venues(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.venues(feeds.scoreboard(src.scoreboard_feed(spark, sf)))
 
 
+@query
+def mkt08_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return model.summary(grid(spark, sf).withColumn("p", F.round("p", 9)))
+
+
+@query
+def agg13_meetings(spark: SparkSession, sf: str) -> DataFrame:
+    return form.meetings(src.finals(spark, sf, clubs=True)).drop("kickoff")
+
+
+@query
+def val06_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """Some matches lack a price of the preferred provider, some one of both."""
+    odds = src.odds(spark, sf).where("not (match_id % 3 = 0 and provider = 'fd-avg' and selection = 'draw') and not (match_id % 6 = 0 and selection = 'away')")
+    out = value.consensus(odds)
+    return out.select("match_id", "provider", *(F.round(c, 7).alias(c) for c in ("home", "draw", "away")))
+
+
+@query
+def agg23_market_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Given probabilities beside the market's."""
+    n = F.col("match_id")
+    total = n % 5 + n % 3 + n % 4 + 3
+    rows = src.finals(spark, sf, clubs=True).select(n, "league", ((n % 5 + 1) / total).alias("home"), ((n % 3 + 1) / total).alias("draw"), ((n % 4 + 1) / total).alias("away"), value.actual(F.col("home_score"), F.col("away_score")).alias("outcome"))
+    out = value.against_market(rows, value.consensus(src.odds(spark, sf).where("match_id % 4 > 0")), ["league"])
+    return out.withColumns({c: F.round(c, 6) for c in ("brier", "market_brier")})
+
+
+@query
+def bt04_market_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """The replayed model beside the market, by league."""
+    return value.against_market(walkforward.outcomes(replayed(spark, sf, 3)), value.consensus(src.odds(spark, sf)), ["league"])
+
+
+@query
+def prj04_selected(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.selected(src.matches(spark, sf), 5).select("match_id", "status")
+
+
+@query
+def prj04_selected_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.selected(src.finals(spark, sf).withColumn("status", F.lit("final")), 5).select("match_id", "status")
+
+
+@query
+def prj01_event_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Scoreboard events with their competitors nested, as text."""
+    e = feeds.scoreboard(src.scoreboard_feed(spark, sf)).where("not error")
+    sides = feeds.competitors(e).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("ord", "home_away", "team_id"))).alias("competitors"))
+    label = F.array_join(F.transform("competitors", lambda c: F.concat_ws(":", c["home_away"], c["team_id"])), ",")
+    return e.drop("competitors").where(listing.one_of("status", "final", {"scheduled", "in_progress", "final"}) & listing.season("season_year", "2024")).join(sides, "event_id", "left").select("event_id", F.col("venue.shortName").alias("venue_name"), label.alias("competitors"))
+
+
+@query
+def snk14_history_events(spark: SparkSession, sf: str) -> DataFrame:
+    out = history.events(history.matches(src.history_rows(spark, sf)))
+    return out.select("event_id", "league", F.date_format("date", "yyyy-MM-dd HH:mm").alias("at"), "name", "season_year", "status")
+
+
+@query
+def snk14_history_sides(spark: SparkSession, sf: str) -> DataFrame:
+    return history.sides(history.matches(src.history_rows(spark, sf), "I1")).select("event_id", "home_away", "team_id", "score", "winner", "ord")
+
+
+@query
+def snk15_history_odds(spark: SparkSession, sf: str) -> DataFrame:
+    return history.odds(history.matches(src.history_rows(spark, sf))).drop("provider_name", "source_column")
+
+
+@query
+def snk09_injury_report(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.injuries(src.injury_feed(spark, sf), src.injury_teams(spark, sf)).select("league", "athlete_id", "athlete_name", "status", "team_id", "error")
+
+
+@query
+def snk10_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    out = reports.transactions(src.transaction_feed(spark, sf), src.injury_teams(spark, sf)).where("not error")
+    return out.select("league", "transaction_id", F.date_format("date", "yyyy-MM-dd").alias("day"), "description", "team_id")
+
+
+@query
+def agg19_appearances(spark: SparkSession, sf: str) -> DataFrame:
+    return src.stats_blobs(spark, sf).select("o_orderkey", reports.appearances(F.col("stats")).alias("appearances"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -82,3 +82,45 @@ def scoreboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(competition).alias("competitions"),
     )
     return e.select(F.to_json(payload).alias("payload"), F.lit("2020-01-01").cast("timestamp").alias("ingested"))
+
+
+def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of league history as CSV text for each event row, some without a date, a time, a team or a price."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    text = lambda c: c.cast("string")
+    return e.select(
+        F.when(n % 3 == 0, "E0").when(n % 3 == 1, "i1").otherwise("ZZ").alias("Division"), F.when(n % 13 > 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon").alias("MatchDate"),
+        F.when(n % 4 == 1, F.date_format("ts", "HH:mm")).when(n % 4 == 2, "late").alias("MatchTime"), F.concat(F.lit(" Team "), text(n)).alias("HomeTeam"), F.when(n % 17 > 0, F.concat(F.lit("Side "), text(F.col("user_id")))).alias("AwayTeam"),
+        F.concat(text(n % 5), F.lit(".0")).alias("FTHome"), text(n % 3).alias("FTAway"), text(n % 400 / 100.0).alias("OddHome"), F.when(n % 2 == 0, " 2.1 ").otherwise("x").alias("MaxOver25"),
+    )
+
+
+def injury_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload of one injury for each customer; every ninth has no name."""
+    c = table(spark, sf_dir, "customer")
+    n = F.col("c_custkey")
+    status = F.get(F.array(*map(F.lit, ("Out", " Injured Reserve", "Day-To-Day", "flu"))), (n % 4).cast("int"))
+    item = F.struct(F.struct(n.alias("id"), F.when(n % 9 > 0, F.col("c_name")).alias("fullName")).alias("athlete"), status.alias("status"), F.struct((n % 50).alias("id")).alias("team"))
+    return c.select(F.col("c_nationkey").alias("league"), F.to_json(F.struct(F.array(item).alias("injuries"))).alias("payload"), F.lit("2020-01-01").cast("timestamp").alias("ingested"))
+
+
+def injury_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The teams with even numbers below 50 of each nation."""
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("league"), F.explode(F.sequence(F.lit(0), F.lit(48), F.lit(2)).cast("array<string>")).alias("team_id"))
+
+
+def transaction_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload of one transaction for each order; some without an id, a date or a description."""
+    o = table(spark, sf_dir, "orders")
+    n = F.col("o_orderkey")
+    item = F.struct(F.when(n % 5 > 0, n).alias("id"), F.when(n % 7 > 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm'Z'")).otherwise("soon").alias("date"), F.when(n % 6 > 0, F.col("o_orderpriority")).alias("text"), F.struct((F.col("o_custkey") % 50).alias("id")).alias("team"))
+    return o.select((n % 25).cast("int").alias("league"), F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"), F.lit("2020-01-01").cast("timestamp").alias("ingested"))
+
+
+def stats_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Season statistics as JSON under changing field names, as numbers and as text."""
+    o = table(spark, sf_dir, "orders")
+    n = F.col("o_orderkey")
+    blob = F.struct(F.when(n % 4 == 0, n % 40 - 5).alias("appearances"), F.when(n % 4 < 2, (n % 30).cast("string")).alias("gamesPlayed"), F.when(n % 4 == 2, "many").alias("games_played"), F.when(n % 3 > 0, n % 20 / 2.0).alias("starts"))
+    return o.select("o_orderkey", F.to_json(blob).alias("stats"))
