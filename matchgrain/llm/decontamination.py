@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrain.llm.staging import bound_batches, staged
-from matchgrain.llm.textbytes import ALNUM, U, byte_slices, gram_hash, lower_ascii, prefix_hash, span_hash, text_bytes, word_spans
+from matchgrain.llm.textbytes import ALNUM, U, byte_slices, gram_hash, lower_ascii, text_bytes, word_hash, word_spans
 
 #: Most bytes of benchmark text that are broadcast at once; more items are tiled in several blocks, one after another.
 BLOCK_BYTES = 32_000_000
@@ -23,7 +23,7 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf, offs = text_bytes(column)
     buf = lower_ascii(buf)
     starts, ends, first = word_spans(buf, offs, ALNUM)
-    return span_hash(prefix_hash(buf), starts, ends), first
+    return word_hash(buf, starts, ends), first
 
 
 def tile(doc_at: np.ndarray, item_at: np.ndarray, width: int, n_item: int) -> list[tuple[int, int, int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrain.llm.staging import bound_batches
-from matchgrain.llm.textbytes import ALNUM, byte_slices, lower_ascii, prefix_hash, span_hash, string_hash, text_bytes, word_spans
+from matchgrain.llm.textbytes import ALNUM, byte_slices, lower_ascii, string_hash, text_bytes, word_hash, word_spans
 
 #: Phrases whose words stand consecutively, and their labels: fixed values.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -56,7 +56,7 @@ def word_counts(docs: DataFrame, words: list[str], text_col: str) -> dict[str, i
             buf, offs = text_bytes(batch.column(text_col))
             buf = lower_ascii(buf)
             starts, ends, _ = word_spans(buf, offs, ALNUM)
-            h = span_hash(prefix_hash(buf), starts, ends)
+            h = word_hash(buf, starts, ends)
             at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
             total += np.bincount(order[at[ranked[at] == h]], minlength=len(words))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(words)), pa.int32()), pa.array(total)], names=["w", "n"])
@@ -138,7 +138,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
         n = batch.num_rows
         raw, buf = buf, lower_ascii(buf)
         starts, ends, first = word_spans(buf, offs, ALNUM)
-        h = span_hash(prefix_hash(buf), starts, ends)
+        h = word_hash(buf, starts, ends)
         doc = np.repeat(np.arange(n), np.diff(first))
         n_base, low, high = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
         base: list[set[str]] = [set() for _ in range(n)]

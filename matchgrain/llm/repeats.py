@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from matchgrain.llm.bitfilter import Filter
 from matchgrain.llm.staging import bound_batches, staged
-from matchgrain.llm.textbytes import POWERS, U, byte_slices, mix, prefix_hash, span_hash, text_bytes
+from matchgrain.llm.textbytes import POWERS, U, byte_slices, digests, mix, prefix_hash, span_hash, text_bytes
 
 #: Bytes of a trigger's rolling hash.
 GRAM = 32
@@ -31,6 +31,8 @@ GRAM = 32
 AT_BITS = 30
 #: Most dictionary phrases of a trigger, and most starts of each, that are sorted together in one task.
 GROUP, STARTS = 256, 512
+#: Phrases of at least so many bytes are told apart by digests: rolling hashes of shorter ones have no known collisions.
+DIGEST_BYTES = 512
 #: About so many bytes of phrases are sorted at once in a task; the phrases of one trigger always are, up to GROUP * (STARTS + size) bytes.
 SORT_BYTES = 500_000
 
@@ -64,7 +66,12 @@ class Phrases:
 
     def strings(self, begin: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Fingerprints of the strings that begin at these bytes."""
-        return span_hash(self.hash, begin, begin + length)
+        end = begin + length
+        out = span_hash(self.hash, begin, end)
+        long = np.flatnonzero(end - begin >= DIGEST_BYTES)
+        if len(long):
+            out[long] = digests(self.buf, begin[long], end[long])
+        return out
 
 
 def sliding(least: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:

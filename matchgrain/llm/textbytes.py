@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,6 +119,34 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((h[ends] - h[starts]) * POWERS.down[starts] + (ends - starts).astype(U))
 
 
+#: Longer words are hashed by a digest, one by one; shorter ones eight bytes a step, all at once.
+LONG_WORD = 64
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+
+
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit digests of byte strings, one by one: for long ones, where a rolling hash has collisions that texts can hold."""
+    data = memoryview(np.ascontiguousarray(buf))
+    return np.array([int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8, salt=bytes([lane])).digest(), "little") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], U)
+
+
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the words [start, end); another ``lane`` gives hashes that collide for other words."""
+    n = ends - starts
+    out = mix(n.astype(U) + U(lane) * U(0xA0761D6478BD642F) + U(1))
+    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    live, at = np.flatnonzero(n <= LONG_WORD), 0
+    while len(live):
+        chunk = eight[starts[live] + at] & MASKS[np.minimum(n[live] - at, 8)]
+        out[live] = mix((out[live] ^ chunk) * U(0x9FB21C651E98DF25) + U(lane + 1))
+        at += 8
+        live = live[n[live] > at]
+    long = np.flatnonzero(n > LONG_WORD)
+    if len(long):
+        out[long] = digests(buf, starts[long], ends[long], lane)
+    return out
+
+
 def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n successive words that begin at each place; there are len(words) - n + 1."""
     m = len(words) - n + 1
@@ -130,6 +159,6 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def string_hash(text: str) -> int:
-    """The span hash of one string."""
+    """The word hash of one string."""
     buf = np.frombuffer(text.encode(), np.uint8)
-    return int(span_hash(prefix_hash(buf), np.array([0]), np.array([len(buf)]))[0])
+    return int(word_hash(buf, np.array([0]), np.array([len(buf)]))[0])
