@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchgrain.functions.rounding import exact_round
+
 #: Least games of a split that is used, least games of a projection of medium confidence, spread of margins if unknown: fixed values.
 MIN_SPLIT, MIN_GAMES, MARGIN_SD = 3, 4, 10.0
 #: A rational approximation of the error function (Abramowitz and Stegun, 7.1.26, within 1.5e-7): fixed values.
@@ -22,37 +24,41 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - half).otherwise(half)
 
 
-def records(splits: DataFrame, side: str) -> DataFrame:
-    """One row a team: its overall record and that of one side (played, avg_scored, avg_conceded)."""
-    pick = lambda split, c: F.max(F.when(F.col("split") == split, F.col(c)))
-    own = [pick(s, c).alias(f"{side}_{n}_{c}") for s, n in ((side, "own"), ("overall", "all")) for c in ("played", "avg_scored", "avg_conceded")]
-    return splits.groupBy(F.col("team_id").alias(f"{side}_id")).agg(*own)
-
-
 def expected(attack: str, defence: str) -> Column:
     """The mean of what the attack scores and the defence concedes, by side where that has games enough, else overall."""
-    use = lambda team, c: F.when(F.col(f"{team}_own_played") >= MIN_SPLIT, F.col(f"{team}_own_{c}")).when(F.col(f"{team}_all_played") > 0, F.col(f"{team}_all_{c}"))
+    use = lambda team, c: F.when(F.col(f"{team}_own.played") >= MIN_SPLIT, F.col(f"{team}_own.{c}")).when(F.col(f"{team}_all.played") > 0, F.col(f"{team}_all.{c}"))
     scoring, conceding = use(attack, "avg_scored"), use(defence, "avg_conceded")
     return F.coalesce((scoring + conceding) / 2, scoring, conceding, F.lit(0.0))
 
 
-def project(fixtures: DataFrame, splits: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Projections of fixtures (match_id, league, home_id, away_id) from records by side and league baselines.
+def rounded_shares(home: Column, draw: Column, away: Column) -> Column:
+    """Outcome probabilities of four places; the likeliest (the first of equal ones) takes what rounding leaves."""
+    names = ("home_win", "draw", "away_win")
+
+    def shared(p: Column) -> Column:
+        rest = 1 - (p[0] + p[1] + p[2])
+        leader = F.when((p[0] >= p[1]) & (p[0] >= p[2]), 0).when(p[1] >= p[2], 1).otherwise(2)
+        return F.struct(*(F.when(leader == i, exact_round(p[i] + rest, 4)).otherwise(p[i]).alias(c) for i, c in enumerate(names)))
+
+    return F.get(F.transform(F.array(F.array(*(exact_round(p, 4) for p in (home, draw, away)))), shared), F.lit(0))
+
+
+def from_form(rows: DataFrame) -> DataFrame:
+    """Projections of fixtures (match_id, league, home_id, away_id) from records and baselines beside them; no join, no shuffle.
 
-    Margins are normal around the expected one; the league's share of draws is set aside first. Probabilities have
-    four decimals, and the likeliest outcome takes what rounding leaves. Teams and leagues without games count as
-    zero goals, a spread of MARGIN_SD and no draws, with confidence 'none'. All joins are on ids.
+    ``rows`` has for each side its record there and overall (home_own, home_all, away_own, away_all: played, avg_scored
+    and avg_conceded of two places) and the league's sample, home_advantage, margin_sd and draw_rate. Where a split is
+    thin, half of the league's home advantage is added for the home side and taken from the other. Scores are at least
+    zero; scores and margin have two places. Margins are normal around the expected one; the league's share of draws is set
+    aside first. Confidence is 'none' without games or a sample, 'medium' from MIN_GAMES games of both, else 'low'.
     """
-    rows = fixtures.join(records(splits, "home"), "home_id", "left").join(records(splits, "away"), "away_id", "left")
-    rows = rows.join(baselines.select("league", F.col("n").alias("sample"), "margin_sd", "draw_rate"), "league", "left")
-    rows = rows.withColumns({"expected_home": expected("home", "away"), "expected_away": expected("away", "home")})
-    margin = F.col("expected_home") - F.col("expected_away")
-    share, draw = normal_cdf(margin / F.coalesce("margin_sd", F.lit(MARGIN_SD))), F.coalesce("draw_rate", F.lit(0.0))
-    rows = rows.withColumns({"home_win": F.round((1 - draw) * share, 4), "draw": F.round(draw, 4), "away_win": F.round((1 - draw) * (1 - share), 4)})
-    rest = F.round(1 - F.col("home_win") - F.col("draw") - F.col("away_win"), 4)
-    leader = F.when((F.col("home_win") >= F.col("draw")) & (F.col("home_win") >= F.col("away_win")), "home_win").when(F.col("draw") >= F.col("away_win"), "draw").otherwise("away_win")
-    rows = rows.withColumns({"_leader": leader, "_rest": rest})
-    final = {c: F.round(F.col(c) + F.when(F.col("_leader") == c, F.col("_rest")).otherwise(0.0), 4) for c in ("home_win", "draw", "away_win")}
-    games = F.least(F.coalesce("home_all_played", F.lit(0)), F.coalesce("away_all_played", F.lit(0)))
-    trust = F.when((games == 0) | (F.coalesce("sample", F.lit(0)) == 0), "none").when(games >= MIN_GAMES, "medium").otherwise("low")
-    return rows.withColumns({**final, "margin": margin, "confidence": trust}).select("match_id", "league", "home_id", "away_id", "expected_home", "expected_away", "margin", "home_win", "draw", "away_win", "confidence")
+    thin = (F.col("home_own.played") < MIN_SPLIT) | (F.col("away_own.played") < MIN_SPLIT)
+    edge = F.when(thin, F.col("home_advantage") / 2).otherwise(0.0)
+    rows = rows.withColumns({"_home": F.greatest(expected("home", "away") + edge, F.lit(0.0)), "_away": F.greatest(expected("away", "home") - edge, F.lit(0.0))})
+    rows = rows.withColumn("margin", exact_round(F.col("_home") - F.col("_away"), 2))
+    share = normal_cdf(F.col("margin") / F.when(F.col("margin_sd") > 0, F.col("margin_sd")).otherwise(MARGIN_SD))
+    free = 1 - F.col("draw_rate")
+    games = F.least("home_all.played", "away_all.played")
+    trust = F.when((games == 0) | (F.col("sample") == 0), "none").when(games >= MIN_GAMES, "medium").otherwise("low")
+    rows = rows.withColumns({"_p": rounded_shares(free * share, F.col("draw_rate"), free * (1 - share)), "confidence": trust})
+    return rows.select("match_id", "league", "home_id", "away_id", exact_round(F.col("_home"), 2).alias("expected_home"), exact_round(F.col("_away"), 2).alias("expected_away"), exact_round(F.col("_home") + F.col("_away"), 2).alias("expected_total"), "margin", "_p.*", "confidence")

@@ -74,6 +74,34 @@ RECORD = """count(*) as played, count(*) filter (result = 'win') as wins, count(
 AGED = "select f.*, exp(-ln(2) / 10 * (epoch_us(max(kickoff) over (partition by league)) - epoch_us(kickoff)) / 86400000000.0) as w from finals f"
 
 
+#: The last ten games of each team in the league strictly before each fixture.
+LAST_GAMES = """last_games as (select f.match_id, f.league, f.kickoff, f.team_id, g.match_id as g, g.kickoff as played_at, g.opponent_id as met_id, g.side as at_side, g.scored, g.conceded, g.result, g.points,
+  row_number() over (partition by f.match_id, f.team_id order by g.kickoff desc, g.match_id desc) as rn
+  from both_sides f join games g on g.league = f.league and g.team_id = f.team_id and g.kickoff < f.kickoff qualify rn <= 10)"""
+FORM_COLUMNS = [f"{split}_{c}" for split in ("overall", "home", "away") for c in ("played", "wins", "draws", "losses", "scored", "conceded", "avg_scored", "avg_conceded", "win_pct")]
+
+
+def form_record(split: str, on: str) -> str:
+    n = f"count(g) filter ({on})"
+    kinds = ", ".join(f"(count(*) filter ({on} and result = '{k}'))::int as {split}_{c}" for k, c in (("win", "wins"), ("draw", "draws"), ("loss", "losses")))
+    goals = ", ".join(f"coalesce(sum(l.{c}) filter ({on}), 0)::bigint as {split}_{c}, printf('%.2f', (coalesce(sum(l.{c}) filter ({on}) / {n}::double, 0))::double)::double as {split}_avg_{c}" for c in ("scored", "conceded"))
+    return f"({n})::int as {split}_played, {kinds}, {goals}, printf('%.3f', (coalesce((count(*) filter ({on} and result = 'win') + 0.5::double * count(*) filter ({on} and result = 'draw')) / nullif({n}, 0), 0))::double)::double as {split}_win_pct"
+
+
+FORMS = f"""other as (select l.match_id, l.team_id, f.result as latest, coalesce(min(l.rn) filter (l.result <> f.result) - 1, max(l.rn)) as run from last_games l join last_games f using (match_id, team_id) where f.rn = 1 group by all),
+forms as (select s.match_id, s.team_id, s.side, {form_record("overall", "true")}, {form_record("home", "at_side = 'home'")}, {form_record("away", "at_side = 'away'")},
+  printf('%.3f', (coalesce(avg(points), 0))::double)::double as points_per_game, coalesce(any_value(upper(latest[1]) || run), '') as streak
+  from both_sides s left join last_games l using (match_id, team_id) left join other using (match_id, team_id) group by s.match_id, s.team_id, s.side)"""
+
+
+def baseline_before(days: int = 0) -> str:
+    within = f" and f.kickoff >= m.kickoff - interval {days} day" if days else ""
+    return f"""latest as (select m.match_id, f.home_score as h, f.away_score as a from matches m join finals f on f.league = m.league and f.kickoff < m.kickoff{within} qualify row_number() over (partition by m.match_id order by f.kickoff desc, f.match_id desc) <= 200),
+baselines as (select m.match_id, m.league, count(h) as sample, {", ".join(f"printf('%.2f', (coalesce(sum({x}) / count(h)::double, 0))::double)::double as {c}" for c, x in (("avg_home", "h"), ("avg_away", "a"), ("home_advantage", "h - a")))},
+  case when count(h) * sum((h - a) * (h - a)) > sum(h - a) * sum(h - a) then printf('%.2f', (sqrt((count(h) * sum((h - a) * (h - a)) - sum(h - a) * sum(h - a))::double / (count(h) * count(h))))::double)::double else 10.0::double end as margin_sd,
+  printf('%.3f', (coalesce(count(*) filter (h = a) / nullif(count(h), 0)::double, 0))::double)::double as draw_rate from matches m left join latest using (match_id) group by m.match_id, m.league)"""
+
+
 def fit_blocks(n: int, aged: str) -> str:
     """The rating fit as a chain of common table expressions, one block for each step of a sweep."""
     out = f"""
@@ -170,18 +198,37 @@ u as (select match_id, '1x2' as market, 'home' as selection, '' as line, 1 + (n
   union all select match_id, 'totals', 'over', '2.5', 1 + 100 / 110.0::double from q where n % 3 = 0 union all select match_id, 'totals', 'under', '2.5', 2.0::double from q where n % 3 = 0
   union all select match_id, 'btts', 'yes', '', 1.8::double from q where n % 2 = 0)
 select match_id, 'p' || match_id % 3 as provider, 'name ' || match_id % 3 as provider_name, market, selection, line, round(o, 4) as decimal_odds from u where o between 1.001 and 1000""",
-        "prjn01_projection": f"""{clubs}, split as (select team_id, side as split, count(*) as played, avg(scored) as s, avg(conceded) as c from games group by all union all select team_id, 'overall', count(*), avg(scored), avg(conceded) from games group by all),
-latest as (select * from finals qualify row_number() over (partition by league order by kickoff desc, match_id desc) <= 200),
-base as (select league, case when stddev_pop(home_score - away_score) > 0 then stddev_pop(home_score - away_score) else 10 end as sd, avg((home_score = away_score)::int) as dr from latest group by league),
-f as (select m.match_id, m.league, m.home_id, m.away_id, (case when h.played >= 3 then h.s else ho.s end + case when a.played >= 3 then a.c else ao.c end) / 2 as eh, (case when a.played >= 3 then a.s else ao.s end + case when h.played >= 3 then h.c else ho.c end) / 2 as ea,
-  least(ho.played, ao.played) as g, sd, dr from matches m join base using (league) join split ho on ho.team_id = m.home_id and ho.split = 'overall' join split ao on ao.team_id = m.away_id and ao.split = 'overall'
-  left join split h on h.team_id = m.home_id and h.split = 'home' left join split a on a.team_id = m.away_id and a.split = 'away' where m.status = 'scheduled'),
-z as (select *, abs((eh - ea) / sd) / sqrt(2) as z, 1 / (1 + 0.3275911::double * abs((eh - ea) / sd) / sqrt(2)) as t from f),
-c as (select *, case when eh >= ea then 1 - 0.5::double * {ERF} * exp(-z * z) else 0.5::double * {ERF} * exp(-z * z) end as share from z),
-p as (select *, round((1 - dr) * share, 4) as h, round(dr, 4) as d, round((1 - dr) * (1 - share), 4) as a from c)
-select match_id, league, home_id, away_id, round(eh, 6) as expected_home, round(ea, 6) as expected_away, round(eh - ea, 6) as margin,
-  round(case when h >= d and h >= a then 1 - d - a else h end, 4) as home_win, round(case when (h < d or h < a) and d >= a then 1 - h - a else d end, 4) as draw, round(case when (h < d or h < a) and d < a then 1 - h - d else a end, 4) as away_win,
-  case when g >= 4 then 'medium' else 'low' end as confidence from p""",
+        "prjn01_projection": f"""{clubs}, {LAST_GAMES}, {FORMS}, {baseline_before()},
+h as (select * from forms where side = 'home'), a as (select * from forms where side = 'away'),
+e as (select m.match_id, m.league, m.home_id, m.away_id, b.*  exclude (match_id, league),
+  case when h.home_played >= 3 then h.home_avg_scored when h.overall_played > 0 then h.overall_avg_scored end as hs, case when h.home_played >= 3 then h.home_avg_conceded when h.overall_played > 0 then h.overall_avg_conceded end as hc,
+  case when a.away_played >= 3 then a.away_avg_scored when a.overall_played > 0 then a.overall_avg_scored end as s, case when a.away_played >= 3 then a.away_avg_conceded when a.overall_played > 0 then a.overall_avg_conceded end as c,
+  case when h.home_played < 3 or a.away_played < 3 then home_advantage / 2 else 0.0::double end as edge, least(h.overall_played, a.overall_played) as g
+  from matches m join h on h.match_id = m.match_id join a on a.match_id = m.match_id join baselines b on b.match_id = m.match_id),
+x as (select *, greatest(coalesce((hs + c) / 2, hs, c, 0.0::double) + edge, 0) as eh, greatest(coalesce((s + hc) / 2, s, hc, 0.0::double) - edge, 0) as ea from e),
+y as (select *, printf('%.2f', (eh - ea)::double)::double as margin from x),
+z as (select *, abs(margin / margin_sd) / sqrt(2) as z, 1 / (1 + 0.3275911::double * abs(margin / margin_sd) / sqrt(2)) as t from y),
+n as (select *, case when margin >= 0 then 1 - 0.5::double * {ERF} * exp(-z * z) else 0.5::double * {ERF} * exp(-z * z) end as share from z),
+p as (select *, printf('%.4f', ((1 - draw_rate) * share)::double)::double as h, printf('%.4f', (draw_rate)::double)::double as d, printf('%.4f', ((1 - draw_rate) * (1 - share))::double)::double as w from n)
+select match_id, league, home_id, away_id, printf('%.2f', (eh)::double)::double as expected_home, printf('%.2f', (ea)::double)::double as expected_away, printf('%.2f', (eh + ea)::double)::double as expected_total, margin,
+  case when h >= d and h >= w then printf('%.4f', (h + (1 - (h + d + w)))::double)::double else h end as home_win, case when (h < d or h < w) and d >= w then printf('%.4f', (d + (1 - (h + d + w)))::double)::double else d end as draw,
+  case when (h < d or h < w) and d < w then printf('%.4f', (w + (1 - (h + d + w)))::double)::double else w end as away_win, case when g = 0 or sample = 0 then 'none' when g >= 4 then 'medium' else 'low' end as confidence from p""",
+        "jn08_form_before": f"{clubs}, {LAST_GAMES}, {FORMS} select match_id, team_id, side, streak, points_per_game, {', '.join(FORM_COLUMNS)} from forms",
+        "agg08_trend_before": f"""{clubs}, {LAST_GAMES}, v as (select *, exp(-ln(2) / 60 * (epoch_us(kickoff) - epoch_us(played_at)) / 86400000000.0) as w from last_games)
+select s.match_id, s.team_id, round(coalesce(sum(w.w), 0), 6) as w_effective_games, {', '.join(f"round(coalesce(sum(w.w * w.{c}) / sum(w.w), 0), 6) as w_{c}, round(coalesce(avg(w.{c}) filter (rn <= 5), 0), 6) as m_{c}, round(coalesce(avg(w.{c}) filter (rn <= 5) - avg(w.{c}), 0), 6) as m_{c}_delta" for c in ("points", "scored", "conceded"))},
+  (count(g) filter (rn <= 5))::int as m_games from both_sides s left join v w using (match_id, team_id) group by s.match_id, s.team_id""",
+        "agg11_strength_before": f"""{clubs}, {LAST_GAMES}, span as (select match_id, team_id, any_value(league) as league, min(played_at) as since, any_value(kickoff) as until from last_games group by all),
+rates as (select s.match_id, s.team_id, g.team_id as met_id, avg(g.scored - g.conceded) as rate from span s join games g on g.league = s.league and g.kickoff >= s.since and g.kickoff < s.until group by all),
+of as (select l.match_id, l.team_id, count(*) as rated_games, avg(rate) as strength from last_games l join rates r using (match_id, team_id, met_id) group by all)
+select s.match_id, s.team_id, coalesce(rated_games, 0) as rated_games, round(strength, 6) as strength from both_sides s left join of using (match_id, team_id)""",
+        "agg13_meetings_before": f"""{clubs}, met as (select m.match_id, g.match_id as g, g.kickoff as met_at, case when g.home_id = m.home_id then g.home_score else g.away_score end as hs, case when g.home_id = m.home_id then g.away_score else g.home_score end as aws
+  from matches m join finals g on g.league = m.league and g.kickoff < m.kickoff and least(g.home_id, g.away_id) = least(m.home_id, m.away_id) and greatest(g.home_id, g.away_id) = greatest(m.home_id, m.away_id)
+  qualify row_number() over (partition by m.match_id order by g.kickoff desc, g.match_id desc) <= 10)
+select m.match_id, m.league, m.home_id, m.away_id, count(g)::int as played, (count(*) filter (hs > aws))::int as home_wins, (count(*) filter (hs < aws))::int as away_wins, (count(*) filter (hs = aws))::int as draws,
+  coalesce(sum(hs), 0)::bigint as home_points, coalesce(sum(aws), 0)::bigint as away_points, printf('%.2f', (coalesce(sum(hs + aws) / count(g)::double, 0))::double)::double as avg_total_points, max_by(g, met_at) as last_met
+from matches m left join met using (match_id) group by all""",
+        "agg14_baseline_before": f"{clubs}, {baseline_before()} select * from baselines",
+        "agg14_baseline_window": f"{clubs}, {baseline_before(3)} select * from baselines",
         "odd05_parse_quotes": f"""{clubs}, q as (select match_id, match_id as n, case when match_id % 7 = 0 then '' else 'p' || match_id % 3 end as provider, (match_id % 400 - 200)::varchar as home,
   case when match_id % 5 = 0 then 'EVEN' else '+' || (match_id % 300 + 100) end as draw, case when match_id % 11 = 0 then 'OFF' else (match_id % 90 / 10.0::double)::varchar end as away,
   match_id % 4 + case when match_id % 2 = 0 then 0.5::double else 0.0::double end as total, '-110' as "over", ' 1.9 ' as "under" from matches where match_id % 7 <> 0),

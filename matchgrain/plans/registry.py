@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrain.functions import listing
-from matchgrain.operators import baseline, fixtures, form, model, projection, value, walkforward
+from matchgrain.operators import asof, baseline, fixtures, form, model, value, walkforward
 from matchgrain.plans import oracle
 from matchgrain.sources import feeds, history, merge, reports
 from matchgrain.sources import surrogate as src
@@ -182,9 +182,50 @@ def odd03_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prjn01_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fixture, played or not, from what was known strictly before it."""
     m = src.matches(spark, sf, clubs=True)
-    out = projection.project(m.where("status = 'scheduled'"), form.splits(fixtures.team_games(fixtures.completed(m))), baseline.league_baseline(m))
-    return out.withColumns({c: F.round(c, 6) for c in ("expected_home", "expected_away", "margin")})
+    return asof.projection_before(m, m, src.games(spark, sf, clubs=True))
+
+
+def form_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.form_before(src.matches(spark, sf, clubs=True), src.games(spark, sf, clubs=True))
+
+
+@query
+def jn08_form_before(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of both teams of every fixture over their last ten games strictly before it, overall and by side."""
+    flat = [F.col(f"{split}.{c}").alias(f"{split}_{c}") for split in ("overall", "home", "away") for c in ("played", "wins", "draws", "losses", "scored", "conceded", "avg_scored", "avg_conceded", "win_pct")]
+    return form_rows(spark, sf).select("match_id", "team_id", "side", "streak", "points_per_game", *flat)
+
+
+@query
+def agg08_trend_before(spark: SparkSession, sf: str) -> DataFrame:
+    """Time-decayed means and momentum of the same games."""
+    w = [F.round(f"weighted.{c}", 6).alias(f"w_{c}") for c in ("effective_games", "points", "scored", "conceded")]
+    m = [F.round(f"momentum.{c}", 6).alias(f"m_{c}") for c in ("points", "scored", "conceded", "points_delta", "scored_delta", "conceded_delta")]
+    return form_rows(spark, sf).select("match_id", "team_id", *w, F.col("momentum.games").alias("m_games"), *m)
+
+
+@query
+def agg11_strength_before(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.strength_before(form_rows(spark, sf), src.games(spark, sf, clubs=True)).withColumn("strength", F.round("strength", 6))
+
+
+@query
+def agg13_meetings_before(spark: SparkSession, sf: str) -> DataFrame:
+    out = asof.meetings_before(src.matches(spark, sf, clubs=True), src.finals(spark, sf, clubs=True))
+    return out.withColumn("last_met", F.get("meetings", F.lit(0))["match_id"]).drop("kickoff", "meetings")
+
+
+@query
+def agg14_baseline_before(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.baseline_before(src.matches(spark, sf, clubs=True))
+
+
+@query
+def agg14_baseline_window(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over the last three days at most."""
+    return asof.baseline_before(src.matches(spark, sf, clubs=True), window_days=3)
 
 
 def replayed(spark: SparkSession, sf: str, sweeps: int = model.SWEEPS) -> DataFrame:
