@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 GOALS, RATE_FLOOR, LINES, TOP_SCORES = 10, 1e-6, (0.5, 1.5, 2.5, 3.5, 4.5), 8
 #: Least matches of a fit, least effective matches of a reliable one, sweeps and tolerance of the fit.
 MIN_MATCHES, MIN_EFFECTIVE, SWEEPS, TOLERANCE = 20, 60.0, 200, 1e-9
-RATINGS = "league string, team_id long, attack double, defence double, home_advantage double, rho double, matches long, effective double, converged boolean, sweeps int, reliable boolean"
+RATINGS = "league string, team_id long, attack double, defence double, home_advantage double, rho double, matches long, effective double, converged boolean, sweeps int, reliable boolean, log_likelihood double"
 
 
 def poisson(goals: Column, rate: Column) -> Column:
@@ -29,51 +29,80 @@ def low_score(hg: Column, ag: Column, lam: Column, mu: Column, rho: Column) -> C
     )
 
 
-def score_grid(rates: DataFrame) -> DataFrame:
-    """(match_id, hg, ag, p) for rows (match_id, lam, mu, rho): 121 cells a fixture, which sum to 1.
+def score_cells(rates: DataFrame, places: int | None = None) -> DataFrame:
+    """``rates`` (lam, mu, rho and any other columns) with ``cells``: the 121 scores (hg, ag, p) of each row, which sum to 1.
 
-    Each side's Poisson terms are computed once a fixture, and the total is the product of their sums but for the
-    four low scores, so nothing is shuffled and each cell is a product of two terms.
+    Each side's Poisson terms are computed once a row, and the total is the product of their sums but for the four low
+    scores, so each cell is a product of two terms. Cells stay in their row: markets add them up without a shuffle.
     """
     lam, mu, rho = F.col("lam"), F.col("mu"), F.col("rho")
     terms = lambda rate: F.array(*(poisson(F.lit(g), rate) for g in range(GOALS + 1)))
-    out = rates.select("match_id", "lam", "mu", "rho", terms(lam).alias("h"), terms(mu).alias("a"))
+    out = rates.withColumns({"_h": terms(lam), "_a": terms(mu)})
     add = lambda c: sum((F.get(c, F.lit(g)) for g in range(1, GOALS + 1)), F.get(c, F.lit(0)))
-    cell = lambda h, a: F.get("h", h) * F.get("a", a)
+    cell = lambda h, a: F.get("_h", h) * F.get("_a", a)
     q = lambda h, a: F.greatest(cell(h, a) * low_score(h, a, lam, mu, rho), F.lit(0.0))
     low = sum((q(F.lit(h), F.lit(a)) - cell(F.lit(h), F.lit(a)) for h, a in ((0, 0), (0, 1), (1, 0), (1, 1))), F.lit(0.0))
-    out = out.withColumn("total", add("h") * add("a") + low).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit((GOALS + 1) ** 2 - 1))))
-    out = out.withColumns({"hg": F.floor(F.col("i") / (GOALS + 1)).cast("int"), "ag": (F.col("i") % (GOALS + 1)).cast("int")})
-    return out.select("match_id", "hg", "ag", F.try_divide(q(F.col("hg"), F.col("ag")), F.col("total")).alias("p"))
+    out = out.withColumn("_total", add("_h") * add("_a") + low)
+
+    def score(i: Column) -> Column:
+        hg, ag = F.floor(i / (GOALS + 1)).cast("int"), (i % (GOALS + 1)).cast("int")
+        p = F.try_divide(q(hg, ag), F.col("_total"))
+        return F.struct(hg.alias("hg"), ag.alias("ag"), (p if places is None else F.round(p, places)).alias("p"))
+
+    return out.withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit((GOALS + 1) ** 2 - 1)), score)).drop("_h", "_a", "_total")
+
+
+def score_grid(rates: DataFrame) -> DataFrame:
+    """(match_id, hg, ag, p): a row for each cell."""
+    return score_cells(rates).select("match_id", F.explode("cells").alias("c")).select("match_id", "c.*")
 
 
 def fair(p: Column) -> Column:
     return F.when(p > 0, F.round(F.try_divide(F.lit(1.0), p), 3))
 
 
-def match_odds(grid: DataFrame) -> DataFrame:
-    """Home, draw and away probabilities with double chances and fair prices."""
-    at = lambda x: F.sum(F.when(x, F.col("p")).otherwise(0.0))
-    out = grid.groupBy("match_id").agg(at(F.expr("hg > ag")).alias("home"), at(F.expr("hg = ag")).alias("draw"), at(F.expr("hg < ag")).alias("away"))
+def sums(parts: dict) -> Column:
+    """A struct of sums over the cells of a row, each of p where a condition holds, or of the value it gives: one pass."""
+    def step(acc: Column, c: Column) -> Column:
+        return F.struct(*((acc[name] + f(c)).alias(name) for name, f in parts.items()))
+
+    return F.aggregate("cells", F.struct(*(F.lit(0.0).alias(name) for name in parts)), step)
+
+
+def p_if(condition):
+    return lambda c: F.when(condition(c), c["p"]).otherwise(0.0)
+
+
+OUTCOMES = {"home": p_if(lambda c: c["hg"] > c["ag"]), "draw": p_if(lambda c: c["hg"] == c["ag"]), "away": p_if(lambda c: c["hg"] < c["ag"])}
+BOTH_SCORE = {"btts": p_if(lambda c: (c["hg"] > 0) & (c["ag"] > 0))}
+EXPECTED = {"exp_home": lambda c: c["p"] * c["hg"], "exp_away": lambda c: c["p"] * c["ag"]}
+OVER = {f"over_{i}": p_if(lambda c, x=x: c["hg"] + c["ag"] > x) for i, x in enumerate(LINES)}
+
+
+def match_odds(rows: DataFrame) -> DataFrame:
+    """Rows with cells become rows with home, draw and away probabilities, double chances and fair prices."""
+    out = rows.withColumn("_o", sums(OUTCOMES)).drop("cells").select("*", "_o.*").drop("_o")
     out = out.select("*", (F.col("home") + F.col("draw")).alias("home_draw"), (F.col("home") + F.col("away")).alias("home_away"), (F.col("draw") + F.col("away")).alias("draw_away"))
     return out.select("*", *(fair(F.col(c)).alias(f"fair_{c}") for c in ("home", "draw", "away")))
 
 
-def totals(grid: DataFrame) -> DataFrame:
-    """Over and under of each line, both teams to score, expected goals: one pass over the grid."""
-    at = lambda x: F.sum(F.when(x, F.col("p")).otherwise(0.0))
-    wide = grid.groupBy("match_id").agg(
-        F.array(*(F.struct(F.lit(x).alias("line"), at(F.col("hg") + F.col("ag") > x).alias("over")) for x in LINES)).alias("lines"),
-        at(F.expr("hg > 0 and ag > 0")).alias("btts"), F.sum(F.col("p") * F.col("hg")).alias("exp_home"), F.sum(F.col("p") * F.col("ag")).alias("exp_away"),
-    )
-    out = wide.select("match_id", F.explode("lines").alias("l"), "btts", "exp_home", "exp_away")
-    return out.select("match_id", "l.line", "l.over", (1 - F.col("l.over")).alias("under"), "btts", (F.col("exp_home") + F.col("exp_away")).alias("exp_total"), (F.col("exp_home") - F.col("exp_away")).alias("supremacy"))
+def totals(rows: DataFrame) -> DataFrame:
+    """A row for each line of each row with cells: over and under, both teams to score, expected goals."""
+    out = rows.withColumn("_o", sums(OVER | BOTH_SCORE | EXPECTED)).drop("cells")
+    lines = F.explode(F.array(*(F.struct(F.lit(x).alias("line"), F.col(f"_o.over_{i}").alias("over")) for i, x in enumerate(LINES)))).alias("l")
+    out = out.select(*(c for c in out.columns if c != "_o"), lines, "_o.btts", "_o.exp_home", "_o.exp_away").select("*", "l.*").drop("l")
+    return out.select("*", (1 - F.col("over")).alias("under"), (F.col("exp_home") + F.col("exp_away")).alias("exp_total"), (F.col("exp_home") - F.col("exp_away")).alias("supremacy"))
+
 
+def likeliest(k: int) -> Column:
+    """The k likeliest cells of a row; ties in the order of the grid."""
+    return F.slice(F.array_sort(F.transform("cells", lambda c: F.struct((-c["p"]).alias("minus"), c["hg"].alias("hg"), c["ag"].alias("ag")))), 1, k)
 
-def correct_scores(grid: DataFrame, k: int = TOP_SCORES) -> DataFrame:
-    """The k likeliest scores of each fixture; ties in the order of the grid."""
-    rn = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("p"), "hg", "ag"))
-    return grid.withColumn("rank", rn).where(F.col("rank") <= k)
+
+def correct_scores(rows: DataFrame, k: int = TOP_SCORES) -> DataFrame:
+    """(match_id, hg, ag, p, rank): the k likeliest scores of each row with cells."""
+    out = rows.select("match_id", F.posexplode(likeliest(k)).alias("i", "c"))
+    return out.select("match_id", "c.hg", "c.ag", (-F.col("c.minus")).alias("p"), (F.col("i") + 1).alias("rank"))
 
 
 def log_tau(hg: np.ndarray, ag: np.ndarray, lam: np.ndarray, mu: np.ndarray, rho: float) -> np.ndarray:
@@ -101,27 +130,36 @@ def best_rho(hg: np.ndarray, ag: np.ndarray, w: np.ndarray, lam: np.ndarray, mu:
 
 
 def fit_group(home: np.ndarray, away: np.ndarray, hg: np.ndarray, ag: np.ndarray, w: np.ndarray, n: int, sweeps: int = SWEEPS) -> dict:
-    """Attack and defence of n teams and the home advantage, block by block until nothing changes."""
+    """Attack and defence of n teams and the home advantage, block by block until no block changes by TOLERANCE; with the log-likelihood."""
     att, dfc, ha = np.ones(n), np.ones(n), 1.0
     total = lambda key, x: np.bincount(key, x, n)
     scored, conceded = total(home, w * hg) + total(away, w * ag), total(home, w * ag) + total(away, w * hg)
     converged, done = False, 0
     for done in range(1, sweeps + 1):  # noqa: B007
-        before = att, dfc, ha
         need = total(home, w * dfc[away] * ha) + total(away, w * dfc[home])
-        att = np.where(need > 0, np.maximum(scored / np.where(need > 0, need, 1), 1e-6), att)
-        scale = math.exp(float(np.log(att).mean()))
-        att, dfc = att / scale, dfc * scale
+        new = np.where(need > 0, np.maximum(scored / np.where(need > 0, need, 1), RATE_FLOOR), att)
+        change = float(np.abs(new - att).max())  # before the scale is pinned, so that it counts as a change
+        scale = math.exp(float(np.log(new).mean()))
+        att, dfc = new / scale, dfc * scale
         need = total(away, w * att[home] * ha) + total(home, w * att[away])
-        dfc = np.where(need > 0, np.maximum(conceded / np.where(need > 0, need, 1), 1e-6), dfc)
+        new = np.where(need > 0, np.maximum(conceded / np.where(need > 0, need, 1), RATE_FLOOR), dfc)
+        change, dfc = max(change, float(np.abs(new - dfc).max())), new
         base = float((w * att[home] * dfc[away]).sum())
-        ha = max(float((w * hg).sum()) / base, 1e-6) if base > 0 else ha
-        change = max(float(np.abs(att - before[0]).max()), float(np.abs(dfc - before[1]).max()), abs(ha - before[2]))
+        if base > 0:
+            new_ha = max(float((w * hg).sum()) / base, RATE_FLOOR)
+            change, ha = max(change, abs(new_ha - ha)), new_ha
         if change < TOLERANCE:
             converged = True
             break
-    lam, mu = np.maximum(att[home] * dfc[away] * ha, 1e-6), np.maximum(att[away] * dfc[home], 1e-6)
-    return {"attack": att, "defence": dfc, "home_advantage": ha, "rho": best_rho(hg, ag, w, lam, mu), "converged": converged, "sweeps": done}
+    lam, mu = np.maximum(att[home] * dfc[away] * ha, RATE_FLOOR), np.maximum(att[away] * dfc[home], RATE_FLOOR)
+    rho = best_rho(hg, ag, w, lam, mu)
+    return {"attack": att, "defence": dfc, "home_advantage": ha, "rho": rho, "converged": converged, "sweeps": done, "log_likelihood": log_likelihood(hg, ag, w, lam, mu, rho)}
+
+
+def log_likelihood(hg: np.ndarray, ag: np.ndarray, w: np.ndarray, lam: np.ndarray, mu: np.ndarray, rho: float) -> float:
+    """The weighted log-likelihood of the scores, minus infinity if the correction rules one out."""
+    terms = lambda k, rate: k * np.log(rate) - rate - np.array([math.lgamma(x + 1) for x in k])
+    return float((w * (terms(hg, lam) + terms(ag, mu) + log_tau(hg, ag, lam, mu, rho))).sum())
 
 
 def weight(age: Column, half_life_days: float) -> Column:
@@ -168,31 +206,46 @@ def fit_leagues(fixtures: DataFrame, half_life_days: float = 120.0, sweeps: int
 
 
 def rated(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Goal rates (match_id, lam, mu, rho) of fixtures whose two teams are rated."""
-    home = ratings.select("league", F.col("team_id").alias("home_id"), F.col("attack").alias("ha"), F.col("defence").alias("hd"), "home_advantage", "rho")
-    away = ratings.select("league", F.col("team_id").alias("away_id"), F.col("attack").alias("aa"), F.col("defence").alias("ad"))
-    both = fixtures.join(home, ["league", "home_id"]).join(away, ["league", "away_id"])
-    lam, mu = F.col("ha") * F.col("ad") * F.col("home_advantage"), F.col("aa") * F.col("hd")
-    return both.select("match_id", "league", F.greatest(lam, F.lit(1e-6)).alias("lam"), F.greatest(mu, F.lit(1e-6)).alias("mu"), "rho")
+    """Goal rates (match_id, league, lam, mu, rho) of fixtures whose two teams are rated, with both teams' ratings and the fit's figures."""
+    side = lambda s, *more: ratings.select("league", F.col("team_id").alias(f"{s}_id"), F.col("attack").alias(f"{s}_attack"), F.col("defence").alias(f"{s}_defence"), *more)
+    fit = ["home_advantage", "rho", "matches", "effective", "converged", "sweeps", "reliable"]
+    both = fixtures.select("match_id", "league", "home_id", "away_id").join(side("home", *fit), ["league", "home_id"]).join(side("away"), ["league", "away_id"])
+    lam, mu = F.col("home_attack") * F.col("away_defence") * F.col("home_advantage"), F.col("away_attack") * F.col("home_defence")
+    return both.withColumns({"lam": F.greatest(lam, F.lit(RATE_FLOOR)), "mu": F.greatest(mu, F.lit(RATE_FLOOR))})
 
 
-def summary(grid: DataFrame, k: int = TOP_SCORES) -> DataFrame:
-    """All markets of each fixture, a row for each market, line and selection with its probability and fair price.
+def markets(rows: DataFrame, k: int = TOP_SCORES) -> DataFrame:
+    """Rows with cells become rows with ``expected`` goals and ``markets``, an array of (market, line, selection, probability, fair_odds).
 
     Markets are 1x2, double_chance, totals, btts and correct_score (the k likeliest, ties in the order of the grid).
-    One aggregate of the grid gives them all; probabilities have five decimals, fair prices three.
+    Probabilities have five decimals, fair prices and expected goals three.
+    """
+    out = rows.withColumns({"_o": sums(OUTCOMES | BOTH_SCORE | OVER | EXPECTED), "_top": likeliest(k)}).drop("cells")
+    o = lambda c: F.col(f"_o.{c}")
+    row = lambda market, line, selection, p: F.struct(F.lit(market).alias("market"), F.lit(line).alias("line"), selection.alias("selection"), F.round(p, 5).alias("probability"), fair(p).alias("fair_odds"))
+    each = [row("1x2", "", F.lit(s), o(s)) for s in ("home", "draw", "away")]
+    each += [row("double_chance", "", F.lit(f"{a}_or_{b}"), o(a) + o(b)) for a, b in (("home", "draw"), ("home", "away"), ("draw", "away"))]
+    each += [row("totals", str(x), F.lit(s), p) for i, x in enumerate(LINES) for s, p in (("over", o(f"over_{i}")), ("under", 1 - o(f"over_{i}")))]
+    each += [row("btts", "", F.lit("yes"), o("btts")), row("btts", "", F.lit("no"), 1 - o("btts"))]
+    exact = F.transform("_top", lambda c: row("correct_score", "", F.concat_ws("-", c["hg"].cast("string"), c["ag"].cast("string")), -c["minus"]))
+    home, away = o("exp_home"), o("exp_away")
+    expected = F.struct(*(F.round(x, 3).alias(n) for n, x in (("home_goals", home), ("away_goals", away), ("total_goals", home + away), ("supremacy", home - away))))
+    return out.withColumns({"expected": expected, "markets": F.concat(F.array(*each), exact)}).drop("_o", "_top")
+
+
+def summary(rows: DataFrame, keep: tuple[str, ...] = ("match_id",), k: int = TOP_SCORES) -> DataFrame:
+    """A row for each market, line and selection of each row with cells, with its columns ``keep``."""
+    return markets(rows, k).select(*keep, F.explode("markets").alias("r")).select(*keep, "r.*")
+
+
+def forecast(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
+    """A document for each fixture whose two teams are rated: model, teams, expected goals and all markets.
+
+    Goal rates come from ``rated``; model has the fit's figures, teams each side's attack and defence of four decimals.
     """
-    at = lambda x: F.sum(F.when(F.expr(x), F.col("p")).otherwise(0.0))
-    cells = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("minus"), "hg", "ag")))
-    one = grid.groupBy("match_id").agg(at("hg > ag").alias("home"), at("hg = ag").alias("draw"), at("hg < ag").alias("away"), at("hg > 0 and ag > 0").alias("both"), *(at(f"hg + ag > {x}").alias(f"over_{i}") for i, x in enumerate(LINES)), F.slice(cells, 1, k).alias("cells"))
-    row = lambda market, line, selection, p: F.struct(F.lit(market).alias("market"), F.lit(line).alias("line"), selection.alias("selection"), p.alias("p"))
-    rows = [row("1x2", "", F.lit(s), F.col(s)) for s in ("home", "draw", "away")]
-    rows += [row("double_chance", "", F.lit(f"{a}_or_{b}"), F.col(a) + F.col(b)) for a, b in (("home", "draw"), ("home", "away"), ("draw", "away"))]
-    rows += [row("totals", str(x), F.lit(s), p) for i, x in enumerate(LINES) for s, p in (("over", F.col(f"over_{i}")), ("under", 1 - F.col(f"over_{i}")))]
-    rows += [row("btts", "", F.lit("yes"), F.col("both")), row("btts", "", F.lit("no"), 1 - F.col("both"))]
-    exact = F.transform("cells", lambda c: row("correct_score", "", F.concat_ws("-", c["hg"].cast("string"), c["ag"].cast("string")), -c["minus"]))
-    out = one.select("match_id", F.explode(F.concat(F.array(*rows), exact)).alias("r")).select("match_id", "r.*")
-    return out.select("match_id", "market", "line", "selection", F.round("p", 5).alias("probability"), fair(F.col("p")).alias("fair_odds"))
+    side = lambda s: F.struct(F.round(f"{s}_attack", 4).alias("attack"), F.round(f"{s}_defence", 4).alias("defence")).alias(s)
+    fit = [F.round("home_advantage", 4).alias("home_advantage"), F.round("rho", 4).alias("rho"), "matches", F.round("effective", 2).alias("effective_matches"), "converged", "sweeps", "reliable"]
+    return markets(score_cells(rated(fixtures, ratings))).select("match_id", "league", F.struct(*fit).alias("model"), F.struct(side("home"), side("away")).alias("teams"), "expected", "markets")
 
 
 def unrated(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -83,11 +83,13 @@ def kelly(p: Column, o: Column) -> Column:
 def value_bets(odds: DataFrame, model: DataFrame, edge: float = EDGE, share: float = KELLY_SHARE, cap: float = STAKE_CAP) -> DataFrame:
     """Prices whose model probability beats the market's by ``edge`` with a positive expected value.
 
-    ``model`` has match_id, market, selection, line, probability; probabilities are rounded to five decimals first.
+    ``model`` has match_id, market, selection, line, probability and any columns to keep; probabilities are rounded to five
+    decimals first.
     """
     p, o = F.round("probability", 5), F.col("decimal_odds")
+    more = [c for c in model.columns if c not in ("match_id", "market", "selection", "line", "probability")]
     rows = devig(odds).where("quoted >= 2").join(model, ["match_id", "market", "selection", "line"])
-    rows = rows.select("match_id", "provider", "market", "selection", "line", "decimal_odds", "implied", p.alias("p"), (p - F.col("implied")).alias("edge"), (p * o - 1).alias("ev"), kelly(p, o).alias("kelly"))
+    rows = rows.select(*more, "match_id", "provider", "market", "selection", "line", "decimal_odds", "implied", p.alias("p"), (p - F.col("implied")).alias("edge"), (p * o - 1).alias("ev"), kelly(p, o).alias("kelly"))
     return rows.where((F.col("edge") >= edge) & (F.col("ev") > 0)).withColumn("stake", F.round(F.least(F.col("kelly") * share, F.lit(cap)), 5))
 
 
@@ -96,8 +98,10 @@ def settled(market: Column, selection: Column, line: Column, hg: Column, ag: Col
     total, at = hg + ag, line.try_cast("double")
     one = F.when(selection == "home", hg > ag).when(selection == "draw", hg == ag).when(selection == "away", hg < ag)
     both = (hg > 0) & (ag > 0)
+    either = F.when(selection == "home_or_draw", hg >= ag).when(selection == "home_or_away", hg != ag).when(selection == "draw_or_away", hg <= ag)
     return (
         F.when(market == "1x2", one)
+        .when(market == "double_chance", either)
         .when(market == "totals", F.when(selection == "over", total > at).when(selection == "under", total < at))
         .when(market == "btts", F.when(selection == "yes", both).when(selection == "no", ~both))
     )
@@ -115,14 +119,15 @@ def scores(forecasts: DataFrame, by: list[str]) -> DataFrame:
     return forecasts.groupBy(*by).agg(F.count("*").alias("n"), F.avg(-F.log(F.greatest(hit, F.lit(LOSS_FLOOR)))).alias("log_loss"), F.avg(brier).alias("brier"), F.avg((best == F.col("outcome")).cast("double")).alias("accuracy"))
 
 
-def calibration(forecasts: DataFrame, bins: int = 10) -> DataFrame:
-    """Mean forecast and observed frequency in equal bins; each row gives three forecasts."""
+def calibration(forecasts: DataFrame, bins: int = 10, by: list[str] | None = None) -> DataFrame:
+    """Mean forecast and observed frequency in equal bins, by group if given; each row gives three forecasts."""
+    by = by or []
     each = F.explode(F.array(*(F.struct(F.col(o).alias("p"), (F.col("outcome") == o).cast("double").alias("y")) for o in ("home", "draw", "away")))).alias("f")
-    rows = forecasts.select(each).select("f.p", "f.y", F.least(F.floor(F.col("f.p") * bins), F.lit(bins - 1)).cast("int").alias("bin"))
-    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("observed"))
+    rows = forecasts.select(*by, each).select(*by, "f.p", "f.y", F.least(F.floor(F.col("f.p") * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("observed"))
 
 
-def ledger(bets: DataFrame, by: str) -> DataFrame:
+def ledger(bets: DataFrame, by: str | list[str]) -> DataFrame:
     """Bankroll after each bet, its peak and drawdown, by running products over the bets in order.
 
     ``bets`` has match_id, kickoff, provider, market, selection, line, decimal_odds, ev, stake (a fraction) and won. The
@@ -131,26 +136,46 @@ def ledger(bets: DataFrame, by: str) -> DataFrame:
     days by another one with a row a day, so that no task holds the whole history of a group; drawdown is taken from logarithms,
     as a bankroll of many bets leaves the range of doubles.
     """
+    by = [by] if isinstance(by, str) else by
     order = ["kickoff", "match_id", "provider", "market", "selection", "line"]
     growth = F.when(F.col("won"), 1 + F.col("stake") * (F.col("decimal_odds") - 1)).otherwise(1 - F.col("stake"))
-    w = Window.partitionBy(by, "_day").orderBy(*order[:2], F.round("ev", 5).desc(), *order[2:]).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "_day").orderBy(*order[:2], F.round("ev", 5).desc(), *order[2:]).rowsBetween(Window.unboundedPreceding, 0)
     rows = bets.where("won is not null and stake > 0").withColumns({"_day": F.to_date("kickoff"), "_g": F.log(growth)})
     rows = rows.withColumn("_sum", F.sum("_g").over(w)).withColumn("_top", F.max("_sum").over(w))
-    before = Window.partitionBy(by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = rows.groupBy(by, "_day").agg(F.sum("_g").alias("_all"), F.max("_sum").alias("_most")).withColumn("_base", F.coalesce(F.sum("_all").over(before), F.lit(0.0)))
-    days = days.select(by, "_day", "_base", F.greatest(F.lit(0.0), F.max(F.col("_base") + F.col("_most")).over(before)).alias("_peak"))
-    rows = rows.join(days, [by, "_day"]).withColumn("log_bankroll", F.col("_base") + F.col("_sum"))
+    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*by, "_day").agg(F.sum("_g").alias("_all"), F.max("_sum").alias("_most")).withColumn("_base", F.coalesce(F.sum("_all").over(before), F.lit(0.0)))
+    days = days.select(*by, "_day", "_base", F.greatest(F.lit(0.0), F.max(F.col("_base") + F.col("_most")).over(before)).alias("_peak"))
+    rows = rows.join(days, [*by, "_day"]).withColumn("log_bankroll", F.col("_base") + F.col("_sum"))
     rows = rows.withColumn("_log_peak", F.greatest(F.col("_peak"), F.col("_base") + F.col("_top")))
     rows = rows.withColumns({"bankroll": F.exp("log_bankroll"), "peak": F.exp("_log_peak"), "drawdown": 1 - F.exp(F.col("log_bankroll") - F.col("_log_peak"))})
-    return rows.select(by, *order, "decimal_odds", "ev", "stake", "won", "log_bankroll", "bankroll", "peak", "drawdown")
-
-
-def flat_yield(bets: DataFrame, by: str) -> DataFrame:
+    return rows.select(*by, *order, "decimal_odds", "ev", "stake", "won", "log_bankroll", "bankroll", "peak", "drawdown", F.exp(F.col("log_bankroll") - F.col("_g")).alias("bankroll_before"))
+
+
+def ledger_report(rows: DataFrame, by: list[str]) -> DataFrame:
+    """What the bets of a ledger came to, by group: bets, wins, hit_rate, staked, profit, yield, the yield of level stakes with its
+    standard error and t statistic and whether that is at least 2, final_bankroll, growth, max_drawdown; of four decimals (t of two)."""
+    stake = F.col("stake") * F.col("bankroll_before")
+    last = F.max_by("bankroll", F.struct("kickoff", "match_id", -F.round("ev", 5), "provider", "market", "selection", "line"))
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("bets"), F.count(F.when(F.col("won"), 1)).alias("wins"), F.sum(stake).alias("_staked"), F.sum(F.when(F.col("won"), stake * F.col("decimal_odds")).otherwise(0.0)).alias("_returned"),
+        last.alias("_bankroll"), F.greatest(F.max("drawdown"), F.lit(0.0)).alias("_drawdown"),
+    )
+    profit, four = F.col("_returned") - F.col("_staked"), lambda x, name: F.round(x, 4).alias(name)
+    flat = flat_yield(rows, by).select(*by, four(F.col("yield"), "flat_stake_yield"), four(F.col("stderr"), "flat_yield_stderr"), F.round("t", 2).alias("flat_yield_t_stat"))
+    out = out.join(flat, by).withColumn("distinguishable_from_zero", F.coalesce(F.abs("flat_yield_t_stat") >= 2, F.lit(False)))
+    return out.select(
+        *by, "bets", "wins", four(F.col("wins") / F.col("bets"), "hit_rate"), four(F.col("_staked"), "staked"), four(profit, "profit"), four(F.try_divide(profit, F.col("_staked")), "yield"), "flat_stake_yield",
+        "flat_yield_stderr", "flat_yield_t_stat", "distinguishable_from_zero", four(F.col("_bankroll"), "final_bankroll"), four(F.col("_bankroll") - 1, "growth"), four(F.col("_drawdown"), "max_drawdown"),
+    )
+
+
+def flat_yield(bets: DataFrame, by: str | list[str]) -> DataFrame:
     """Mean return of one unit a bet, its standard error and t statistic."""
+    by = [by] if isinstance(by, str) else by
     gain = F.when(F.col("won"), F.col("decimal_odds") - 1).otherwise(-1.0)
-    out = bets.where("won is not null").groupBy(by).agg(F.count("*").alias("bets"), F.avg(gain).alias("yield"), F.stddev_samp(gain).alias("sd"))
+    out = bets.where("won is not null").groupBy(*by).agg(F.count("*").alias("bets"), F.avg(gain).alias("yield"), F.stddev_samp(gain).alias("sd"))
     error = F.col("sd") / F.sqrt("bets")
-    return out.select(by, "bets", "yield", error.alias("stderr"), F.try_divide(F.col("yield"), error).alias("t"))
+    return out.select(*by, "bets", "yield", error.alias("stderr"), F.try_divide(F.col("yield"), error).alias("t"))
 
 
 def consensus(odds: DataFrame, preferred: str = "fd-avg") -> DataFrame:

@@ -1,84 +1,179 @@
-"""Walk-forward replay: each match is forecast by a fit of what came before it, refitted every so many matches."""
+"""Walk-forward replay: each match is forecast by a fit of what came before it, refitted every so many matches, and bet on."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrain.operators import model, value
+from matchgrain.functions.written import written
+from matchgrain.operators import asof, model, value
 from matchgrain.operators.fixtures import micros
+from matchgrain.operators.form import DAY
 
-FIT = ["league", "point"]
+FIT = ["half_life_days", "league", "point"]
+CELL = ["league", "home_id", "away_id", "home_score", "away_score"]
+#: Half-lives of a span: sums within one stay far below the largest double, and what is older than the last one counts for nothing.
+SPAN = 500
+#: The gap between the best and the worst log loss of a sweep below which candidates do not differ: fixed value.
+SPREAD = 0.005
 
 
 def schedule(finals: DataFrame, refit_every: int = 1) -> DataFrame:
     """Final fixtures with the number of league matches strictly before them and the fit in force, ``point``.
 
     Fits begin at the first match with MIN_MATCHES before it and follow every ``refit_every`` matches; earlier ones
-    have a null point. Ties in time keep the order of ids.
+    have a null point. Ties in time keep the order of ids. Counts run over days and within them, so that no task holds a
+    league's whole history.
     """
-    order = Window.partitionBy("league").orderBy("kickoff", "match_id")
-    past = Window.partitionBy("league").orderBy(micros(F.col("kickoff"))).rangeBetween(Window.unboundedPreceding, -1)
-    rows = finals.withColumn("before", F.count("*").over(past)).withColumn("_ready", F.col("before") >= model.MIN_MATCHES)
-    rows = rows.withColumn("_k", F.sum(F.col("_ready").cast("long")).over(order))
-    point = F.when(F.col("_ready"), F.floor((F.col("_k") - 1) / refit_every))
-    return rows.withColumn("point", point.cast("long")).drop("_ready", "_k")
+    rows = asof.running(finals, ["league"], {"n": F.lit(1)}, ["match_id"]).withColumnRenamed("before_n", "before")
+    waiting = rows.where(F.col("before") < model.MIN_MATCHES).groupBy("league").agg(F.count("*").alias("_waiting"))  # all of them come before the others
+    rows = rows.join(waiting, "league", "left")
+    point = F.when(F.col("before") >= model.MIN_MATCHES, F.floor((F.col("upto_n") - F.coalesce("_waiting", F.lit(0)) - 1) / refit_every))
+    return rows.withColumn("point", point.cast("long")).drop("upto_n", "_waiting")
+
+
+def candidates(half_lives: list[float]) -> Column:
+    return F.explode(F.array(*(F.lit(float(h)) for h in half_lives))).alias("half_life_days")
 
 
-def fits(finals: DataFrame, planned: DataFrame, half_life_days: float, sweeps: int = model.SWEEPS) -> DataFrame:
-    """Ratings of every (league, point), from the matches strictly before its first match and weighted by age at it.
+def states(planned: DataFrame, half_lives: list[float]) -> DataFrame:
+    """What a fit needs of the history, kept up as it grows: a row each time a pairing has a score again.
 
-    Each fit needs the history before it: histories are summed to one row for each pairing and score before they are
-    shuffled, so a fit costs what its league has of pairings, and fits spread over tasks by league and point.
+    Rows (half_life_days, league, home_id, away_id, scores, kickoff, n, w, from, to): how often the pairing had that score
+    so far, the sum of weights 2 ** (-age / half life) as of this kickoff, and the range of points, from <= point < to,
+    whose latest state this is. Weights are summed by running sums in spans of SPAN half-lives, each scaled to its begin; of
+    earlier spans only the last one counts in a double. Rows of one pairing and score are few.
     """
-    points = planned.where("point is not null").groupBy(*FIT).agg(F.min("kickoff").alias("anchor"))
-    w = model.weight(model.days_between(F.col("kickoff"), F.col("anchor")), half_life_days)
-    rows = finals.join(points, "league").where("kickoff < anchor").groupBy(*FIT, "home_id", "away_id", "home_score", "away_score").agg(F.sum(w).alias("w"), F.count("*").alias("n"))
+    league = Window.partitionBy("league", "kickoff")
+    last = planned.groupBy("league").agg((F.max("point") + 1).alias("_points")).where("_points is not null")
+    rows = planned.select(*CELL, "match_id", "kickoff", (F.coalesce(F.max("point").over(league), F.lit(-1)) + 1).alias("from"))
+    rows = rows.join(last, "league").select("*", candidates(half_lives))
+    cell = Window.partitionBy("half_life_days", *CELL)
+    day = micros(F.col("kickoff")) / F.lit(float(DAY))
+    rows = rows.withColumn("_lives", (day - F.min(day).over(cell)) / F.col("half_life_days"))
+    rows = rows.withColumn("_span", F.floor(F.col("_lives") / SPAN))
+    rows = rows.withColumn("_x", F.pow(F.lit(2.0), F.col("_lives") - F.col("_span") * SPAN))
+    order = cell.orderBy("kickoff", "match_id")
+    own = Window.partitionBy("half_life_days", *CELL, "_span").orderBy("kickoff", "match_id").rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.coalesce(F.sum("_x").over(cell.orderBy("_span").rangeBetween(-1, -1)), F.lit(0.0)) * F.lit(2.0**-SPAN)
+    to = F.coalesce(F.lead("from").over(order), F.col("_points"))
+    rows = rows.withColumns({"w": (F.sum("_x").over(own) + carried) / F.col("_x"), "n": F.row_number().over(order).cast("long"), "to": to})
+    return rows.where(F.col("from") < F.col("to")).select("half_life_days", *CELL, "kickoff", "n", "w", "from", "to")
+
+
+def fits(planned: DataFrame, half_lives: list[float], sweeps: int = model.SWEEPS) -> DataFrame:
+    """Ratings of every (half_life_days, league, point), from the matches strictly before its first match, weighted by age at it.
+
+    A fit reads the state of each pairing and score in force at its point, not the history: a state is copied to its range
+    of points and aged to their anchors, so rows are fits times the pairings and scores seen so far.
+    """
+    anchors = planned.where("point is not null").groupBy("league", "point").agg(F.min("kickoff").alias("anchor"))
+    each = states(planned, half_lives).withColumn("point", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
+    aged = F.col("w") * F.pow(F.lit(2.0), -model.days_between(F.col("kickoff"), F.col("anchor")) / F.col("half_life_days"))
+    rows = each.join(anchors, ["league", "point"]).select(*FIT, *CELL[1:], aged.alias("w"), "n")
     return model.fit_pairs(rows, FIT, sweeps)
 
 
-def forecasts(planned: DataFrame, ratings: DataFrame) -> DataFrame:
+def forecasts(planned: DataFrame, ratings: DataFrame, half_lives: list[float]) -> DataFrame:
     """The scheduled matches with goal rates under the fit in force; ``skipped`` is 'no_history', 'unknown_team' or null."""
+    planned = planned.select(candidates(half_lives), "*")
     home = ratings.select(*FIT, F.col("team_id").alias("home_id"), F.col("attack").alias("_ha"), F.col("defence").alias("_hd"), "home_advantage", "rho", "effective", "reliable")
     away = ratings.select(*FIT, F.col("team_id").alias("away_id"), F.col("attack").alias("_aa"), F.col("defence").alias("_ad"))
     both = planned.join(home, [*FIT, "home_id"], "left").join(away, [*FIT, "away_id"], "left")
     lam, mu = F.col("_ha") * F.col("_ad") * F.col("home_advantage"), F.col("_aa") * F.col("_hd")
     known = lam.isNotNull() & mu.isNotNull()
     skipped = F.when(F.col("point").isNull(), "no_history").when(~known, "unknown_team")
-    rates = [F.when(known, F.greatest(x, F.lit(1e-6))).alias(n) for x, n in ((lam, "lam"), (mu, "mu"))]
+    rates = [F.when(known, F.greatest(x, F.lit(model.RATE_FLOOR))).alias(n) for x, n in ((lam, "lam"), (mu, "mu"))]
     return both.select(*planned.columns, *rates, "rho", "effective", "reliable", skipped.alias("skipped"))
 
 
-def account(replayed: DataFrame) -> DataFrame:
-    """By league: matches scored, those skipped and why, and the number of fits."""
+def replay(finals: DataFrame, half_lives: list[float], refit_every: int = 1, sweeps: int = model.SWEEPS) -> DataFrame:
+    """All forecasts of a replay under each half-life, written once, as reports read them several times."""
+    planned = schedule(finals, refit_every)
+    return written(forecasts(planned, fits(planned, half_lives, sweeps), half_lives), "replay")
+
+
+def account(replayed: DataFrame, min_effective: float = model.MIN_EFFECTIVE) -> DataFrame:
+    """By half-life and league: matches scored, those skipped and why, those scored but not bet on, and the number of fits."""
     count = lambda x: F.count(F.when(x, 1))
-    return replayed.groupBy("league").agg(
+    return replayed.groupBy("half_life_days", "league").agg(
         count(F.col("skipped").isNull()).alias("scored"), count(F.col("skipped") == "no_history").alias("skipped_no_history"),
-        count(F.col("skipped") == "unknown_team").alias("skipped_unknown_team"), F.countDistinct("point").alias("refits"),
+        count(F.col("skipped") == "unknown_team").alias("skipped_unknown_team"), count(F.col("skipped").isNull() & (F.col("effective") < min_effective)).alias("skipped_unreliable_fit"),
+        F.countDistinct("point").alias("refits"),
     )
 
 
 def outcomes(replayed: DataFrame) -> DataFrame:
-    """Outcome probabilities of the scored matches beside what happened."""
-    odds = model.match_odds(model.score_grid(replayed.where("skipped is null"))).select("match_id", "home", "draw", "away")
-    return replayed.join(odds, "match_id").withColumn("outcome", value.actual(F.col("home_score"), F.col("away_score")))
+    """Outcome probabilities of the scored matches beside what happened; computed within the row."""
+    return model.match_odds(model.score_cells(replayed.where("skipped is null"))).withColumn("outcome", value.actual(F.col("home_score"), F.col("away_score")))
 
 
-def report(scored: DataFrame) -> DataFrame:
-    """Scores of the model by league, and of a forecast that gives every match the league's outcome rates."""
-    by = ["league"]
+def report(scored: DataFrame, by: tuple[str, ...] = ("half_life_days", "league")) -> DataFrame:
+    """Scores of the model, and of a forecast that gives every match its group's outcome rates."""
+    by = list(by)
     share = lambda o: F.avg((F.col("outcome") == o).cast("double")).alias(o)
     rates = scored.groupBy(*by).agg(*map(share, ("home", "draw", "away")))
     base = value.scores(scored.select(*by, "outcome").join(rates, by), by).select(*by, *(F.col(c).alias(f"base_{c}") for c in ("log_loss", "brier", "accuracy")))
     return value.scores(scored, by).join(base, by)
 
 
-def half_life_sweep(finals: DataFrame, half_lives: list[float], refit_every: int = 10, sweeps: int = model.SWEEPS) -> DataFrame:
-    """Log loss and Brier score by league and half-life, the best first: one replay, its fits keyed by half-life too."""
-    planned = schedule(finals, refit_every)
-    runs = [report(outcomes(forecasts(planned, fits(finals, planned, h, sweeps)))).withColumn("half_life_days", F.lit(float(h))) for h in half_lives]
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    best = F.row_number().over(Window.partitionBy("league").orderBy("log_loss", "half_life_days"))
-    return out.withColumn("rank", best)
+def bets(replayed: DataFrame, odds: DataFrame, min_effective: float = model.MIN_EFFECTIVE, **limits) -> DataFrame:
+    """Value bets of each match by the fit in force, settled: none before the fit carries ``min_effective`` matches of weight.
+
+    Returns ``value_bets`` columns with half_life_days, league, kickoff and won; bets of unknown markets have a null ``won``.
+    """
+    trusted = replayed.where((F.col("skipped").isNull()) & (F.col("effective") >= min_effective))
+    keep = ("half_life_days", "match_id", "league", "kickoff", "home_score", "away_score")
+    models = model.summary(model.score_cells(trusted), keep).drop("fair_odds")
+    out = value.value_bets(odds, models, **limits)
+    return out.withColumn("won", value.settled(*map(F.col, ("market", "selection", "line", "home_score", "away_score"))))
+
+
+def betting(replayed: DataFrame, odds: DataFrame, min_effective: float = model.MIN_EFFECTIVE, **limits) -> DataFrame:
+    """By half-life and league what betting on the replay made: an ordered fold of the bankroll over the matches and their bets.
+
+    Columns: events_with_odds (trusted matches with a price), then those of ``value.ledger_report``; leagues without bets have
+    zeros and nulls and a bankroll of 1.
+    """
+    by = ["half_life_days", "league"]
+    trusted = replayed.where((F.col("skipped").isNull()) & (F.col("effective") >= min_effective))
+    priced = trusted.join(odds.select("match_id").distinct(), "match_id", "left_semi").groupBy(*by).agg(F.count("*").alias("events_with_odds"))
+    made = value.ledger_report(written(value.ledger(bets(replayed, odds, min_effective, **limits), by), "ledger"), by)
+    out = replayed.select(*by).distinct().join(priced, by, "left").join(made, by, "left")
+    return out.fillna({"events_with_odds": 0, "bets": 0, "wins": 0, "staked": 0.0, "profit": 0.0, "final_bankroll": 1.0, "growth": 0.0, "max_drawdown": 0.0})
+
+
+def document(replayed: DataFrame, odds: DataFrame, **limits) -> DataFrame:
+    """The whole report of a replay, one row by half-life and league: counts, scores, base rates, market, calibration and betting.
+
+    Log losses, Brier scores and shares have four decimals, as the parts that are compared with one another are rounded first.
+    """
+    by = ["half_life_days", "league"]
+    scored = written(outcomes(replayed), "outcomes")
+    four = lambda df: df.select(*by, *(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in by))
+    market = value.against_market(scored, value.consensus(odds), by)
+    bins = value.calibration(scored, by=by).withColumns({c: F.round(c, 4) for c in ("predicted", "observed")})
+    bins = bins.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "predicted", "observed"))).alias("calibration"))
+    out = account(replayed).join(four(report(scored)).drop("n"), by, "left")
+    pack = lambda df, name: df.select(*by, F.struct(*(c for c in df.columns if c not in by)).alias(name))
+    for part, name in ((four(market), "market"), (betting(replayed, odds, **limits), "betting")):
+        out = out.join(pack(part, name), by, "left")
+    return out.join(bins, by, "left")
+
+
+def half_life_sweep(finals: DataFrame, half_lives: list[float], refit_every: int = 5, sweeps: int = model.SWEEPS) -> DataFrame:
+    """Candidates ranked by log loss in each league: one replay whose fits are keyed by half-life, so the history is read once.
+
+    Log losses, Brier scores and accuracies have four decimals; equal ones keep the order of the half-lives; candidates
+    without a scored match come last with nulls. ``spread`` is the worst log loss less the best, ``distinct`` whether it
+    reaches SPREAD.
+    """
+    replayed = replay(finals, half_lives, refit_every, sweeps)
+    scored = report(outcomes(replayed)).select("half_life_days", "league", F.col("n").alias("forecasts"), *(F.round(c, 4).alias(c) for c in ("log_loss", "brier", "accuracy")), F.round("base_log_loss", 4).alias("baseline_log_loss"))
+    out = replayed.select("half_life_days", "league").distinct().join(scored, ["half_life_days", "league"], "left").fillna({"forecasts": 0})
+    league = Window.partitionBy("league")
+    rank = F.row_number().over(league.orderBy(F.col("log_loss").asc_nulls_last(), "half_life_days"))
+    out = out.withColumns({"rank": rank, "spread": F.round(F.max("log_loss").over(league) - F.min("log_loss").over(league), 4)})
+    return out.withColumn("distinct", F.col("spread") >= SPREAD)

@@ -56,10 +56,10 @@ forecasts as (select league, max(implied) filter (selection = 'home') as home, m
   from devig join finals using (match_id) where market = '1x2' and provider = 'fd-avg' group by match_id, league)"""
 )
 
-#: Matches with the number of the fit in force, every 200 matches, and the matches before each fit under the fit's name.
+#: Matches with the number of the fit in force, every five matches, and the matches before each fit under the fit's name.
 PLANNED = """
 counted as (select *, count(*) over (partition by league order by epoch_us(kickoff) range between unbounded preceding and 1 preceding) as before from finals),
-planned as (select *, case when before >= 20 then (sum((before >= 20)::int) over (partition by league order by kickoff, match_id rows unbounded preceding) - 1)::bigint // 200 end as point from counted),
+planned as (select *, case when before >= 20 then (sum((before >= 20)::int) over (partition by league order by kickoff, match_id rows unbounded preceding) - 1)::bigint // 5 end as point from counted),
 anchors as (select league, point, min(kickoff) as anchor from planned where point is not null group by all)"""
 HISTORY = "select f.* exclude (league), f.league || '#' || point as league, exp(-ln(2) / 10 * (epoch_us(anchor) - epoch_us(kickoff)) / 86400000000.0) as w from finals f join anchors x on f.league = x.league and f.kickoff < x.anchor"
 
@@ -188,10 +188,12 @@ select match_id, round(1 / home, 3) as fair_home, round(1 / draw, 3) as fair_dra
 select match_id, p.league, before, point, case when h.att is not null and a.att is not null then round(greatest(h.att * a.def * h.ha, 1e-6), 6) end as lam, case when h.att is not null and a.att is not null then round(greatest(a.att * h.def, 1e-6), 6) end as mu,
   case when point is null then 'no_history' when h.att is null or a.att is null then 'unknown_team' end as skipped
 from planned p left join r3 h on h.league = p.league || '#' || point and h.team_id = home_id left join r3 a on a.league = p.league || '#' || point and a.team_id = away_id""",
-        "bt05_account": f"""{clubs}, {PLANNED}, seen as (select x.league, point, home_id as team_id from finals f join anchors x on f.league = x.league and f.kickoff < anchor union select x.league, point, away_id from finals f join anchors x on f.league = x.league and f.kickoff < anchor),
-r as (select p.*, case when p.point is null then 'no_history' when h.team_id is null or a.team_id is null then 'unknown_team' end as skipped from planned p
+        "bt05_account": f"""{clubs}, {PLANNED}, strength as (select x.league, point, sum(exp(-ln(2) / 10 * (epoch_us(anchor) - epoch_us(kickoff)) / 86400000000.0)) as effective from finals f join anchors x on f.league = x.league and f.kickoff < anchor group by all),
+seen as (select x.league, point, home_id as team_id from finals f join anchors x on f.league = x.league and f.kickoff < anchor union select x.league, point, away_id from finals f join anchors x on f.league = x.league and f.kickoff < anchor),
+r as (select p.*, case when p.point is null then 'no_history' when h.team_id is null or a.team_id is null then 'unknown_team' end as skipped, effective from planned p
+  left join strength s on s.league = p.league and s.point = p.point
   left join seen h on h.league = p.league and h.point = p.point and h.team_id = home_id left join seen a on a.league = p.league and a.point = p.point and a.team_id = away_id)
-select league, count(*) filter (skipped is null) as scored, count(*) filter (skipped = 'no_history') as skipped_no_history, count(*) filter (skipped = 'unknown_team') as skipped_unknown_team, count(distinct point) as refits from r group by league""",
+select league, count(*) filter (skipped is null) as scored, count(*) filter (skipped = 'no_history') as skipped_no_history, count(*) filter (skipped = 'unknown_team') as skipped_unknown_team, count(*) filter (skipped is null and effective < 60) as skipped_unreliable_fit, count(distinct point) as refits from r group by league""",
         "odd03_payload": f"""{clubs}, q as (select match_id, match_id as n, 1.5::double + match_id % 300 / 100.0::double as d from matches where match_id % 4 <> 0),
 u as (select match_id, '1x2' as market, 'home' as selection, '' as line, 1 + (n % 150 + 100) / 100.0::double as o from q
   union all select match_id, '1x2', 'away', '', d from q union all select match_id, '1x2', 'draw', '', (n % 89 + 1.5::double) from q

@@ -104,35 +104,35 @@ def agg18_appearance_share(spark: SparkSession, sf: str) -> DataFrame:
     return baseline.appearance_share(src.injuries(spark, sf)[1]).withColumn("importance", F.round("importance", 6))
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    return model.score_grid(src.goal_rates(spark, sf))
+def cells(spark: SparkSession, sf: str, places: int | None = None) -> DataFrame:
+    return model.score_cells(src.goal_rates(spark, sf), places)
 
 
 @query
 def mod12_score_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return grid(spark, sf).withColumn("p", F.round("p", 9))
+    return model.score_grid(src.goal_rates(spark, sf)).withColumn("p", F.round("p", 9))
 
 
 @query
 def mkt01_match_odds(spark: SparkSession, sf: str) -> DataFrame:
-    out = model.match_odds(grid(spark, sf))
+    out = model.match_odds(cells(spark, sf))
     return out.select("match_id", *(F.round(c, 7).alias(c) for c in ("home", "draw", "away", "home_draw", "home_away", "draw_away")))
 
 
 @query
 def mkt03_totals(spark: SparkSession, sf: str) -> DataFrame:
-    out = model.totals(grid(spark, sf))
+    out = model.totals(cells(spark, sf))
     return out.select("match_id", "line", *(F.round(c, 7).alias(c) for c in ("over", "under", "btts", "exp_total", "supremacy")))
 
 
 @query
 def mkt05_correct_score(spark: SparkSession, sf: str) -> DataFrame:
-    return model.correct_scores(grid(spark, sf).withColumn("p", F.round("p", 9)))
+    return model.correct_scores(cells(spark, sf, 9))
 
 
 @query
 def mkt07_fair_odds(spark: SparkSession, sf: str) -> DataFrame:
-    return model.match_odds(grid(spark, sf)).select("match_id", "fair_home", "fair_draw", "fair_away", model.fair(F.col("home_draw")).alias("fair_home_draw"))
+    return model.match_odds(cells(spark, sf)).select("match_id", "fair_home", "fair_draw", "fair_away", model.fair(F.col("home_draw")).alias("fair_home_draw"))
 
 
 @query
@@ -148,9 +148,9 @@ def mod09_fit_full(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fc01_forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    """Markets of the scheduled matches under the fitted ratings."""
+    """A document for each scheduled match: the fit, both teams' ratings, expected goals and all markets."""
     ratings = model.fit_leagues(src.finals(spark, sf, clubs=True), 10.0)
-    return model.match_odds(model.score_grid(model.rated(src.matches(spark, sf, clubs=True).where("status = 'scheduled'"), ratings)))
+    return model.forecast(src.matches(spark, sf, clubs=True).where("status = 'scheduled'"), ratings)
 
 
 @query
@@ -229,9 +229,8 @@ def agg14_baseline_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replayed(spark: SparkSession, sf: str, sweeps: int = model.SWEEPS) -> DataFrame:
-    finals = src.finals(spark, sf, clubs=True)
-    planned = walkforward.schedule(finals, 200)
-    return walkforward.forecasts(planned, walkforward.fits(finals, planned, 10.0, sweeps))
+    """The replay with a refit every five matches."""
+    return walkforward.replay(src.finals(spark, sf, clubs=True), [10.0], 5, sweeps)
 
 
 @query
@@ -241,17 +240,24 @@ def bt04_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bt05_account(spark: SparkSession, sf: str) -> DataFrame:
-    return walkforward.account(replayed(spark, sf, 3))
+    return walkforward.account(replayed(spark, sf, 3)).drop("half_life_days")
 
 
 @query
 def bt06_report(spark: SparkSession, sf: str) -> DataFrame:
-    return walkforward.report(walkforward.outcomes(replayed(spark, sf)))
+    """The whole report of a converged replay: counts, scores, market, calibration and betting."""
+    return walkforward.document(replayed(spark, sf), src.odds(spark, sf))
+
+
+@query
+def bt03_replay_bets(spark: SparkSession, sf: str) -> DataFrame:
+    """The bets that the replay itself makes, by the fit in force at each match."""
+    return walkforward.bets(replayed(spark, sf), src.odds(spark, sf)).select("league", "match_id", "provider", "market", "selection", "line", "decimal_odds", "p", "ev", "stake", "won")
 
 
 @query
 def bt07_half_life_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return walkforward.half_life_sweep(src.finals(spark, sf, clubs=True), [5.0, 20.0], 400)
+    return walkforward.half_life_sweep(src.finals(spark, sf, clubs=True), [5.0, 10.0, 20.0, 40.0])
 
 
 @query
@@ -360,7 +366,7 @@ def snk04_venues(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mkt08_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return model.summary(grid(spark, sf).withColumn("p", F.round("p", 9)))
+    return model.summary(cells(spark, sf, 9))
 
 
 @query

@@ -1,12 +1,14 @@
 """The replay against a plain walk over the matches, and prices and payloads on cases with known answers."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from matchgrain.operators import model, projection, value, walkforward
+from matchgrain.operators import model, value, walkforward
 
 
 def matches(n=90, teams=7, seed=4):
@@ -17,31 +19,127 @@ def matches(n=90, teams=7, seed=4):
     return rows
 
 
-def test_replay_equals_a_walk(spark):
-    rows, every = matches(), 7
-    df = spark.createDataFrame(rows, "match_id long, league string, kickoff timestamp_ntz, home_id long, away_id long, home_score int, away_score int")
-    planned = walkforward.schedule(df, every)
-    got = {r.match_id: r for r in walkforward.forecasts(planned, walkforward.fits(df, planned, 30.0)).collect()}
-    fitted, since, ratings, refits = None, 0, {}, 0
+SCHEMA = "match_id long, league string, kickoff timestamp_ntz, home_id long, away_id long, home_score int, away_score int"
+
+
+def walk(rows, every, half_life=30.0):
+    """(the fit in force at each match or why there is none, the number of fits)."""
+    fitted, since, refits, out = None, 0, 0, {}
     for i, _, kickoff, home, away, _, _ in rows:
         past = [m for m in rows if m[2] < kickoff]
         if fitted is None or since >= every:
             if len(past) < model.MIN_MATCHES:
-                assert got[i].skipped == "no_history"
+                out[i] = "no_history"
                 continue
             teams = sorted({t for m in past for t in m[3:5]})
             at = lambda k, past=past, teams=teams: np.array([teams.index(m[k]) for m in past])
-            w = np.array([0.5 ** ((kickoff - m[2]).total_seconds() / 86400 / 30) for m in past])
+            w = np.array([0.5 ** ((kickoff - m[2]).total_seconds() / 86400 / half_life) for m in past])
             fitted = model.fit_group(at(3), at(4), np.array([float(m[5]) for m in past]), np.array([float(m[6]) for m in past]), w, len(teams))
-            ratings, since, refits = dict(zip(teams, zip(fitted["attack"], fitted["defence"], strict=True), strict=True)), 0, refits + 1
+            fitted |= {"effective": w.sum(), "ratings": dict(zip(teams, zip(fitted["attack"], fitted["defence"], strict=True), strict=True))}
+            since, refits = 0, refits + 1
         since += 1
-        if home not in ratings or away not in ratings:
-            assert got[i].skipped == "unknown_team"
+        out[i] = fitted if home in fitted["ratings"] and away in fitted["ratings"] else "unknown_team"
+    return out, refits
+
+
+def rates(fit, home, away):
+    r = fit["ratings"]
+    return r[home][0] * r[away][1] * fit["home_advantage"], r[away][0] * r[home][1]
+
+
+@pytest.mark.parametrize("every", [1, 7])
+def test_replay_equals_a_walk(spark, every):
+    rows = matches()
+    replayed = walkforward.replay(spark.createDataFrame(rows, SCHEMA), [30.0, 5.0], every)
+    account = {r.half_life_days: r for r in walkforward.account(replayed, 30.0).collect()}
+    for half_life in (30.0, 5.0):
+        want, refits = walk(rows, every, half_life)
+        got = {r.match_id: r for r in replayed.where(F.col("half_life_days") == half_life).collect()}
+        assert got.keys() == want.keys()
+        for i, _, _, home, away, _, _ in rows:
+            if isinstance(want[i], str):
+                assert got[i].skipped == want[i]
+            else:
+                lam, mu = rates(want[i], home, away)
+                assert got[i].skipped is None and abs(got[i].lam - lam) < 1e-6 and abs(got[i].mu - mu) < 1e-6
+                assert abs(got[i].effective - want[i]["effective"]) < 1e-9 * want[i]["effective"] and abs(got[i].rho - want[i]["rho"]) < 1e-5
+        a, fitted = account[half_life], [f for f in want.values() if not isinstance(f, str)]
+        assert (a.refits, a.scored, a.skipped_unreliable_fit) == (refits, len(fitted), sum(f["effective"] < 30 for f in fitted)) and a.skipped_unknown_team > 0
+
+
+def test_weights_of_long_histories_do_not_overflow(spark):
+    start = datetime(1900, 1, 1)
+    days = [0, 1, 40_000, 40_001, 40_001, 40_600, 45_500]
+    rows = [(i, "a", start + timedelta(days=d), 1, 2, 1, 0) for i, d in enumerate(days)] + [(100 + i, "a", start + timedelta(days=45_501), 3 + i, 30 + i, 0, 0) for i in range(40)]
+    rows += [(200, "a", start + timedelta(days=45_502), 1, 2, 3, 3)]
+    planned = walkforward.schedule(spark.createDataFrame(rows, SCHEMA))
+    got = {(r.kickoff, r.n): r.w for r in walkforward.states(planned, [1.0]).where("home_id = 1 and away_score = 0").collect()}
+    assert list(got.values()) == [pytest.approx(1.0)]  # only the last state is ever read
+    planned = planned.withColumn("point", F.col("match_id"))  # every match is a fit
+    got = {r.n: r.w for r in walkforward.states(planned, [1.0]).where("home_id = 1 and away_score = 0").collect()}
+    want = {n: sum(2.0 ** -(days[n - 1] - d) for d in days[:n]) for n in range(1, 8)}
+    assert all(got[n] == pytest.approx(want[n], rel=1e-12) for n in got) and set(got) == {1, 2, 3, 5, 6, 7}
+
+
+ODDS = "match_id long, provider string, market string, selection string, line string, decimal_odds double"
+
+
+def grid_of(lam, mu, rho):
+    p = {(h, a): math.exp(-lam - mu) * lam**h / math.factorial(h) * mu**a / math.factorial(a) for h in range(11) for a in range(11)}
+    for (h, a), t in {(0, 0): 1 - lam * mu * rho, (0, 1): 1 + lam * rho, (1, 0): 1 + mu * rho, (1, 1): 1 - rho}.items():
+        p[h, a] = max(p[h, a] * t, 0)
+    total = sum(p.values())
+    return {k: v / total for k, v in p.items()}
+
+
+def test_betting_on_the_replay_equals_a_fold(spark):
+    rows, r = matches(), random.Random(2)
+    kinds = {("1x2", "home", ""): lambda h, a: h > a, ("1x2", "draw", ""): lambda h, a: h == a, ("1x2", "away", ""): lambda h, a: h < a, ("totals", "over", "2.5"): lambda h, a: h + a > 2.5, ("totals", "under", "2.5"): lambda h, a: h + a < 2.5}
+    odds = [(m[0], p, *k, round(1.5 + 4 * r.random(), 2)) for m in rows if m[0] % 4 for p in ("x", "y") for k in kinds]
+    df = spark.createDataFrame(odds, ODDS)
+    want, _ = walk(rows, 7)
+    bank, peak, drawdown, staked, returned, flat, unreliable, priced = 1.0, 1.0, 0.0, 0.0, 0.0, [], 0, 0
+    for i, _, _, home, away, hg, ag in rows:
+        if isinstance(want[i], str):
+            continue
+        if want[i]["effective"] < 25:
+            unreliable += 1
             continue
-        lam, mu = ratings[home][0] * ratings[away][1] * fitted["home_advantage"], ratings[away][0] * ratings[home][1]
-        assert got[i].skipped is None and abs(got[i].lam - lam) < 1e-6 and abs(got[i].mu - mu) < 1e-6
-    account = walkforward.account(spark.createDataFrame([*got.values()], walkforward.forecasts(planned, walkforward.fits(df, planned, 30.0)).schema)).first()
-    assert account.refits == refits and account.skipped_unknown_team > 0
+        own = [o for o in odds if o[0] == i]
+        priced += bool(own)
+        grid, found = grid_of(*rates(want[i], home, away), want[i]["rho"]), []
+        for _, p, market, selection, line, o in own:
+            of = [x for x in own if x[1:3] == (p, market) and x[4] == line]
+            prob = round(sum(v for (h, a), v in grid.items() if kinds[market, selection, line](h, a)), 5)
+            implied, ev = (1 / o) / sum(1 / x[5] for x in of), prob * o - 1
+            if prob - implied >= 0.05 and ev > 0:
+                found.append((-round(ev, 5), p, market, selection, line, o, round(min(0.25 * (prob * o - 1) / (o - 1), 0.05), 5)))
+        for _, _, market, selection, line, o, share in sorted(found):
+            won, stake = kinds[market, selection, line](hg, ag), share * bank
+            staked, returned, bank = staked + stake, returned + stake * o * won, bank + (stake * (o - 1) if won else -stake)
+            flat.append(o - 1 if won else -1.0)
+            peak = max(peak, bank)
+            drawdown = max(drawdown, (peak - bank) / peak)
+    replayed = walkforward.replay(spark.createDataFrame(rows, SCHEMA), [30.0], 7)
+    b = walkforward.betting(replayed, df, 25.0).first()
+    assert (b.bets, b.wins, b.events_with_odds) == (len(flat), sum(x > 0 for x in flat), priced) and b.bets > 20
+    assert (b.final_bankroll, b.staked, b.profit, b.max_drawdown) == pytest.approx((bank, staked, returned - staked, drawdown), abs=2e-4)
+    assert b.flat_stake_yield == pytest.approx(sum(flat) / len(flat), abs=1e-4)
+    assert walkforward.account(replayed, 25.0).first().skipped_unreliable_fit == unreliable > 0
+    whole = walkforward.document(replayed, df, min_effective=25.0).first()
+    assert whole.betting.bets == b.bets and whole.scored == sum(x.n for x in whole.calibration) / 3 and whole.market.matches > 0
+    none = walkforward.betting(replayed, df, 1e9).first()
+    assert (none.bets, none.final_bankroll, none.hit_rate) == (0, 1.0, None)
+
+
+def test_sweep_ranks_candidates_and_keeps_those_without_matches(spark):
+    rows = matches() + [(1000 + i, "b", datetime(2024, 1, 1) + timedelta(days=i), 1, 2, 0, 0) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = walkforward.half_life_sweep(df, [5.0, 30.0, 365.0]).collect()
+    a = sorted((r for r in got if r.league == "a"), key=lambda r: r["rank"])
+    assert [r["rank"] for r in a] == [1, 2, 3] and [r.log_loss for r in a] == sorted(r.log_loss for r in a) and len({r.forecasts for r in a}) == 1
+    assert a[0].spread == pytest.approx(a[2].log_loss - a[0].log_loss, abs=1e-9) and a[0].distinct == (a[0].spread >= 0.005)
+    assert [(r.forecasts, r.log_loss, r.distinct) for r in got if r.league == "b"] == [(0, None, None)] * 3
 
 
 def test_prices(spark):
@@ -50,14 +148,6 @@ def test_prices(spark):
     assert {r.t: r.p for r in rows} == cases
 
 
-def test_projection_without_games(spark):
-    fixtures = spark.createDataFrame([(1, "a", 1, 2)], "match_id long, league string, home_id long, away_id long")
-    splits = spark.createDataFrame([], "team_id long, split string, played long, avg_scored double, avg_conceded double")
-    base = spark.createDataFrame([], "league string, n long, margin_sd double, draw_rate double")
-    r = projection.project(fixtures, splits, base).first()
-    assert (r.home_win, r.draw, r.away_win, r.confidence) == (0.5, 0.0, 0.5, "none")
-
-
 def test_grid_sums_to_one_under_strong_corrections(spark):
     rates = spark.createDataFrame([(1, 3.0, 2.5, 0.3), (2, 0.2, 0.1, -0.3)], "match_id long, lam double, mu double, rho double")
     assert all(abs(r.s - 1) < 1e-9 for r in model.score_grid(rates).groupBy("match_id").agg(F.sum("p").alias("s")).collect())
