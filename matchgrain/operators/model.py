@@ -29,32 +29,39 @@ def low_score(hg: Column, ag: Column, lam: Column, mu: Column, rho: Column) -> C
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def score_cells(rates: DataFrame, places: int | None = None) -> DataFrame:
     """``rates`` (lam, mu, rho and any other columns) with ``cells``: the 121 scores (hg, ag, p) of each row, which sum to 1.
 
     Each side's Poisson terms are computed once a row, and the total is the product of their sums but for the four low
-    scores, so each cell is a product of two terms. Cells stay in their row: markets add them up without a shuffle.
+    scores, so each cell is a product of two terms. Cells stay in their row: markets add them up without a shuffle. To make
+    rows of such an array take explode_outer: for explode Spark infers a filter on its size, which computes it twice.
     """
     lam, mu, rho = F.col("lam"), F.col("mu"), F.col("rho")
-    terms = lambda rate: F.array(*(poisson(F.lit(g), rate) for g in range(GOALS + 1)))
-    out = rates.withColumns({"_h": terms(lam), "_a": terms(mu)})
-    add = lambda c: sum((F.get(c, F.lit(g)) for g in range(1, GOALS + 1)), F.get(c, F.lit(0)))
-    cell = lambda h, a: F.get("_h", h) * F.get("_a", a)
-    q = lambda h, a: F.greatest(cell(h, a) * low_score(h, a, lam, mu, rho), F.lit(0.0))
-    low = sum((q(F.lit(h), F.lit(a)) - cell(F.lit(h), F.lit(a)) for h, a in ((0, 0), (0, 1), (1, 0), (1, 1))), F.lit(0.0))
-    out = out.withColumn("_total", add("_h") * add("_a") + low)
+    terms = lambda rate: F.transform(F.sequence(F.lit(0), F.lit(GOALS)), lambda g: poisson(g, rate))
+
+    def weights(t: Column) -> Column:
+        def of(i: Column) -> Column:
+            hg, ag = F.floor(i / (GOALS + 1)).cast("int"), (i % (GOALS + 1)).cast("int")
+            return F.struct(hg.alias("hg"), ag.alias("ag"), F.greatest(F.get(t["h"], hg) * F.get(t["a"], ag) * low_score(hg, ag, lam, mu, rho), F.lit(0.0)).alias("q"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit((GOALS + 1) ** 2 - 1)), of)
 
-    def score(i: Column) -> Column:
-        hg, ag = F.floor(i / (GOALS + 1)).cast("int"), (i % (GOALS + 1)).cast("int")
-        p = F.try_divide(q(hg, ag), F.col("_total"))
-        return F.struct(hg.alias("hg"), ag.alias("ag"), (p if places is None else F.round(p, places)).alias("p"))
+    def shares(cells: Column) -> Column:
+        of = lambda x, total: F.try_divide(x, total) if places is None else F.round(F.try_divide(x, total), places)
+        total = F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["q"])
+        return bound(total, lambda t: F.transform(cells, lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), of(c["q"], t).alias("p"))))
 
-    return out.withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit((GOALS + 1) ** 2 - 1)), score)).drop("_h", "_a", "_total")
+    return rates.withColumn("cells", bound(bound(F.struct(terms(lam).alias("h"), terms(mu).alias("a")), weights), shares))
 
 
 def score_grid(rates: DataFrame) -> DataFrame:
     """(match_id, hg, ag, p): a row for each cell."""
-    return score_cells(rates).select("match_id", F.explode("cells").alias("c")).select("match_id", "c.*")
+    return score_cells(rates).select("match_id", F.explode_outer("cells").alias("c")).select("match_id", "c.*")
 
 
 def fair(p: Column) -> Column:
@@ -89,7 +96,7 @@ def match_odds(rows: DataFrame) -> DataFrame:
 def totals(rows: DataFrame) -> DataFrame:
     """A row for each line of each row with cells: over and under, both teams to score, expected goals."""
     out = rows.withColumn("_o", sums(OVER | BOTH_SCORE | EXPECTED)).drop("cells")
-    lines = F.explode(F.array(*(F.struct(F.lit(x).alias("line"), F.col(f"_o.over_{i}").alias("over")) for i, x in enumerate(LINES)))).alias("l")
+    lines = F.explode_outer(F.array(*(F.struct(F.lit(x).alias("line"), F.col(f"_o.over_{i}").alias("over")) for i, x in enumerate(LINES)))).alias("l")
     out = out.select(*(c for c in out.columns if c != "_o"), lines, "_o.btts", "_o.exp_home", "_o.exp_away").select("*", "l.*").drop("l")
     return out.select("*", (1 - F.col("over")).alias("under"), (F.col("exp_home") + F.col("exp_away")).alias("exp_total"), (F.col("exp_home") - F.col("exp_away")).alias("supremacy"))
 
@@ -101,7 +108,7 @@ def likeliest(k: int) -> Column:
 
 def correct_scores(rows: DataFrame, k: int = TOP_SCORES) -> DataFrame:
     """(match_id, hg, ag, p, rank): the k likeliest scores of each row with cells."""
-    out = rows.select("match_id", F.posexplode(likeliest(k)).alias("i", "c"))
+    out = rows.select("match_id", F.posexplode_outer(likeliest(k)).alias("i", "c"))
     return out.select("match_id", "c.hg", "c.ag", (-F.col("c.minus")).alias("p"), (F.col("i") + 1).alias("rank"))
 
 
@@ -235,7 +242,7 @@ def markets(rows: DataFrame, k: int = TOP_SCORES) -> DataFrame:
 
 def summary(rows: DataFrame, keep: tuple[str, ...] = ("match_id",), k: int = TOP_SCORES) -> DataFrame:
     """A row for each market, line and selection of each row with cells, with its columns ``keep``."""
-    return markets(rows, k).select(*keep, F.explode("markets").alias("r")).select(*keep, "r.*")
+    return markets(rows, k).select(*keep, F.explode_outer("markets").alias("r")).select(*keep, "r.*")
 
 
 def forecast(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
