@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from matchgrain.functions.columns import once
+
 
 def exact_round(x: Column, places: int) -> Column:
     """x to so many places: the nearest by the exact value of the double, ties to the even digit.
@@ -23,4 +25,4 @@ def exact_round(x: Column, places: int) -> Column:
         side = (high * (2.0 * scale) - (down * 2 + 1)) + low * (2.0 * scale)
         return (F.when((side > 0) | ((side == 0) & (down % 2 != 0)), down + 1).otherwise(down)) / float(scale)
 
-    return F.get(F.transform(F.array(x.cast("double")), of), F.lit(0))
+    return once(x.cast("double"), of)

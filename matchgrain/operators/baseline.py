@@ -73,19 +73,19 @@ def appearance_share(stats: DataFrame) -> DataFrame:
 
 
 def injury_burden(injuries: DataFrame, shares: DataFrame, shown: int = 10) -> DataFrame:
-    """Absences of each team: how many, their summed severity times importance, counts by status, the weightiest names.
+    """Absences of each team of each league: how many, their summed severity times importance, counts by status, the weightiest names.
 
     ``injuries`` has league, team_id, athlete_id, athlete_name, status. Unknown importance counts as 1. The list holds
     the first ``shown`` by name, then ordered by weight.
     """
     rows = injuries.join(shares.select("league", "athlete_id", "importance"), ["league", "athlete_id"], "left")
     rows = rows.withColumn("weight", severity(F.col("status")) * F.coalesce("importance", F.lit(1.0)))
-    rn = F.row_number().over(Window.partitionBy("team_id").orderBy("athlete_name", "athlete_id"))
-    named = rows.withColumn("rn", rn).where(F.col("rn") <= shown).groupBy("team_id").agg(
+    rn = F.row_number().over(Window.partitionBy("league", "team_id").orderBy("athlete_name", "athlete_id"))
+    named = rows.withColumn("rn", rn).where(F.col("rn") <= shown).groupBy("league", "team_id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("athlete_name").alias("name")))).alias("top")
     )
-    total = rows.groupBy("team_id").agg(
+    total = rows.groupBy("league", "team_id").agg(
         F.count("*").alias("absences"), F.sum("weight").alias("burden"), F.count("importance").alias("known"),
         *(F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s}") for s in SEVERITY),
     )
-    return total.join(named.select("team_id", F.array_join(F.transform("top", lambda x: x["name"]), ",").alias("top")), "team_id")
+    return total.join(named.select("league", "team_id", F.array_join(F.transform("top", lambda x: x["name"]), ",").alias("top")), ["league", "team_id"])

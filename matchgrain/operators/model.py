@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrain.functions.columns import once
+
 #: Goals 0..10 of each side, the rate floor, over/under lines, correct scores shown: fixed values of the model.
 GOALS, RATE_FLOOR, LINES, TOP_SCORES = 10, 1e-6, (0.5, 1.5, 2.5, 3.5, 4.5), 8
 #: Least matches of a fit, least effective matches of a reliable one, sweeps and tolerance of the fit.
@@ -29,11 +31,6 @@ def low_score(hg: Column, ag: Column, lam: Column, mu: Column, rho: Column) -> C
     )
 
 
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def score_cells(rates: DataFrame, places: int | None = None) -> DataFrame:
     """``rates`` (lam, mu, rho and any other columns) with ``cells``: the 121 scores (hg, ag, p) of each row, which sum to 1.
 
@@ -54,9 +51,9 @@ def score_cells(rates: DataFrame, places: int | None = None) -> DataFrame:
     def shares(cells: Column) -> Column:
         of = lambda x, total: F.try_divide(x, total) if places is None else F.round(F.try_divide(x, total), places)
         total = F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["q"])
-        return bound(total, lambda t: F.transform(cells, lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), of(c["q"], t).alias("p"))))
+        return once(total, lambda t: F.transform(cells, lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), of(c["q"], t).alias("p"))))
 
-    return rates.withColumn("cells", bound(bound(F.struct(terms(lam).alias("h"), terms(mu).alias("a")), weights), shares))
+    return rates.withColumn("cells", once(once(F.struct(terms(lam).alias("h"), terms(mu).alias("a")), weights), shares))
 
 
 def score_grid(rates: DataFrame) -> DataFrame:

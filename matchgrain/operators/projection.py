@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchgrain.functions.columns import once
 from matchgrain.functions.rounding import exact_round
 
 #: Least games of a split that is used, least games of a projection of medium confidence, spread of margins if unknown: fixed values.
@@ -40,7 +41,7 @@ def rounded_shares(home: Column, draw: Column, away: Column) -> Column:
         leader = F.when((p[0] >= p[1]) & (p[0] >= p[2]), 0).when(p[1] >= p[2], 1).otherwise(2)
         return F.struct(*(F.when(leader == i, exact_round(p[i] + rest, 4)).otherwise(p[i]).alias(c) for i, c in enumerate(names)))
 
-    return F.get(F.transform(F.array(F.array(*(exact_round(p, 4) for p in (home, draw, away)))), shared), F.lit(0))
+    return once(F.array(*(exact_round(p, 4) for p in (home, draw, away))), shared)
 
 
 def from_form(rows: DataFrame) -> DataFrame:

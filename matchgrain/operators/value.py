@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrain.functions.columns import once
+
 #: Thresholds of value bets: edge, share of Kelly's stake, largest stake; fixed values.
 EDGE, KELLY_SHARE, STAKE_CAP = 0.05, 0.25, 0.05
 LOSS_FLOOR = 1e-15
@@ -20,15 +22,39 @@ def price(text: Column) -> Column:
 
     Plus signs are dropped first. Prices outside 1.001 to 1000 are null; results have four decimals.
     """
-    t = F.upper(F.replace(F.trim(text), F.lit("+"), F.lit("")))
-    number = F.when(t.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)(E-?[0-9]+)?$"), t.try_cast("double"))
-    decimal = F.when(t.isin("EVEN", "EV"), F.lit(2.0)).when((number > 1) & (number < 100), number).otherwise(american_to_decimal(number))
-    return F.when(decimal.between(1.001, 1000), F.round(decimal, 4))
+    number = lambda t: F.when(t.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)(E-?[0-9]+)?$"), t.try_cast("double"))
+    decimal = lambda t, n: F.when(t.isin("EVEN", "EV"), F.lit(2.0)).when((n > 1) & (n < 100), n).otherwise(american_to_decimal(n))
+    read = lambda t: once(number(t), lambda n: once(decimal(t, n), lambda d: F.when(d.between(1.001, 1000), F.round(d, 4))))
+    return once(F.upper(F.replace(F.trim(text), F.lit("+"), F.lit(""))), read)
+
+
+#: Under which names prices stand in an object: of a side, and of a price itself; how deep prices may be nested: fixed values and a bound.
+SIDE_KEYS, PRICE_KEYS, DEPTH = ("moneyLine", "moneyline", "decimal", "value", "odds"), ("decimal", "decimalOdds", "value", "moneyLine", "american"), 4
+
+
+def is_object(text: Column) -> Column:
+    return F.substring(F.ltrim(text), 1, 1) == "{"
+
+
+def coerced(text: Column) -> Column:
+    """The price of JSON text: of an object the first of PRICE_KEYS that is present decides, whatever it holds; else ``price``.
+
+    Objects are followed DEPTH levels deep; what lies deeper has no price.
+    """
+    def inside(t: Column) -> Column:
+        keys, chosen = F.json_object_keys(t), F.lit(None).cast("string")
+        for k in reversed(PRICE_KEYS):
+            chosen = F.when(F.array_contains(keys, k), F.get_json_object(t, f"$.{k}")).otherwise(chosen)
+        return F.when(is_object(t), chosen).otherwise(t)
+
+    for _ in range(DEPTH):
+        text = once(text, inside)
+    return once(text, lambda t: F.when(~is_object(t), price(t)))
 
 
-def boxed_price(text: Column, fields: tuple[str, ...] = ("moneyLine", "moneyline", "decimal", "value", "odds")) -> Column:
-    """The price of JSON text: a plain value, or the first field of an object that holds a price."""
-    return F.coalesce(*(price(F.get_json_object(text, f"$.{f}")) for f in fields), price(text))
+def boxed_price(text: Column) -> Column:
+    """The price of a side as JSON text: of an object the first of SIDE_KEYS that has a price, else that of the text itself."""
+    return F.when(is_object(text), F.coalesce(*(coerced(F.get_json_object(text, f"$.{k}")) for k in SIDE_KEYS))).otherwise(price(text))
 
 
 def half_line(v: Column) -> Column:
@@ -59,13 +85,12 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     """
     items = payloads.select("match_id", F.explode(F.from_json("payload", PAYLOAD)["items"]).alias("i")).where("i.provider.id <> ''")
     line = half_line(F.col("i.overUnder").try_cast("double"))
-    inner = ("decimal", "decimalOdds", "value", "moneyLine", "american")
     row = lambda market, selection, odds, at=None: F.struct(F.lit(market).alias("market"), F.lit(selection).alias("selection"), (F.lit("") if at is None else at).alias("line"), odds.alias("decimal_odds"))
     three = [row("1x2", s, boxed_price(F.col(f"i.{c}"))) for s, c in (("home", "homeTeamOdds"), ("away", "awayTeamOdds"), ("draw", "drawOdds"))]
-    two = [row("totals", s, F.when(line.isNotNull(), boxed_price(F.col(f"i.{s}Odds"), inner)), F.coalesce(line, F.lit(""))) for s in ("over", "under")]
-    btts = [row("btts", s, boxed_price(F.get_json_object("i.bothTeamsToScoreOdds", f"$.{s}"), inner)) for s in ("yes", "no")]
-    rows = F.explode(F.filter(F.array(*three, *two, *btts), lambda r: r["decimal_odds"].isNotNull())).alias("r")
-    return items.select("match_id", F.col("i.provider.id").alias("provider"), F.coalesce("i.provider.name", F.lit("")).alias("provider_name"), rows, F.to_json("i").alias("raw")).select("match_id", "provider", "provider_name", "r.*", "raw")
+    two = [row("totals", s, F.when(line.isNotNull(), coerced(F.col(f"i.{s}Odds"))), F.coalesce(line, F.lit(""))) for s in ("over", "under")]
+    btts = [row("btts", s, coerced(F.get_json_object("i.bothTeamsToScoreOdds", f"$.{s}"))) for s in ("yes", "no")]
+    rows = F.explode_outer(F.array(*three, *two, *btts)).alias("r")  # explode would compute all prices twice, for a filter on the size
+    return items.select("match_id", F.col("i.provider.id").alias("provider"), F.coalesce("i.provider.name", F.lit("")).alias("provider_name"), rows, F.to_json("i").alias("raw")).where("r.decimal_odds is not null").select("match_id", "provider", "provider_name", "r.*", "raw")
 
 
 def devig(odds: DataFrame) -> DataFrame:

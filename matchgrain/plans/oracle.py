@@ -125,6 +125,14 @@ r{i} as (select a.league, a.team_id, a.att, a.def, h.ha from ad{i} a join hh{i}
     return out
 
 
+#: The low-score factor, and one refinement of the search for the likeliest correction.
+TAU = "case when hg = 0 and ag = 0 then 1 - lam * mu * rho when hg = 0 and ag = 1 then 1 + lam * rho when hg = 1 and ag = 0 then 1 + mu * rho when hg = 1 and ag = 1 then 1 - rho else 1.0 end"
+RHO_SQL = f""",
+c{{r}} as (select league, lo, hi, (hi - lo) / 60 as step, i, lo + i * (hi - lo) / 60 as rho from b{{before}}, range(61) t(i)),
+v{{r}} as (select league, i, any_value(rho) as rho, any_value(lo) as lo, any_value(hi) as hi, any_value(step) as step, sum(w * ln({TAU})) as v from c{{r}} join (select * from played where hg <= 1 and ag <= 1) using (league) group by league, i),
+b{{r}} as (select league, greatest(lo, rho - step) as lo, least(hi, rho + step) as hi, rho from v{{r}} qualify row_number() over (partition by league order by v desc, i) = 1)"""
+
+
 def fit_sweeps(n: int) -> str:
     return fit_blocks(n, AGED) + f"""
 select league, team_id, matches, round(att, 6) as attack, round(def, 6) as defence, round(ha, 6) as home_advantage from r{n} join size using (league) where matches >= 20"""
@@ -169,11 +177,12 @@ select f.team_id, fixture_id, k.match_id, k.result from f asof left join k on f.
 select league, athlete_id, season, round(least(n / max(n) over (partition by league, season)::double, 1.0), 6) as importance from (select *, max(n) over (partition by league, season) as most, row_number() over (partition by league, athlete_id order by season desc) as rn from s) where rn = 1""".replace("n / max(n) over (partition by league, season)::double", "n / most::double"),
         "agg17_injury_burden": """with s as (select c_nationkey as league, c_custkey as athlete_id, year(o_orderdate) as season, count(*) as n from orders join customer on o_custkey = c_custkey group by all),
 m as (select *, max(n) over (partition by league, season) as most, row_number() over (partition by league, athlete_id order by season desc) as rn from s),
-i as (select c_custkey % 50 as team_id, c_custkey as athlete_id, ['out', 'ir', 'doubtful', 'questionable', 'day_to_day', 'other'][(c_custkey % 6 + 1)::int] as status from customer),
-x as (select i.*, least(n / most::double, 1.0) as share, case status when 'out' then 1.0 when 'ir' then 1.0 when 'doubtful' then 0.75 when 'questionable' then 0.4 when 'day_to_day' then 0.3 else 0.2 end as severity from i left join m on i.athlete_id = m.athlete_id and rn = 1)
-select team_id, count(*) as absences, round(sum(severity * coalesce(share, 1.0)), 6) as burden, count(share) as known, """
+i as (select c_nationkey as league, c_custkey % 50 as team_id, c_name as name, c_custkey as athlete_id, ['out', 'ir', 'doubtful', 'questionable', 'day_to_day', 'other'][(c_custkey % 6 + 1)::int] as status from customer),
+x as (select i.*, least(n / most::double, 1.0) as share, case status when 'out' then 1.0 when 'ir' then 1.0 when 'doubtful' then 0.75 when 'questionable' then 0.4 when 'day_to_day' then 0.3 else 0.2 end as severity from i left join m on i.athlete_id = m.athlete_id and rn = 1),
+y as (select *, severity * coalesce(share, 1.0) as weight, row_number() over (partition by league, team_id order by name, athlete_id) as place from x)
+select league, team_id, string_agg(name, ',' order by weight desc, name) filter (place <= 10) as top, count(*) as absences, round(sum(severity * coalesce(share, 1.0)), 6) as burden, count(share) as known, """
         + ", ".join(f"count(*) filter (status = '{s}') as n_{s}" for s in ("out", "ir", "doubtful", "questionable", "day_to_day", "other"))
-        + " from x group by team_id",
+        + " from y group by league, team_id",
         "mod12_score_grid": f"{clubs}, {GRID} select match_id, hg, ag, round(p, 9) as p from grid",
         "mkt01_match_odds": f"""{clubs}, {GRID}, o as (select match_id, sum(p) filter (hg > ag) as home, sum(p) filter (hg = ag) as draw, sum(p) filter (hg < ag) as away from grid group by match_id)
 select match_id, round(home, 7) as home, round(draw, 7) as draw, round(away, 7) as away, round(home + draw, 7) as home_draw, round(home + away, 7) as home_away, round(draw + away, 7) as draw_away from o""",
@@ -194,12 +203,13 @@ r as (select p.*, case when p.point is null then 'no_history' when h.team_id is
   left join strength s on s.league = p.league and s.point = p.point
   left join seen h on h.league = p.league and h.point = p.point and h.team_id = home_id left join seen a on a.league = p.league and a.point = p.point and a.team_id = away_id)
 select league, count(*) filter (skipped is null) as scored, count(*) filter (skipped = 'no_history') as skipped_no_history, count(*) filter (skipped = 'unknown_team') as skipped_unknown_team, count(*) filter (skipped is null and effective < 60) as skipped_unreliable_fit, count(distinct point) as refits from r group by league""",
-        "odd03_payload": f"""{clubs}, q as (select match_id, match_id as n, 1.5::double + match_id % 300 / 100.0::double as d from matches where match_id % 4 <> 0),
+        "odd03_payload": f"""{clubs}, q as (select match_id, match_id as n, 1.5::double + match_id % 300 / 100.0::double as d from matches where match_id % 4 <> 0 and match_id % 13 <> 0),
 u as (select match_id, '1x2' as market, 'home' as selection, '' as line, 1 + (n % 150 + 100) / 100.0::double as o from q
   union all select match_id, '1x2', 'away', '', d from q union all select match_id, '1x2', 'draw', '', (n % 89 + 1.5::double) from q
   union all select match_id, 'totals', 'over', '2.5', 1 + 100 / 110.0::double from q where n % 3 = 0 union all select match_id, 'totals', 'under', '2.5', 2.0::double from q where n % 3 = 0
   union all select match_id, 'btts', 'yes', '', 1.8::double from q where n % 2 = 0)
-select match_id, 'p' || match_id % 3 as provider, 'name ' || match_id % 3 as provider_name, market, selection, line, round(o, 4) as decimal_odds from u where o between 1.001 and 1000""",
+select match_id, 'p' || match_id % 3 as provider, 'name ' || match_id % 3 as provider_name, market, selection, line, round(o, 4) as decimal_odds from u where o between 1.001 and 1000
+union all select match_id, 'q', '', market, selection, line, o from matches, (values ('1x2', 'home', '', 2.5::double), ('1x2', 'away', '', 3.25::double), ('totals', 'under', '3.5', 1.5::double)) v(market, selection, line, o) where match_id % 13 = 0""",
         "prjn01_projection": f"""{clubs}, {LAST_GAMES}, {FORMS}, {baseline_before()},
 h as (select * from forms where side = 'home'), a as (select * from forms where side = 'away'),
 e as (select m.match_id, m.league, m.home_id, m.away_id, b.*  exclude (match_id, league),
@@ -244,6 +254,15 @@ select match_id, provider, market, selection, line, round(o, 4) as decimal_odds
   window w as (partition by league order by kickoff, match_id, provider, market, selection, line rows unbounded preceding)),
 c as (select *, greatest(max(bankroll) over (partition by league order by kickoff, match_id, provider, market, selection, line rows unbounded preceding), 1.0) as peak from b)
 select league, match_id, provider, market, selection, round(bankroll, 6) as bankroll, round(1 - bankroll / peak, 6) as drawdown from c""",
+        "bt03_ledger_kelly": f"""{clubs}, {BETS}, b as (select *, sum(ln(case when won then 1 + stake * (decimal_odds - 1) else 1 - stake end)) over w as log_bankroll from bets where won is not null and stake > 0
+  window w as (partition by league order by kickoff, match_id, round(ev, 5) desc, provider, market, selection, line rows unbounded preceding)),
+c as (select *, greatest(max(log_bankroll) over (partition by league order by kickoff, match_id, round(ev, 5) desc, provider, market, selection, line rows unbounded preceding), 0) as peak from b)
+select league, match_id, provider, market, selection, line, stake, round(log_bankroll, 6) as log_bankroll, round(peak - log_bankroll, 6) as log_drawdown from c""",
+        "mod08_fit_quality": f"""{clubs}, {fit_blocks(3, AGED)},
+played as (select a.league, a.home_score as hg, a.away_score as ag, a.w, greatest(h.att * x.def * h.ha, 1e-6) as lam, greatest(x.att * h.def, 1e-6) as mu from aged a join r3 h on h.league = a.league and h.team_id = a.home_id join r3 x on x.league = a.league and x.team_id = a.away_id),
+b0 as (select league, greatest(-0.3, max(-1 / lam), max(-1 / mu)) + 1e-6 as lo, least(0.3, min(1 / (lam * mu)), 1.0) - 1e-6 as hi, 0.0::double as rho from played group by league){"".join(RHO_SQL.format(r=r, before=r - 1) for r in range(1, 5))},
+fitted as (select p.league, count(*) as n, sum(w) as effective, any_value(rho) as rho, sum(w * (hg * ln(lam) - lam - ln(factorial(hg)) + ag * ln(mu) - mu - ln(factorial(ag)) + ln({TAU}))) as ll from played p join b4 using (league) group by p.league)
+select league, (select count(distinct team_id) from r3 where r3.league = f.league) as teams, n as matches, round(rho, 4) as rho, round(effective, 2) as effective, round(ll, 3) as log_likelihood, false as reliable from fitted f where n >= 20""",
         "agg25_flat_yield": f"""{clubs}, {BETS}, g as (select league, case when won then decimal_odds - 1 else -1.0 end as gain from bets)
 select league, count(*) as bets, round(avg(gain), 6) as yield, round(stddev_samp(gain) / sqrt(count(*)), 6) as stderr, round(avg(gain) / (stddev_samp(gain) / sqrt(count(*))), 6) as t from g group by league""",
         "agg22_scores": f"""{clubs}, {FORECASTS} select league, count(*) as n, round(avg(-ln(greatest(case outcome when 'home' then home when 'draw' then draw else away end, 1e-15))), 6) as log_loss,

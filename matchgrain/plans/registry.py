@@ -96,7 +96,7 @@ def jn09_asof_previous_match(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def agg17_injury_burden(spark: SparkSession, sf: str) -> DataFrame:
     injuries, stats = src.injuries(spark, sf)
-    return baseline.injury_burden(injuries, baseline.appearance_share(stats)).drop("top").withColumn("burden", F.round("burden", 6))
+    return baseline.injury_burden(injuries, baseline.appearance_share(stats)).withColumn("burden", F.round("burden", 6))
 
 
 @query
@@ -141,6 +141,13 @@ def mod09_fit_sweeps3(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("league", "team_id", "matches", *(F.round(c, 6).alias(c) for c in ("attack", "defence", "home_advantage")))
 
 
+@query
+def mod08_fit_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The low-score correction, effective matches and log-likelihood of a fit of three sweeps."""
+    out = model.fit_leagues(src.finals(spark, sf, clubs=True), 10.0, sweeps=3).groupBy("league").agg(*(F.first(c).alias(c) for c in ("matches", "rho", "effective", "log_likelihood", "reliable")), F.count("*").alias("teams"))
+    return out.select("league", "teams", "matches", F.round("rho", 4).alias("rho"), F.round("effective", 2).alias("effective"), F.round("log_likelihood", 3).alias("log_likelihood"), "reliable")
+
+
 @query
 def mod09_fit_full(spark: SparkSession, sf: str) -> DataFrame:
     return model.fit_leagues(src.finals(spark, sf, clubs=True), 10.0)
@@ -167,7 +174,7 @@ def odd05_parse_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def odd03_payload(spark: SparkSession, sf: str) -> DataFrame:
-    """Provider payloads as JSON text: boxed, signed and worded prices, a line that can push, an entry without a provider."""
+    """Provider payloads as JSON text: boxed, signed, worded and nested prices, a line that can push, an entry without a provider."""
     n = F.col("match_id")
     text = lambda c: c.cast("string")
     item = F.struct(
@@ -176,7 +183,13 @@ def odd03_payload(spark: SparkSession, sf: str) -> DataFrame:
         (n % 89 + 1.5).alias("drawOdds"), F.when(n % 3 == 0, 2.5).otherwise(3.0).alias("overUnder"), F.lit(-110).alias("overOdds"), F.struct(F.lit("EVEN").alias("american")).alias("underOdds"),
         F.when(n % 2 == 0, F.struct(F.lit("1.8").alias("yes"), F.lit("N/A").alias("no"))).alias("bothTeamsToScoreOdds"),
     )
-    payloads = src.matches(spark, sf, clubs=True).select("match_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
+    nested = F.struct(
+        F.struct(F.lit("q").alias("id")).alias("provider"), F.struct(F.struct(F.lit("+150").alias("american")).alias("moneyLine")).alias("homeTeamOdds"),
+        F.struct(F.struct(F.lit("OFF").alias("decimal"), F.lit("+120").alias("american")).alias("moneyLine"), F.lit(3.25).alias("odds")).alias("awayTeamOdds"),
+        F.lit(3.5).alias("overUnder"), F.struct(F.lit("OFF").alias("decimal"), F.lit("+120").alias("american")).alias("overOdds"), F.struct(F.struct(F.lit(-200).alias("value")).alias("decimal")).alias("underOdds"),
+    )
+    text = F.when(n % 13 == 0, F.to_json(F.struct(F.array(nested).alias("items")))).otherwise(F.to_json(F.struct(F.array(item).alias("items"))))
+    payloads = src.matches(spark, sf, clubs=True).select("match_id", text.alias("payload"))
     return value.parse_payloads(payloads).drop("raw")
 
 
@@ -288,9 +301,9 @@ def bt03_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bt03_ledger_kelly(spark: SparkSession, sf: str) -> DataFrame:
-    """The ledger of the computed stakes, bets of a match by expected value."""
+    """The ledger of the computed stakes, bets of a match by expected value; the drawdown as a logarithm, which has no ties in its last digit."""
     out = value.ledger(bets(spark, sf), "league")
-    return out.select("league", "match_id", "provider", "market", "selection", "line", "stake", F.round("log_bankroll", 6).alias("log_bankroll"), F.round("drawdown", 6).alias("drawdown"))
+    return out.select("league", "match_id", "provider", "market", "selection", "line", "stake", F.round("log_bankroll", 6).alias("log_bankroll"), F.abs(F.round(F.log(1 - F.col("drawdown")), 6)).alias("log_drawdown"))
 
 
 @query
