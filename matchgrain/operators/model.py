@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrain.functions.columns import once
+from matchgrain.functions.written import written
 
 #: Goals 0..10 of each side, the rate floor, over/under lines, correct scores shown: fixed values of the model.
 GOALS, RATE_FLOOR, LINES, TOP_SCORES = 10, 1e-6, (0.5, 1.5, 2.5, 3.5, 4.5), 8
@@ -198,15 +199,16 @@ def fit_pairs(rows: DataFrame, by: list[str], sweeps: int = SWEEPS) -> DataFrame
     return rows.groupBy(*by).applyInPandas(fit, kinds)
 
 
-def fit_leagues(fixtures: DataFrame, half_life_days: float = 120.0, sweeps: int = SWEEPS) -> DataFrame:
+def fit_leagues(fixtures: DataFrame, half_life_days: float = 120.0, sweeps: int = SWEEPS, fit=fit_pairs) -> DataFrame:
     """Ratings of every team of each league from final fixtures, weighted by age before the league's latest.
 
-    ``fixtures`` has league, home_id, away_id, scores and kickoff; matches of one pairing and score are summed first.
+    ``fixtures`` has league, home_id, away_id, scores and kickoff; matches of one pairing and score are summed first. ``fit``
+    is fit_pairs, a task for each league, or fit_by_sweeps, jobs for each sweep.
     """
     latest = fixtures.groupBy("league").agg(F.max("kickoff").alias("anchor"))
     w = weight(days_between(F.col("kickoff"), F.col("anchor")), half_life_days)
     rows = fixtures.join(latest, "league").groupBy("league", "home_id", "away_id", "home_score", "away_score").agg(F.sum(w).alias("w"), F.count("*").alias("n"))
-    return fit_pairs(rows, ["league"], sweeps)
+    return fit(rows, ["league"], sweeps)
 
 
 def rated(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -259,3 +261,76 @@ def unrated(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
     both = fixtures.join(known("home"), ["league", "home_id"], "left").join(known("away"), ["league", "away_id"], "left")
     missing = F.array_compact(F.array(*(F.when(F.col(f"_{s}").isNull(), s) for s in ("home", "away"))))
     return both.select("match_id", "league", "home_id", "away_id", missing.alias("unknown")).where(F.size("unknown") > 0)
+
+
+def fit_by_sweeps(rows: DataFrame, by: list[str], sweeps: int = SWEEPS) -> DataFrame:
+    """The ratings of ``fit_pairs`` without a task that holds a group: each sweep is a few grouped sums over the pairings.
+
+    For leagues whose pairings do not fit one task. Ratings are a written table that a sweep joins to the pairings by
+    opponent, once for attacks and once for defences; the scale and the home advantage are sums by group. A group whose blocks all
+    change by less than TOLERANCE is done and keeps its ratings; the driver reads whether any group is left. The
+    correction is searched as ``best_rho`` does, a grid of candidates beside the low scores, and the log-likelihood
+    is added up over the scores.
+    """
+    rows = written(rows, "scores")
+    facts = rows.groupBy(*by).agg(F.sum("n").alias("matches"), F.sum("w").alias("effective"), F.sum(F.col("w") * F.col("home_score")).alias("_goals")).where(F.col("matches") >= MIN_MATCHES)
+    side = lambda own, other, home: F.struct(F.col(f"{own}_id").alias("team_id"), F.col(f"{other}_id").alias("opponent_id"), F.lit(home).alias("home"), (F.col("w") * F.col(f"{own}_score")).alias("s"), (F.col("w") * F.col(f"{other}_score")).alias("c"))
+    faced = rows.select(*by, "w", F.explode(F.array(side("home", "away", True), side("away", "home", False))).alias("f")).select(*by, "w", "f.*")
+    faced = written(faced.groupBy(*by, "team_id", "opponent_id", "home").agg(*(F.sum(c).alias(c) for c in ("w", "s", "c"))), "faced")
+    goals = faced.groupBy(*by, "team_id").agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"))
+    teams = goals.groupBy(*by).agg(F.count("*").alias("_teams")).where("_teams > 1")
+    fixed = written(goals.join(facts, by).join(teams, by), "goals")
+    one = F.lit(1.0)
+    state = fixed.select("*", one.alias("attack"), one.alias("defence"), one.alias("home_advantage"), F.lit(False).alias("converged"), F.lit(0).alias("sweeps"))
+
+    def need(state: DataFrame, rate: str, at_home: bool) -> DataFrame:
+        """What opponents' ratings let each team expect per unit of its own."""
+        other = state.select(*by, F.col("team_id").alias("opponent_id"), F.col(rate).alias("_r"), F.col("home_advantage").alias("_h"))
+        edge = F.when(F.col("home") == F.lit(at_home), F.col("_h")).otherwise(1.0)
+        return faced.join(other, [*by, "opponent_id"]).groupBy(*by, "team_id").agg(F.sum(F.col("w") * F.col("_r") * edge).alias("_need"))
+
+    def block(state: DataFrame, name: str, total: str, needs: DataFrame) -> DataFrame:
+        new = F.when(F.col("_need") > 0, F.greatest(F.try_divide(F.col(total), F.col("_need")), F.lit(RATE_FLOOR))).otherwise(F.col(name))
+        return state.join(needs, [*by, "team_id"]).withColumns({"_new": new, "_change": F.greatest("_change", F.abs(new - F.col(name)))}).drop("_need")
+
+    while True:
+        live = written(state.where("not converged").withColumn("_change", F.lit(0.0)), "ratings")
+        done = state.where("converged")
+        if live.isEmpty() or live.agg(F.max("sweeps")).first()[0] >= sweeps:
+            break
+        new = block(live, "attack", "_s", need(live, "defence", True))
+        scale = new.groupBy(*by).agg(F.exp(F.avg(F.log("_new"))).alias("_scale"))
+        new = new.join(scale, by).withColumns({"attack": F.col("_new") / F.col("_scale"), "defence": F.col("defence") * F.col("_scale")}).drop("_new", "_scale")
+        new = written(new, "attacks")
+        new = block(new, "defence", "_c", need(new, "attack", False)).withColumn("defence", F.col("_new")).drop("_new")
+        new = written(new, "defences")
+        away = new.select(*by, F.col("team_id").alias("opponent_id"), F.col("defence").alias("_d"))
+        base = faced.where("home").join(new.select(*by, "team_id", "attack"), [*by, "team_id"]).join(away, [*by, "opponent_id"]).groupBy(*by).agg(F.sum(F.col("w") * F.col("attack") * F.col("_d")).alias("_base"))
+        edge = F.when(F.col("_base") > 0, F.greatest(F.try_divide(F.col("_goals"), F.col("_base")), F.lit(RATE_FLOOR))).otherwise(F.col("home_advantage"))
+        most = new.groupBy(*by).agg(F.max("_change").alias("_most"))
+        new = new.drop("_change").join(base, by).join(most, by).withColumn("_edge", edge)
+        change = F.greatest("_most", F.abs(F.col("_edge") - F.col("home_advantage")))
+        new = new.withColumns({"converged": change < TOLERANCE, "home_advantage": F.col("_edge"), "sweeps": F.col("sweeps") + 1}).drop("_base", "_most", "_edge")
+        state = written(new.select(state.columns).unionByName(done), "state")
+    rates = lambda s, *more: state.select(*by, F.col("team_id").alias(f"{s}_id"), F.col("attack").alias(f"_{s}_a"), F.col("defence").alias(f"_{s}_d"), *more)
+    met = rows.join(rates("home", "home_advantage"), [*by, "home_id"]).join(rates("away"), [*by, "away_id"])
+    lam, mu = F.col("_home_a") * F.col("_away_d") * F.col("home_advantage"), F.col("_away_a") * F.col("_home_d")
+    met = written(met.select(*by, "home_score", "away_score", "w", F.greatest(lam, F.lit(RATE_FLOOR)).alias("lam"), F.greatest(mu, F.lit(RATE_FLOOR)).alias("mu")), "rates")
+    low = met.where("home_score <= 1 and away_score <= 1")
+    ends = met.groupBy(*by).agg(
+        (F.greatest(F.lit(-0.3), F.max(-1 / F.col("lam")), F.max(-1 / F.col("mu"))) + 1e-6).alias("lo"), (F.least(F.lit(0.3), F.min(1 / (F.col("lam") * F.col("mu"))), F.lit(1.0)) - 1e-6).alias("hi"),
+        F.lit(0.0).alias("rho"),
+    )
+    factor = low_score(*map(F.col, ("home_score", "away_score", "lam", "mu", "rho")))
+    for _ in range(4):
+        step = (F.col("hi") - F.col("lo")) / 60
+        tried = ends.where("lo < hi").select(*by, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("i")).withColumn("rho", F.col("lo") + F.col("i") * step)
+        value = tried.join(low, by).groupBy(*by, "i").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("rho").alias("rho"), F.min(factor).alias("_least"), F.sum(F.col("w") * F.log(factor)).alias("_v"))
+        best = value.groupBy(*by).agg(F.max_by(F.struct("lo", "hi", "rho"), F.struct(F.when(F.col("_least") > 0, F.col("_v")).otherwise(F.lit(float("-inf"))), -F.col("i"))).alias("b")).select(*by, "b.*")
+        ends = written(best.select(*by, F.greatest("lo", F.col("rho") - step).alias("lo"), F.least("hi", F.col("rho") + step).alias("hi"), "rho"), "correction")
+    # a group without low scores has no row and no correction
+    met = met.join(ends.select(*by, "rho"), by, "left").fillna({"rho": 0.0})
+    terms = lambda k, rate: F.col(k) * F.log(rate) - F.col(rate) - F.log(F.factorial(k).cast("double"))
+    likely = met.groupBy(*by).agg(F.first("rho").alias("rho"), F.sum(F.col("w") * (terms("home_score", "lam") + terms("away_score", "mu") + F.log(factor))).alias("log_likelihood"))
+    out = state.join(likely, by).withColumn("reliable", F.col("converged") & (F.col("effective") >= MIN_EFFECTIVE))
+    return out.select(*by, "team_id", "attack", "defence", "home_advantage", "rho", "matches", "effective", "converged", "sweeps", "reliable", "log_likelihood")

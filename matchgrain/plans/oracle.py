@@ -133,6 +133,14 @@ v{{r}} as (select league, i, any_value(rho) as rho, any_value(lo) as lo, any_val
 b{{r}} as (select league, greatest(lo, rho - step) as lo, least(hi, rho + step) as hi, rho from v{{r}} qualify row_number() over (partition by league order by v desc, i) = 1)"""
 
 
+def fit_quality() -> str:
+    """Three sweeps, the likeliest correction and the log-likelihood."""
+    return f"""{fit_blocks(3, AGED)},
+played as (select a.league, a.home_score as hg, a.away_score as ag, a.w, greatest(h.att * x.def * h.ha, 1e-6) as lam, greatest(x.att * h.def, 1e-6) as mu from aged a join r3 h on h.league = a.league and h.team_id = a.home_id join r3 x on x.league = a.league and x.team_id = a.away_id),
+b0 as (select league, greatest(-0.3, max(-1 / lam), max(-1 / mu)) + 1e-6 as lo, least(0.3, min(1 / (lam * mu)), 1.0) - 1e-6 as hi, 0.0::double as rho from played group by league){"".join(RHO_SQL.format(r=r, before=r - 1) for r in range(1, 5))},
+fitted as (select p.league, count(*) as n, sum(w) as effective, any_value(rho) as rho, sum(w * (hg * ln(lam) - lam - ln(factorial(hg)) + ag * ln(mu) - mu - ln(factorial(ag)) + ln({TAU}))) as ll from played p join b4 using (league) group by p.league)"""
+
+
 def fit_sweeps(n: int) -> str:
     return fit_blocks(n, AGED) + f"""
 select league, team_id, matches, round(att, 6) as attack, round(def, 6) as defence, round(ha, 6) as home_advantage from r{n} join size using (league) where matches >= 20"""
@@ -258,11 +266,10 @@ select league, match_id, provider, market, selection, round(bankroll, 6) as bank
   window w as (partition by league order by kickoff, match_id, round(ev, 5) desc, provider, market, selection, line rows unbounded preceding)),
 c as (select *, greatest(max(log_bankroll) over (partition by league order by kickoff, match_id, round(ev, 5) desc, provider, market, selection, line rows unbounded preceding), 0) as peak from b)
 select league, match_id, provider, market, selection, line, stake, round(log_bankroll, 6) as log_bankroll, round(peak - log_bankroll, 6) as log_drawdown from c""",
-        "mod08_fit_quality": f"""{clubs}, {fit_blocks(3, AGED)},
-played as (select a.league, a.home_score as hg, a.away_score as ag, a.w, greatest(h.att * x.def * h.ha, 1e-6) as lam, greatest(x.att * h.def, 1e-6) as mu from aged a join r3 h on h.league = a.league and h.team_id = a.home_id join r3 x on x.league = a.league and x.team_id = a.away_id),
-b0 as (select league, greatest(-0.3, max(-1 / lam), max(-1 / mu)) + 1e-6 as lo, least(0.3, min(1 / (lam * mu)), 1.0) - 1e-6 as hi, 0.0::double as rho from played group by league){"".join(RHO_SQL.format(r=r, before=r - 1) for r in range(1, 5))},
-fitted as (select p.league, count(*) as n, sum(w) as effective, any_value(rho) as rho, sum(w * (hg * ln(lam) - lam - ln(factorial(hg)) + ag * ln(mu) - mu - ln(factorial(ag)) + ln({TAU}))) as ll from played p join b4 using (league) group by p.league)
+        "mod08_fit_quality": f"""{clubs}, {fit_quality()}
 select league, (select count(distinct team_id) from r3 where r3.league = f.league) as teams, n as matches, round(rho, 4) as rho, round(effective, 2) as effective, round(ll, 3) as log_likelihood, false as reliable from fitted f where n >= 20""",
+        "mod09_fit_by_sweeps": f"""{clubs}, {fit_quality()}
+select r.league, team_id, n as matches, round(att, 6) as attack, round(def, 6) as defence, round(ha, 6) as home_advantage, round(rho, 4) as rho, round(ll, 3) as log_likelihood from r3 r join fitted f on r.league = f.league where n >= 20""",
         "agg25_flat_yield": f"""{clubs}, {BETS}, g as (select league, case when won then decimal_odds - 1 else -1.0 end as gain from bets)
 select league, count(*) as bets, round(avg(gain), 6) as yield, round(stddev_samp(gain) / sqrt(count(*)), 6) as stderr, round(avg(gain) / (stddev_samp(gain) / sqrt(count(*))), 6) as t from g group by league""",
         "agg22_scores": f"""{clubs}, {FORECASTS} select league, count(*) as n, round(avg(-ln(greatest(case outcome when 'home' then home when 'draw' then draw else away end, 1e-15))), 6) as log_loss,

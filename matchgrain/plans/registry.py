@@ -148,6 +148,13 @@ def mod08_fit_quality(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("league", "teams", "matches", F.round("rho", 4).alias("rho"), F.round("effective", 2).alias("effective"), F.round("log_likelihood", 3).alias("log_likelihood"), "reliable")
 
 
+@query
+def mod09_fit_by_sweeps(spark: SparkSession, sf: str) -> DataFrame:
+    """The same three sweeps as Spark jobs, with correction and likelihood."""
+    out = model.fit_leagues(src.finals(spark, sf, clubs=True), 10.0, 3, model.fit_by_sweeps)
+    return out.select("league", "team_id", "matches", *(F.round(c, 6).alias(c) for c in ("attack", "defence", "home_advantage")), F.round("rho", 4).alias("rho"), F.round("log_likelihood", 3).alias("log_likelihood"))
+
+
 @query
 def mod09_fit_full(spark: SparkSession, sf: str) -> DataFrame:
     return model.fit_leagues(src.finals(spark, sf, clubs=True), 10.0)

@@ -148,6 +148,20 @@ def test_prices(spark):
     assert {r.t: r.p for r in rows} == cases
 
 
+def test_fit_by_sweeps_equals_the_fit_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(model, "TOLERANCE", 2e-3)
+    rows = [(m[1], *m[3:], 0.9 ** (i % 40), 1) for i, m in enumerate(matches(60, 5))] + [("b", 1 + i % 3, 4 + i % 2, 1 + i % 2, i % 3, 1.0, 1) for i in range(24)] + [("c", 1, 2, 0, 0, 1.0, 3)]
+    df = spark.createDataFrame(rows, "league string, home_id long, away_id long, home_score int, away_score int, w double, n long")
+    for sweeps in (2, 30):
+        want = {(r.league, r.team_id): r for r in model.fit_pairs(df, ["league"], sweeps).collect()}
+        got = {(r.league, r.team_id): r for r in model.fit_by_sweeps(df, ["league"], sweeps).collect()}
+        assert got.keys() == want.keys() and len(got) > 8
+        for k, r in got.items():
+            assert all(abs(r[c] - want[k][c]) < 1e-9 for c in ("attack", "defence", "home_advantage", "effective")), k
+            assert abs(r.rho - want[k].rho) < 1e-6 and abs(r.log_likelihood - want[k].log_likelihood) < 1e-6
+            assert (r.converged, r.sweeps, r.matches, r.reliable) == (want[k].converged, want[k].sweeps, want[k].matches, want[k].reliable)
+
+
 def test_grid_sums_to_one_under_strong_corrections(spark):
     rates = spark.createDataFrame([(1, 3.0, 2.5, 0.3), (2, 0.2, 0.1, -0.3)], "match_id long, lam double, mu double, rho double")
     assert all(abs(r.s - 1) < 1e-9 for r in model.score_grid(rates).groupBy("match_id").agg(F.sum("p").alias("s")).collect())
