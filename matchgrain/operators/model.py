@@ -221,12 +221,12 @@ def rated(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def markets(rows: DataFrame, k: int = TOP_SCORES) -> DataFrame:
-    """Rows with cells become rows with ``expected`` goals and ``markets``, an array of (market, line, selection, probability, fair_odds).
+    """Rows with cells become rows with ``expected`` goals, which are their rates, and ``markets``, an array of (market, line, selection, probability, fair_odds).
 
     Markets are 1x2, double_chance, totals, btts and correct_score (the k likeliest, ties in the order of the grid).
     Probabilities have five decimals, fair prices and expected goals three.
     """
-    out = rows.withColumns({"_o": sums(OUTCOMES | BOTH_SCORE | OVER | EXPECTED), "_top": likeliest(k)}).drop("cells")
+    out = rows.withColumns({"_o": sums(OUTCOMES | BOTH_SCORE | OVER), "_top": likeliest(k)}).drop("cells")
     o = lambda c: F.col(f"_o.{c}")
     row = lambda market, line, selection, p: F.struct(F.lit(market).alias("market"), F.lit(line).alias("line"), selection.alias("selection"), F.round(p, 5).alias("probability"), fair(p).alias("fair_odds"))
     each = [row("1x2", "", F.lit(s), o(s)) for s in ("home", "draw", "away")]
@@ -234,7 +234,7 @@ def markets(rows: DataFrame, k: int = TOP_SCORES) -> DataFrame:
     each += [row("totals", str(x), F.lit(s), p) for i, x in enumerate(LINES) for s, p in (("over", o(f"over_{i}")), ("under", 1 - o(f"over_{i}")))]
     each += [row("btts", "", F.lit("yes"), o("btts")), row("btts", "", F.lit("no"), 1 - o("btts"))]
     exact = F.transform("_top", lambda c: row("correct_score", "", F.concat_ws("-", c["hg"].cast("string"), c["ag"].cast("string")), -c["minus"]))
-    home, away = o("exp_home"), o("exp_away")
+    home, away = F.col("lam"), F.col("mu")
     expected = F.struct(*(F.round(x, 3).alias(n) for n, x in (("home_goals", home), ("away_goals", away), ("total_goals", home + away), ("supremacy", home - away))))
     return out.withColumns({"expected": expected, "markets": F.concat(F.array(*each), exact)}).drop("_o", "_top")
 

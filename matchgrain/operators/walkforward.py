@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrain.functions.rounding import exact_round
 from matchgrain.functions.written import written
-from matchgrain.operators import asof, model, value
-from matchgrain.operators.fixtures import micros
+from matchgrain.operators import asof, model, projection, value
+from matchgrain.operators.fixtures import completed, micros, team_games
 from matchgrain.operators.form import DAY
 
 FIT = ["half_life_days", "league", "point"]
@@ -49,7 +48,12 @@ def states(planned: DataFrame, half_lives: list[float]) -> DataFrame:
     league = Window.partitionBy("league", "kickoff")
     last = planned.groupBy("league").agg((F.max("point") + 1).alias("_points")).where("_points is not null")
     rows = planned.select(*CELL, "match_id", "kickoff", (F.coalesce(F.max("point").over(league), F.lit(-1)) + 1).alias("from"))
-    rows = rows.join(last, "league").select("*", candidates(half_lives))
+    return kept_up(rows.join(last, "league"), half_lives)
+
+
+def kept_up(rows: DataFrame, half_lives: list[float]) -> DataFrame:
+    """``states`` of final fixtures with ``from``, the first point after each, and ``_points``, how many its league has."""
+    rows = rows.select("*", candidates(half_lives))
     cell = Window.partitionBy("half_life_days", *CELL)
     day = micros(F.col("kickoff")) / F.lit(float(DAY))
     rows = rows.withColumn("_lives", (day - F.min(day).over(cell)) / F.col("half_life_days"))
@@ -76,6 +80,52 @@ def fits(planned: DataFrame, half_lives: list[float], sweeps: int = model.SWEEPS
     return model.fit_pairs(rows, FIT, sweeps)
 
 
+def fits_before(fixtures: DataFrame, finals: DataFrame, half_life_days: float = 120.0, sweeps: int = model.SWEEPS) -> DataFrame:
+    """Ratings of each league as of each kickoff of its fixtures, from the final ones strictly before; columns of ``fit_pairs`` by league and kickoff.
+
+    Kickoffs are the points of ``states``; fixtures of one kickoff share a fit. Kickoffs with too few matches before have none.
+    """
+    times = fixtures.select("league", "kickoff").distinct().withColumn("_time", F.lit(1))
+    both = finals.select(*CELL, "match_id", "kickoff").unionByName(times, allowMissingColumns=True)
+    both = asof.running(both, ["league"], {"n": F.coalesce("_time", F.lit(0)).cast("long")}, ["match_id"])
+    both = both.withColumn("_own", F.coalesce(F.max("_time").over(Window.partitionBy("league", "kickoff")), F.lit(0)))
+    points = both.where("_time = 1").select("league", F.col("before_n").alias("point"), F.col("kickoff").alias("anchor"))
+    last = points.groupBy("league").agg(F.count("*").alias("_points"))
+    rows = both.where("_time is null").select(*CELL, "match_id", "kickoff", (F.col("before_n") + F.col("_own")).alias("from")).join(last, "league")
+    each = kept_up(rows, [half_life_days]).withColumn("point", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
+    aged = F.col("w") * F.pow(F.lit(2.0), -model.days_between(F.col("kickoff"), F.col("anchor")) / F.col("half_life_days"))
+    rows = each.join(points, ["league", "point"]).select("league", F.col("anchor").alias("kickoff"), *CELL[1:], aged.alias("w"), "n")
+    return model.fit_pairs(rows, ["league", "kickoff"], sweeps)
+
+
+def model_projection(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Projections of the fixtures whose teams are both rated as of their kickoff, in the columns of ``projection.from_form``.
+
+    Expected scores are the goal rates, of two places; probabilities are the model's. Confidence is 'high' of a reliable
+    fit, 'medium' of a converged one, else 'low'.
+    """
+    by = ["league", "kickoff"]
+    side = lambda s, *more: ratings.select(*by, F.col("team_id").alias(f"{s}_id"), F.col("attack").alias(f"_{s}_a"), F.col("defence").alias(f"_{s}_d"), *more)
+    both = fixtures.select("match_id", *by, "home_id", "away_id").join(side("home", "home_advantage", "rho", "converged", "reliable"), [*by, "home_id"]).join(side("away"), [*by, "away_id"])
+    rates = {"lam": F.col("_home_a") * F.col("_away_d") * F.col("home_advantage"), "mu": F.col("_away_a") * F.col("_home_d")}
+    rows = model.match_odds(model.score_cells(both.withColumns({c: F.greatest(x, F.lit(model.RATE_FLOOR)) for c, x in rates.items()})))
+    two = lambda x, name: exact_round(x, 2).alias(name)
+    trust = F.when(F.col("reliable"), "high").when(F.col("converged"), "medium").otherwise("low").alias("confidence")
+    rows = rows.withColumn("_p", projection.rounded_shares(F.col("home"), F.col("draw"), F.col("away"))).drop("draw")
+    return rows.select("match_id", "league", "home_id", "away_id", two(F.col("lam"), "expected_home"), two(F.col("mu"), "expected_away"), two(F.col("lam") + F.col("mu"), "expected_total"), two(F.col("lam") - F.col("mu"), "margin"), "_p.*", trust)
+
+
+def projections(fixtures: DataFrame, others: DataFrame, half_life_days: float = 120.0, lookback: int = asof.LOOKBACK, sweeps: int = model.SWEEPS) -> DataFrame:
+    """The model's projection of each fixture where a fit before it knows both teams, else the one from form; ``source`` tells which.
+
+    ``others`` are all fixtures of the leagues, final ones among them. Nothing after a fixture's kickoff counts.
+    """
+    finals = completed(others)
+    by_model = model_projection(fixtures, fits_before(fixtures, finals, half_life_days, sweeps)).withColumn("source", F.lit("dixon_coles"))
+    by_form = asof.projection_before(fixtures, others, team_games(finals)).withColumn("source", F.lit("fallback_form"))
+    return by_model.unionByName(by_form.join(by_model.select("match_id"), "match_id", "left_anti"))
+
+
 def forecasts(planned: DataFrame, ratings: DataFrame, half_lives: list[float]) -> DataFrame:
     """The scheduled matches with goal rates under the fit in force; ``skipped`` is 'no_history', 'unknown_team' or null."""
     planned = planned.select(candidates(half_lives), "*")

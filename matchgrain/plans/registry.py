@@ -207,6 +207,13 @@ def prjn01_projection(spark: SparkSession, sf: str) -> DataFrame:
     return asof.projection_before(m, m, src.games(spark, sf, clubs=True))
 
 
+@query
+def prjn06_projections(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scheduled match under the model as of its kickoff, or under form where no fit knows both teams."""
+    m = src.matches(spark, sf, clubs=True)
+    return walkforward.projections(m.where("status = 'scheduled'"), m, 10.0)
+
+
 def form_rows(spark: SparkSession, sf: str) -> DataFrame:
     return asof.form_before(src.matches(spark, sf, clubs=True), src.games(spark, sf, clubs=True))
 

@@ -132,6 +132,28 @@ def test_betting_on_the_replay_equals_a_fold(spark):
     assert (none.bets, none.final_bankroll, none.hit_rate) == (0, 1.0, None)
 
 
+def test_projections_use_the_fit_before_each_fixture_or_else_form(spark):
+    rows = matches()
+    want, _ = walk(rows, 1)
+    schema = SCHEMA.replace("kickoff timestamp_ntz,", "kickoff timestamp_ntz, status string,")
+    df = spark.createDataFrame([(*m[:3], "final", *m[3:]) for m in rows] + [(900, "a", datetime(2024, 1, 2), "scheduled", 1, 2, None, None)], schema)
+    some = df.where("match_id in (5, 40, 41, 61, 89, 900)")
+    got = {r.match_id: r for r in walkforward.projections(some, df, 30.0).collect()}
+    assert set(got) == {5, 40, 41, 61, 89, 900}
+    for i, _, _, home, away, _, _ in rows:
+        if i not in got:
+            continue
+        if isinstance(want[i], str):
+            assert got[i].source == "fallback_form"
+            continue
+        (lam, mu), f = rates(want[i], home, away), want[i]
+        p = {k: sum(v for (h, a), v in grid_of(lam, mu, f["rho"]).items() if on(h, a)) for k, on in (("home_win", lambda h, a: h > a), ("draw", lambda h, a: h == a), ("away_win", lambda h, a: h < a))}
+        assert got[i].source == "dixon_coles" and abs(got[i].expected_home - lam) < 0.0051 and abs(got[i].margin - (lam - mu)) < 0.0051
+        assert all(abs(got[i][k] - p[k]) < 2e-4 for k in p) and round(sum(got[i][k] for k in p), 6) == 1
+        assert got[i].confidence == ("low" if not f["converged"] else "high" if f["effective"] >= model.MIN_EFFECTIVE else "medium")
+    assert {r.source for r in got.values()} == {"dixon_coles", "fallback_form"}
+
+
 def test_sweep_ranks_candidates_and_keeps_those_without_matches(spark):
     rows = matches() + [(1000 + i, "b", datetime(2024, 1, 1) + timedelta(days=i), 1, 2, 0, 0) for i in range(5)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -153,13 +175,21 @@ def test_fit_by_sweeps_equals_the_fit_in_one_task(spark, monkeypatch):
     rows = [(m[1], *m[3:], 0.9 ** (i % 40), 1) for i, m in enumerate(matches(60, 5))] + [("b", 1 + i % 3, 4 + i % 2, 1 + i % 2, i % 3, 1.0, 1) for i in range(24)] + [("c", 1, 2, 0, 0, 1.0, 3)]
     df = spark.createDataFrame(rows, "league string, home_id long, away_id long, home_score int, away_score int, w double, n long")
     for sweeps in (2, 30):
-        want = {(r.league, r.team_id): r for r in model.fit_pairs(df, ["league"], sweeps).collect()}
         got = {(r.league, r.team_id): r for r in model.fit_by_sweeps(df, ["league"], sweeps).collect()}
+        want = {}
+        for league in ("a", "b"):  # "c" has too few matches
+            own = [r for r in rows if r[0] == league]
+            teams = sorted({t for r in own for t in r[1:3]})
+            at = lambda k, own=own, teams=teams: np.array([teams.index(r[k]) for r in own])
+            w = np.array([r[5] for r in own])
+            fit = model.fit_group(at(1), at(2), np.array([float(r[3]) for r in own]), np.array([float(r[4]) for r in own]), w, len(teams), sweeps)
+            want |= {(league, t): fit | {"attack": fit["attack"][i], "defence": fit["defence"][i], "effective": w.sum(), "matches": len(own)} for i, t in enumerate(teams)}
         assert got.keys() == want.keys() and len(got) > 8
         for k, r in got.items():
             assert all(abs(r[c] - want[k][c]) < 1e-9 for c in ("attack", "defence", "home_advantage", "effective")), k
-            assert abs(r.rho - want[k].rho) < 1e-6 and abs(r.log_likelihood - want[k].log_likelihood) < 1e-6
-            assert (r.converged, r.sweeps, r.matches, r.reliable) == (want[k].converged, want[k].sweeps, want[k].matches, want[k].reliable)
+            assert abs(r.rho - want[k]["rho"]) < 1e-6 and abs(r.log_likelihood - want[k]["log_likelihood"]) < 1e-6
+            assert (r.converged, r.sweeps, r.matches) == (want[k]["converged"], want[k]["sweeps"], want[k]["matches"])
+            assert r.reliable == (r.converged and r.effective >= model.MIN_EFFECTIVE)
 
 
 def test_grid_sums_to_one_under_strong_corrections(spark):
