@@ -1,5 +1,8 @@
 """Disguised words of any length, with signs at their edges, and spaced signs."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 
@@ -24,3 +27,35 @@ def test_disguised_words_are_restored(restorer, written, meant):
 
 def test_long_chunks_are_decoded_whole(restorer):
     assert restorer.words("m0r0n-" * 5000) == {"moron"}
+
+
+def readings(model, lattice):
+    """Every reading of a lattice with its cost, letter by letter."""
+    out = {}
+    for path in itertools.product(*lattice, [(" ", 0.0)]):
+        a, b, total = 0, 0, 0.0
+        for letters, extra in path:
+            total += extra
+            for c in letters:
+                z = toxicity.letter_class(c)
+                if z == b == 0:
+                    continue
+                total += model.cost[a][b][z]
+                a, b = b, z
+        text = "".join(letters for letters, _ in path).strip()
+        out[text] = min(total, out.get(text, total))
+    return out
+
+
+def test_decoded_readings_are_the_cheapest_of_all(restorer):
+    r, decoded = random.Random(6), 0
+    chunks = ["sh1t", "!d!0t", "m00ron", "id1|t", "b-i-t", "é3ß", "5tup1d", "$h1+", "aabb", "0", "-"] + ["".join(r.choice("mornshtid0135$!|+-.é") for _ in range(r.randrange(1, 8))) for _ in range(300)]
+    for chunk in chunks:
+        for lattice in (toxicity.letters_lattice(chunk), toxicity.spaced_lattice(" ".join(c for c in chunk if c.isalnum() or c in toxicity.LEET))):
+            if not lattice or np.prod([len(o) for o in lattice]) > 20_000:
+                continue
+            of = readings(restorer.model, lattice)
+            found, least = restorer.model.decode(lattice), min(of.values())
+            assert of[found] == pytest.approx(least, abs=1e-9), (chunk, found)
+            decoded += 1
+    assert decoded > 400
