@@ -81,16 +81,18 @@ PAYLOAD = "items array<struct<provider: struct<id: string, name: string>, homeTe
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """Up to seven priced rows of each provider entry of (match_id, payload as JSON text); entries without a provider id are dropped.
 
-    Returns match_id, provider, provider_name, market, selection, line, decimal_odds, and raw, the prices as read.
+    Returns match_id, provider, provider_name, market, selection, line, decimal_odds, raw, the prices as read, and any other
+    columns of the payloads.
     """
-    items = payloads.select("match_id", F.explode(F.from_json("payload", PAYLOAD)["items"]).alias("i")).where("i.provider.id <> ''")
+    more = [c for c in payloads.columns if c not in ("match_id", "payload")]
+    items = payloads.select("match_id", *more, F.explode(F.from_json("payload", PAYLOAD)["items"]).alias("i")).where("i.provider.id <> ''")
     line = half_line(F.col("i.overUnder").try_cast("double"))
     row = lambda market, selection, odds, at=None: F.struct(F.lit(market).alias("market"), F.lit(selection).alias("selection"), (F.lit("") if at is None else at).alias("line"), odds.alias("decimal_odds"))
     three = [row("1x2", s, boxed_price(F.col(f"i.{c}"))) for s, c in (("home", "homeTeamOdds"), ("away", "awayTeamOdds"), ("draw", "drawOdds"))]
     two = [row("totals", s, F.when(line.isNotNull(), coerced(F.col(f"i.{s}Odds"))), F.coalesce(line, F.lit(""))) for s in ("over", "under")]
     btts = [row("btts", s, coerced(F.get_json_object("i.bothTeamsToScoreOdds", f"$.{s}"))) for s in ("yes", "no")]
     rows = F.explode_outer(F.array(*three, *two, *btts)).alias("r")  # explode would compute all prices twice, for a filter on the size
-    return items.select("match_id", F.col("i.provider.id").alias("provider"), F.coalesce("i.provider.name", F.lit("")).alias("provider_name"), rows, F.to_json("i").alias("raw")).where("r.decimal_odds is not null").select("match_id", "provider", "provider_name", "r.*", "raw")
+    return items.select("match_id", *more, F.col("i.provider.id").alias("provider"), F.coalesce("i.provider.name", F.lit("")).alias("provider_name"), rows, F.to_json("i").alias("raw")).where("r.decimal_odds is not null").select("match_id", "provider", "provider_name", "r.*", "raw", *more)
 
 
 def devig(odds: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from matchgrain.operators import value
 from matchgrain.sources import feeds, merge, reports
-from matchgrain.streaming.store import Change, Store, replaced, upserted
+from matchgrain.streaming.store import Change, Store, created, replaced, upserted
 
 LANDED = "league string, payload string, ingested timestamp"
 TEAMS = "league string, team_id string"
@@ -38,9 +39,21 @@ def scoreboard(batch: DataFrame, store: Store) -> dict[str, Change]:
     return {"events": upserted(facts, ["event_id"], "ingested"), "competitors": replaced(feeds.competitors(last), last, ["event_id"])}
 
 
+def titled(slug: Column) -> Column:
+    """Every run of letters with a capital first, hyphens as spaces: 'eng-premier.1' is 'Eng Premier.1'."""
+    parts = F.split(F.replace(slug, F.lit("-"), F.lit(" ")), r"(?<=[^A-Za-z])")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 2**30)))), "")
+
+
+def leagues(batch: DataFrame) -> Change:
+    """The leagues of a batch that are not known yet, named after their slug."""
+    rows = batch.where("league is not null").select("league").distinct()
+    return created(rows.select("league", titled(F.col("league")).alias("name"), F.substring(F.upper("league"), 1, 10).alias("abbreviation")), ["league"])
+
+
 def teams(batch: DataFrame, store: Store) -> dict[str, Change]:
     rows = reports.teams(batch)
-    return {"teams": upserted(rows.drop("error").withColumn("team_id", F.nullif("team_id", F.lit(""))), ["league", "team_id"], "ingested")}
+    return {"leagues": leagues(batch), "teams": upserted(rows.drop("error").withColumn("team_id", F.nullif("team_id", F.lit(""))), ["league", "team_id"], "ingested")}
 
 
 def news(batch: DataFrame, store: Store) -> dict[str, Change]:
@@ -63,7 +76,19 @@ def transactions(batch: DataFrame, store: Store) -> dict[str, Change]:
     return {"transactions": upserted(rows.withColumn("key", F.coalesce("transaction_id", own)), ["league", "key"], "ingested", F.col("description") == "")}
 
 
-FEEDS = {"teams": Feed(teams, "1 day"), "scoreboard": Feed(scoreboard, "1 minute"), "news": Feed(news, "15 minutes"), "injuries": Feed(injuries, "1 hour"), "transactions": Feed(transactions, "1 hour")}
+def odds(batch: DataFrame, store: Store) -> dict[str, Change]:
+    """Prices by event, provider, market, selection and line; a payload is {"event": id, "odds": the provider entries}.
+
+    A payload that cannot be read, or has no event or entries, is one error and stops nothing.
+    """
+    rows = batch.select("league", "ingested", F.get_json_object("payload", "$.event").alias("match_id"), F.get_json_object("payload", "$.odds").alias("payload"))
+    readable = F.col("match_id").isNotNull() & F.coalesce(F.get_json_object("payload", "$.items").startswith("["), F.lit(False))
+    priced = value.parse_payloads(rows.where(readable))
+    bad = rows.where(~readable).select("league", "ingested")
+    return {"odds": upserted(priced.unionByName(bad, allowMissingColumns=True), ["match_id", "provider", "market", "selection", "line"], "ingested")}
+
+
+FEEDS = {"teams": Feed(teams, "1 day"), "scoreboard": Feed(scoreboard, "1 minute"), "news": Feed(news, "15 minutes"), "injuries": Feed(injuries, "1 hour"), "transactions": Feed(transactions, "1 hour"), "odds": Feed(odds, "15 minutes")}
 
 
 def refresh(spark: SparkSession, landed: str, folder: str, checkpoints: str, names: list[str] | None = None, once: bool = True, retries: int = 2, wait_seconds: float = 1.0, registry: dict[str, Feed] | None = None) -> dict[str, dict]:

@@ -38,6 +38,15 @@ def upserted(rows: DataFrame, keys: list[str], at: str, bad: Column | None = Non
     return Change(rows, keys, lambda old, new: merge.upsert(old, merge.latest(new, keys, at), keys), bad=wrong)
 
 
+def created(rows: DataFrame, keys: list[str]) -> Change:
+    """Rows whose key is not there yet are added, each key once; others change nothing."""
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        fresh = new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").withColumn("action", F.lit("created"))
+        return fresh.unionByName(old.withColumn("action", F.lit("kept")))
+
+    return Change(rows, keys, combine)
+
+
 def replaced(rows: DataFrame, parts: DataFrame, by: list[str]) -> Change:
     """The rows of each part (a parent, a snapshot) are the new ones alone; a part without rows loses its old ones."""
     def combine(old: DataFrame, new: DataFrame) -> DataFrame:

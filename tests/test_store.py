@@ -65,6 +65,8 @@ def test_feeds_refresh_side_by_side_and_one_failure_stops_no_other(spark, tmp_pa
     land(landed, "news", "a", [("nba", {"id": "n", "headline": "h"}, 1)])
     land(landed, "injuries", "a", [("nba", {"items": [{"athlete": {"id": "5", "displayName": "A"}, "status": "Out", "team": {"id": "1"}}]}, 1), ("nfl", {"items": [{"athlete": {"displayName": "B"}}]}, 1)])
     land(landed, "transactions", "a", [("nba", {"items": [{"id": "t1", "description": "d"}, {"description": "no id"}, {"id": "t2"}]}, 1)])
+    price = lambda home, **more: {"items": [{"provider": {"id": "p"}, "homeTeamOdds": home, **more}]}
+    land(landed, "odds", "a", [("nba", {"event": "7", "odds": price("+150", drawOdds="OFF")}, 1), ("nba", {"odds": price("2.0")}, 1), ("nba", {"event": "8", "odds": "down"}, 1), ("nba", {"event": "7", "odds": price("+200")}, 2)])
     tries = []
 
     def fails(batch, s):
@@ -75,8 +77,11 @@ def test_feeds_refresh_side_by_side_and_one_failure_stops_no_other(spark, tmp_pa
     assert "feed is down" in told["news"]["error"] and len(tries) == 3 and all(x["error"] is None for n, x in told.items() if n != "news")
     assert told["teams"]["counts"]["teams"] == {"created": 2, "updated": 0, "errors": 1, "total": 3}
     assert told["transactions"]["counts"]["transactions"] == {"created": 2, "updated": 0, "errors": 1, "total": 3}
+    assert told["odds"]["counts"]["odds"] == {"created": 1, "updated": 0, "errors": 2, "total": 3} and told["teams"]["counts"]["leagues"]["created"] == 1
     read = lambda feed, t: store.Store(spark, f"{tmp_path}/stores/{feed}").read(t).collect()
     assert sorted((r.league, r.athlete_name, r.team_id) for r in read("injuries", "injuries")) == [("nba", "A", "1"), ("nfl", "B", None)]
+    assert [(r.match_id, r.provider, r.market, r.selection, r.decimal_odds) for r in read("odds", "odds")] == [("7", "p", "1x2", "home", 3.0)]
+    assert [(r.league, r.name, r.abbreviation) for r in read("teams", "leagues")] == [("nba", "Nba", "NBA")]
     land(landed, "scoreboard", "b", [("nba", {"id": "7", "date": "2024-01-02T03:04Z", "status": {"type": {"state": "post"}}, "competitions": [{"competitors": [{"team": {"id": "2"}}]}]}, 2)])
     land(landed, "injuries", "b", [("nba", {"items": [{"athlete": {"displayName": "C"}}]}, 2), ("nfl", {"items": []}, 2)])
     told = feeds.refresh(*args)
@@ -103,3 +108,9 @@ def test_late_and_repeated_payloads_are_dropped_over_batches(spark, tmp_path):
     assert arrive("a", ("x", "1", 3), ("x", "0", 1), ("y", "1", 2), (None, "n", 1)) == [("x", "0", 1), ("x", "1", 3), ("y", "1", 2)]
     assert arrive("b", ("x", "late", 2), ("y", "1", 5), ("x", "1", 3)) == []
     assert arrive("c", ("y", "2", 6), ("y", "late", 4), ("x", "2", 9)) == [("x", "2", 9), ("y", "2", 6)]
+
+
+def test_slugs_become_names(spark):
+    slugs = {"eng-premier.1": "Eng Premier.1", "fd.e0": "Fd.E0", "nba": "Nba", "": ""}
+    rows = spark.createDataFrame([(k,) for k in slugs], "s string").select("s", feeds.titled(F.col("s")).alias("t")).collect()
+    assert {r.s: r.t for r in rows} == slugs
