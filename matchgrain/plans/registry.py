@@ -278,8 +278,9 @@ def bt06_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bt03_replay_bets(spark: SparkSession, sf: str) -> DataFrame:
-    """The bets that the replay itself makes, by the fit in force at each match."""
-    return walkforward.bets(replayed(spark, sf), src.odds(spark, sf)).select("league", "match_id", "provider", "market", "selection", "line", "decimal_odds", "p", "ev", "stake", "won")
+    """The bets that a replay makes itself, by the fit in force at each match, once that carries enough weight."""
+    replayed = walkforward.replay(src.finals(spark, sf, clubs=True), [120.0], 5)
+    return walkforward.bets(replayed, src.odds(spark, sf)).select("league", "match_id", "provider", "market", "selection", "line", "decimal_odds", "p", "ev", "stake", "won")
 
 
 @query
