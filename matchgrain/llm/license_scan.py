@@ -15,7 +15,8 @@ from matchgrain.llm.textbytes import ALNUM, byte_slices, lower_ascii, string_has
 
 #: Phrases whose words stand consecutively, and their labels: fixed values.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Templates in our own words for the similarity join, and their labels.
+#: Templates for the similarity join, and their labels: short notices in our own words, then what opens or closes the
+#: published license texts, which are fixed values.
 TEMPLATES = {
     "released under the mit license": "mit",
     "licensed under the apache license version 2 0": "apache-2",
@@ -27,9 +28,21 @@ TEMPLATES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this source code form is subject to the terms of the mozilla public license version 2": "mpl-2",
     "all rights reserved no part may be reproduced without written permission": "all-rights-reserved",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction": "mit",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-2",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all rights": "cc0",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "zlib",
 }
 
-#: Words that tell licenses apart: those that must stand where a template is met, and those that must not.
+#: Words that tell licenses apart: those that must stand where a template with them is met, and those that must not.
 TELLING = {
     "mit": ({"mit"}, set()),
     "apache-2": ({"apache", "2"}, set()),
@@ -37,7 +50,13 @@ TELLING = {
     "cc-by-sa": ({"sa"}, set()),
     "cc-by": ({"cc"}, {"nc", "sa", "nd"}),
     "gpl-3": ({"gnu", "3"}, {"lesser", "library", "affero"}),
+    "gpl": ({"gnu", "general"}, {"lesser", "library", "affero"}),
     "lgpl": ({"lesser"}, set()),
+    "agpl": ({"affero"}, set()),
+    "isc": ({"fee"}, set()),
+    "unlicense": ({"unencumbered"}, set()),
+    "cc0": ({"waiving"}, set()),
+    "zlib": ({"freely"}, set()),
     "mpl-2": ({"mozilla", "2"}, set()),
 }
 #: Words of a window for each word of its template.
@@ -78,7 +97,8 @@ class Templates:
             self.sets.append(tokens)
             self.need.append(max(1, math.ceil(threshold * len(tokens) - 1e-9)))
             self.width.append(SPREAD * len(text.split()))
-            self.telling.append(tuple({rank[w] for w in words} for words in telling.get(label, (set(), set()))))
+            must, never = telling.get(label, (set(), set()))
+            self.telling.append(({rank[w] for w in must & {*text.split()}}, {rank[w] for w in never}))
 
     def matches(self, token: np.ndarray, place: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, float, bool]]:
         """(template, first, last, containment, told) of the windows that meet a template, by their first word.
@@ -116,7 +136,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
     template's words, from any word on and over line ends. A block meets the template if it holds at least
     ``threshold`` of its distinct words; tokens are ordered by their count over all texts, rarest first, and only
     blocks with a token of the template's prefix are compared. Of the labels met, licenses has those whose ``telling``
-    words agree: (all of these in the block, none of those inside the match). Phrases may run over line ends. A null
+    words agree (those of the template that must stand are in the block, none that must not inside the match). Phrases may run over line ends. A null
     text is empty; ids may be null or repeat; other columns are ignored; an empty table gives an empty result. Returns
     id, n_words, n_base, first_word, last_word, base_labels, labels, licenses, score (the largest containment met, 1
     with a phrase, else 0), blocks (first line and template label of each run of overlapping matches).

@@ -33,7 +33,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+    """The labels whose telling words agree; all that a template of the label is met for are met_labels."""
+    out = license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+    return out.withColumnsRenamed({"labels": "met_labels", "licenses": "labels"})
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,26 @@ def test_windows_equal_brute_force(spark):
             if any(len(own & {*words[k : k + width]}) >= 0.8 * len(own) - 1e-9 for k in range(len(words))):
                 want.add(label)
         assert got[i] == ",".join(sorted(want))
+
+
+PARAGRAPHS = {
+    1: ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including", "mit"),
+    2: ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", "isc"),
+    3: ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either", "lgpl"),
+    4: ("you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either", "gpl"),
+    5: ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License\nas published by the Free Software Foundation", "agpl"),
+    6: ("Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.", "bsd"),
+    7: ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    8: ("You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0", "apache-2"),
+    9: ("the public house may not use this charge to any person without a notice of the following conditions", ""),
+}
+
+
+def test_published_notices_and_the_query_keeps_labels_that_agree(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, (t, _) in PARAGRAPHS.items()] + [(20, "released under the BSD license"), (21, None), (22, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from matchgrain.llm import queries
+
+    rows = {r.doc_id: r for r in queries.op4_license_scan(spark, str(tmp_path)).collect()}
+    assert {i: rows[i].labels for i in PARAGRAPHS} == {i: x for i, (_, x) in PARAGRAPHS.items()}
+    assert (rows[20].labels, rows[20].met_labels, rows[20].base_labels) == ("", "mit", "")
+    assert all((rows[i].labels, rows[i].n_words, rows[i].score) == ("", 0, 0.0) for i in (21, 22))
