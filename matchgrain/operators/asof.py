@@ -19,6 +19,8 @@ from matchgrain.operators.form import DAY
 
 #: Games of a form, days in which a game's weight halves, latest games of the momentum, fixtures of a baseline: fixed values.
 LOOKBACK, HALF_LIFE_DAYS, MOMENTUM_GAMES, SAMPLE = 10, 60.0, 5, 200
+#: Days in which matches are counted, and how many make them a congested run: fixed values.
+CONGESTION_DAYS, CONGESTED = 14, 4
 GAME = ["opponent_id", "side", "scored", "conceded"]
 
 
@@ -131,6 +133,23 @@ def strength_before(form: DataFrame, games: DataFrame) -> DataFrame:
     return form.select("match_id", "team_id").join(rates, ["match_id", "team_id"], "left").select("match_id", "team_id", F.coalesce("rated_games", F.lit(0)).alias("rated_games"), "strength")
 
 
+def context_before(fixtures: DataFrame, finals: DataFrame, days: int = CONGESTION_DAYS, congested_from: int = CONGESTED) -> DataFrame:
+    """(match_id, team_id, side, rest_days, recent, congested): whole days since the team's last final match in the league, and those in the days before.
+
+    ``finals`` count with or without scores, strictly before the kickoff, from exactly ``days`` earlier on. ``rest_days`` is null
+    without an earlier match. One union and one window over a team's calendar give both.
+    """
+    own = F.col("_own")
+    both = sides(fixtures).withColumn("_own", F.lit(True)).unionByName(sides(finals).select("league", "team_id", "kickoff", F.lit(False).alias("_own")), allowMissingColumns=True)
+    both = both.withColumn("_at", micros(F.col("kickoff")))
+    calendar = Window.partitionBy("league", "team_id").orderBy("_at")
+    last = F.max(F.when(~own, F.col("_at"))).over(calendar.rangeBetween(Window.unboundedPreceding, -1))
+    recent = F.count(F.when(~own, 1)).over(calendar.rangeBetween(-days * DAY, -1))
+    rows = both.withColumns({"_last": last, "recent": recent}).where(own)
+    rested = F.floor((F.col("_at") - F.col("_last")) / F.lit(float(DAY))).cast("int")
+    return rows.select("match_id", "team_id", "side", rested.alias("rest_days"), "recent", (F.col("recent") >= congested_from).alias("congested"))
+
+
 def meetings_before(fixtures: DataFrame, finals: DataFrame, limit: int = LOOKBACK) -> DataFrame:
     """Earlier meetings of each fixture's teams in the league, seen from its home team: counts, goals, their mean, the meetings."""
     pair = {"_a": F.least("home_id", "away_id"), "_b": F.greatest("home_id", "away_id")}

@@ -102,6 +102,44 @@ baselines as (select m.match_id, m.league, count(h) as sample, {", ".join(f"prin
   printf('%.3f', (coalesce(count(*) filter (h = a) / nullif(count(h), 0)::double, 0))::double)::double as draw_rate from matches m left join latest using (match_id) group by m.match_id, m.league)"""
 
 
+#: Rest and congestion of each team before each fixture, from final matches of the league.
+CONTEXT = """calendar as (select match_id, league, team_id, side, epoch_us(kickoff) as us, status = 'final' as fact from both_sides),
+around as (select match_id, team_id, side, (select max(c.us) from calendar c where c.fact and c.league = f.league and c.team_id = f.team_id and c.us < f.us) as last, us,
+  (select count(*) from calendar c where c.fact and c.league = f.league and c.team_id = f.team_id and c.us < f.us and c.us >= f.us - 1209600000000) as recent from calendar f),
+contexts as (select match_id, team_id, side, floor((us - last) / 86400000000.0)::int as rest_days, recent, recent >= 4 as congested from around)"""
+
+#: Absences of the clubs.
+ABSENCES = """athletes as (select ['view', 'signup', 'click', 'error', 'purchase'][(c_nationkey % 5 + 1)::int] as league, c_custkey % 20 as team_id, c_custkey as id, c_nationkey % 5 as k, ['out', 'ir', 'doubtful', 'questionable', 'day_to_day', 'other'][(c_custkey % 6 + 1)::int] as status from customer),
+seasons as (select league, id, year(o_orderdate) as season, count(*) as n from orders join athletes on o_custkey = id where id % 4 > 0 group by all),
+shares as (select league, id, least(n / most::double, 1.0) as share from (select *, max(n) over (partition by league, season) as most, row_number() over (partition by league, id order by season desc) as rn from seasons) where rn = 1),
+absences as (select league, team_id, count(*) as n, sum(case status when 'out' then 1.0 when 'ir' then 1.0 when 'doubtful' then 0.75 when 'questionable' then 0.4 when 'day_to_day' then 0.3 else 0.2 end::double * coalesce(share, 1.0)) as burden, count(share) as known
+  from athletes left join shares using (league, id) where id % 3 > 0 group by all)"""
+
+
+def insights(clubs: str, strength: str, meetings: str, projection: str) -> str:
+    """The sentences, from the SQL of the parts they speak of."""
+    shown = "printf('%.2f', x)::double".replace
+    side = lambda s: f"""case when {s}.overall_played = 0 then ['No completed games on record for Team ' || {s}.team_id || '.'] else [
+    'T' || {s}.team_id || ' last ' || {s}.overall_played || ': ' || {s}.overall_wins || '-' || {s}.overall_draws || '-' || {s}.overall_losses || ' (' || {s}.overall_avg_scored || ' scored / ' || {s}.overall_avg_conceded || ' conceded per game).',
+    case when substr({s}.streak, 2)::int >= 3 then 'T' || {s}.team_id || ' is on a ' || {s}.streak || ' run.' end,
+    case when {s}.m_games >= 3 and abs({s}.gap) >= 0.5 then 'T' || {s}.team_id || ' is running ' || abs({shown("x", f"{s}.gap")}) || ' points per game ' || case when {s}.gap > 0 then 'above' else 'below' end || ' its own ' || {s}.overall_played || '-game average over the last ' || {s}.m_games || ' — a short sample, so treat it as a hint, not a trend.' end,
+    case when {s}.strength >= 0.3 then 'T' || {s}.team_id || ' faced stronger-than-average opponents (' || printf('%+.2f', {s}.strength) || ' goal difference per game), so that record flatters it less than it looks.'
+      when {s}.strength <= -0.3 then 'T' || {s}.team_id || ' faced weaker-than-average opponents (' || printf('%+.2f', {s}.strength) || ' goal difference per game).' end] end"""
+    around = lambda s: f"""[case when {s}.congested then 'T' || {s}.team_id || ' has played ' || {s}.recent || ' matches in 14 days.' end, case when {s}.rest_days <= 3 then 'T' || {s}.team_id || ' had only ' || {s}.rest_days || ' days'' rest.' end,
+    case when {s}.absent > 0 then 'T' || {s}.team_id || ' has ' || {s}.absent || ' listed absence' || case when {s}.absent > 1 then 's' else '' end || ', weighted ' || printf('%.1f', round({s}.burden, 9)) || case when {s}.known > 0 then '' else ' (playing time unknown)' end || '.' end]"""
+    return f"""{clubs}, {LAST_GAMES}, {FORMS}, {CONTEXT}, {ABSENCES},
+trend as (select match_id, team_id, (count(g) filter (rn <= 5))::int as m_games, avg(points) filter (rn <= 5) - avg(points) as gap from last_games group by all),
+tough as (select match_id, team_id, printf('%.3f', round(strength, 9))::double as strength from ({strength})), met as ({meetings}), projected as ({projection}),
+teams as (select f.*, m_games, gap, strength, rest_days, recent, congested, a.n as absent, burden, known from forms f join both_sides b using (match_id, team_id) left join trend using (match_id, team_id) left join tough using (match_id, team_id)
+  join contexts using (match_id, team_id) left join absences a on a.league = b.league and a.team_id = f.team_id),
+notes as (select m.match_id, list_filter(list_concat({side("h")}, {side("a")}, {around("h")}, {around("a")}, [
+  case when met.played = 0 then 'No previous meetings on record between these teams.' else 'Head-to-head over ' || met.played || ' meeting' || case when met.played > 1 then 's' else '' end || ': T' || h.team_id || ' ' || met.home_wins || ' - ' || met.away_wins || ' T' || a.team_id || case when met.draws > 0 then ' (' || met.draws || ' drawn)' else '' end || ', ' || met.avg_total_points || ' combined points per game.' end,
+  'Model leans T' || case when p.margin >= 0 then h.team_id else a.team_id end || ' by ' || abs(p.margin) || ' (' || p.expected_home || ' - ' || p.expected_away || ' projected).',
+  'Too little league history to fit the scoreline model, so this projection comes from the form fallback, which prices every draw in the league at the same rate. Use /forecast/ once more matches are stored.']), lambda x: x is not null) as said
+  from matches m join teams h on h.match_id = m.match_id and h.side = 'home' join teams a on a.match_id = m.match_id and a.side = 'away' join met on met.match_id = m.match_id join projected p on p.match_id = m.match_id)
+select match_id, generate_subscripts(said, 1)::int as place, unnest(said) as insight from notes"""
+
+
 def fit_blocks(n: int, aged: str) -> str:
     """The rating fit as a chain of common table expressions, one block for each step of a sweep."""
     out = f"""
@@ -150,7 +188,7 @@ def sql() -> dict[str, str]:
     users, clubs = f"with {USERS}", f"with {CLUBS}"
     baseline = "count(*) as n, round(avg(home_score), 6) as avg_home, round(avg(away_score), 6) as avg_away, round(avg(home_score - away_score), 6) as home_advantage"
     number = "case when upper(trim({0})) in ('EVEN', 'EV') then 2.0::double when regexp_matches(trim({0}), '^[+-]?[0-9]+([.][0-9]+)?$') then case when try_cast({0} as double) > 1 and try_cast({0} as double) < 100 and trim({0})[1] <> '+' then try_cast({0} as double) when try_cast({0} as double) > 0 then 1 + try_cast({0} as double) / 100 when try_cast({0} as double) < 0 then 1 + 100 / abs(try_cast({0} as double)) end end"
-    return {
+    out = {
         "agg02_fixture_pivot": f"{users} select match_id, league, status, home_id, away_id, home_score, away_score from matches",
         "agg05_team_splits": f"""{users}, split as (select *, 'overall' as split from games union all select *, side from games)
 select team_id, split, {RECORD}, sum(points) / count(*)::double as ppg, (sum(scored) - sum(conceded))::bigint as goal_diff from split group by team_id, split""",
@@ -327,3 +365,5 @@ case when c_custkey % 50 % 2 = 0 then (c_custkey % 50)::varchar end as team_id,
 case when o_custkey % 50 % 2 = 0 then (o_custkey % 50)::varchar end as team_id from orders where o_orderkey % 6 > 0""",
         "agg19_appearances": """select o_orderkey, coalesce(case when o_orderkey % 4 = 0 and o_orderkey % 40 >= 5 then o_orderkey % 40 - 5 end, case when o_orderkey % 4 < 2 then o_orderkey % 30 end, case when o_orderkey % 3 > 0 then o_orderkey % 20 / 2.0::double end)::double as appearances from orders""",
     }
+    parts = (out["agg11_strength_before"].replace("round(strength, 6)", "strength"), out["agg13_meetings_before"], out["prjn01_projection"])
+    return out | {"prjn06_insights": insights(clubs, *parts), "agg15_context_before": f"{clubs}, {CONTEXT} select * from contexts"}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrain.functions import listing
-from matchgrain.operators import asof, baseline, fixtures, form, model, value, walkforward
+from matchgrain.operators import analysis, asof, baseline, fixtures, form, model, value, walkforward
 from matchgrain.plans import oracle
 from matchgrain.sources import feeds, history, merge, reports
 from matchgrain.sources import surrogate as src
@@ -214,6 +214,34 @@ def prjn06_projections(spark: SparkSession, sf: str) -> DataFrame:
     return walkforward.projections(m.where("status = 'scheduled'"), m, 10.0)
 
 
+def analyses(spark: SparkSession, sf: str, only: str, project) -> DataFrame:
+    """Documents of the club matches of which ``only`` holds, with their absences, under the projections that ``project`` makes of (these, all)."""
+    m = src.matches(spark, sf, clubs=True)
+    injuries, stats = src.club_injuries(spark, sf)
+    asked = m.where(only)
+    return analysis.documents(asked, m, src.club_teams(spark, sf), project(asked, m), baseline.injury_burden(injuries, baseline.appearance_share(stats)))
+
+
+@query
+def prjn06_insights(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences about every fixture, played or not, under its projection from form."""
+    games = src.games(spark, sf, clubs=True)
+    return analysis.insights(analyses(spark, sf, "true", lambda asked, m: asof.projection_before(asked, m, games)))
+
+
+@query
+def prjn07_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole document of every scheduled match, under the model where a fit knows both teams."""
+    return analyses(spark, sf, "status = 'scheduled'", lambda asked, m: walkforward.projections(asked, m, 10.0))
+
+
+@query
+def agg15_context_before(spark: SparkSession, sf: str) -> DataFrame:
+    """Rest and congestion of both teams of every fixture, from final matches of the league strictly before it."""
+    m = src.matches(spark, sf, clubs=True)
+    return asof.context_before(m, m.where("status = 'final'"))
+
+
 def form_rows(spark: SparkSession, sf: str) -> DataFrame:
     return asof.form_before(src.matches(spark, sf, clubs=True), src.games(spark, sf, clubs=True))
 

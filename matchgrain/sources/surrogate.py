@@ -69,6 +69,21 @@ def injuries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, stats
 
 
+def club_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clubs of each league with made names."""
+    t = F.col("team_id").cast("string")
+    clubs = competitors(spark, sf_dir, clubs=True).select(F.col("event_type").alias("league"), "team_id").distinct()
+    return clubs.select("league", "team_id", F.concat(F.lit("T"), t).alias("abbreviation"), F.concat(F.lit("Team "), t).alias("display_name"))
+
+
+def club_injuries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(injuries, season statistics) of the clubs: the nation of an athlete gives the league, every fourth athlete's statistics are not kept."""
+    names = F.array(*map(F.lit, ("view", "signup", "click", "error", "purchase")))
+    league = F.get(names, (F.col("league") % 5).cast("int"))
+    rows, stats = injuries(spark, sf_dir)
+    return rows.where("athlete_id % 3 > 0").withColumns({"league": league, "team_id": F.col("athlete_id") % 20}), stats.where("athlete_id % 4 > 0").withColumn("league", league)
+
+
 def scoreboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON payload of a match for each event row: its state from the type of the row, its two sides from the user."""
     e = table(spark, sf_dir, "events")
