@@ -41,16 +41,14 @@ def settled(x: Column, places: int) -> Column:
     return exact_round(F.round(x, 9), places)
 
 
-def team_rows(fixtures: DataFrame, others: DataFrame, teams: DataFrame, injuries: DataFrame | None = None, lookback: int = asof.LOOKBACK) -> DataFrame:
-    """A row for each fixture and side: the form of ``asof.form_before`` beside strength, rest_days, recent, congested, names and absences.
+def team_rows(fixtures: DataFrame, others: DataFrame, form: DataFrame, teams: DataFrame, injuries: DataFrame | None = None) -> DataFrame:
+    """A row for each fixture and side: ``form`` as ``asof.form_before`` gives it beside strength, rest_days, recent, congested, names and absences.
 
     ``teams`` has league, team_id, abbreviation, display_name; a team without a row goes by its id. ``injuries`` is
     ``baseline.injury_burden``; teams without a row, or all without it, have no absences.
     """
-    games = team_games(completed(others))
-    form = asof.form_before(fixtures, games, lookback)
     key = ["match_id", "team_id"]
-    rows = form.join(asof.strength_before(form, games).select(*key, "strength"), key, "left")
+    rows = form.join(asof.strength_before(form, team_games(completed(others))).select(*key, "strength"), key, "left")
     rows = rows.join(asof.context_before(fixtures, others.where("status = 'final'")).select(*key, "rest_days", "recent", "congested"), key, "left")
     rows = rows.join(teams.select("league", "team_id", "abbreviation", "display_name"), ["league", "team_id"], "left")
     if injuries is None:
@@ -115,11 +113,12 @@ def match_notes() -> Column:
     return F.array_compact(F.array(F.when(met["played"] > 0, meetings).otherwise(SAY["no_meetings"]), F.when(p["margin"].isNotNull(), lean), F.when(p["source"] == FALLBACK, SAY["fallback"])))
 
 
-def documents(fixtures: DataFrame, others: DataFrame, teams: DataFrame, projections: DataFrame, injuries: DataFrame | None = None, lookback: int = asof.LOOKBACK, window_days: int | None = None) -> DataFrame:
+def documents(fixtures: DataFrame, others: DataFrame, form: DataFrame, teams: DataFrame, projections: DataFrame, injuries: DataFrame | None = None, lookback: int = asof.LOOKBACK, window_days: int | None = None) -> DataFrame:
     """One row for each fixture of two teams from what was known strictly before it.
 
     ``fixtures`` (match_id, which is unique, league, kickoff, status, home_id, away_id, scores) may be some of ``others``,
-    all fixtures of the leagues. ``projections`` are those of ``walkforward.projections`` or, without ``source``, of form.
+    all fixtures of the leagues. ``form`` is that of ``asof.form_before`` under the same ``lookback``; written first, it is made
+    once for strengths and projections too. ``projections`` are those of ``walkforward.projections`` or, without ``source``, of form.
     Columns: match_id, league, kickoff, status, home and away (team, form, context), head_to_head, league_baseline,
     projection, confidence, insights, lookback. Insights hold what is said of the home team's form, of the away team's, of
     the circumstances of both, of meetings and of the projection. A team without games has zeros; a fixture without a
@@ -127,7 +126,7 @@ def documents(fixtures: DataFrame, others: DataFrame, teams: DataFrame, projecti
     """
     if "source" not in projections.columns:
         projections = projections.withColumn("source", F.lit(FALLBACK))
-    rows = team_rows(fixtures, others, teams, injuries, lookback).select("match_id", "side", side_document().alias("d"), form_notes().alias("said"), context_notes().alias("around"))
+    rows = team_rows(fixtures, others, form, teams, injuries).select("match_id", "side", side_document().alias("d"), form_notes().alias("said"), context_notes().alias("around"))
     at = lambda side, c: F.any_value(F.when(F.col("side") == side, F.col(c)), F.lit(True))
     sides = rows.groupBy("match_id").agg(*(at(s, "d").alias(s) for s in ("home", "away")), F.concat(*(F.coalesce(at(s, c), F.array().cast("array<string>")) for c in ("said", "around") for s in ("home", "away"))).alias("said"))
     pack = lambda df, name: df.select("match_id", F.struct(*(c for c in df.columns if c not in ("match_id", "league", "kickoff", "home_id", "away_id"))).alias(name))

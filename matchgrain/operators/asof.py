@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrain.functions.columns import once
 from matchgrain.functions.rounding import exact_round
 from matchgrain.operators import projection
 from matchgrain.operators.fixtures import micros, outcome
@@ -55,15 +56,21 @@ def mean(items: Column, f) -> Column:
 
 
 def record(items: Column) -> Column:
-    """Played, wins, draws, losses, goals, averages of two places and win share of three (zero without games)."""
-    count = lambda kind: F.size(F.filter(items, lambda g: outcome(g["scored"], g["conceded"]) == kind))
-    won, drawn = count("win"), count("draw")
-    whole = lambda c: total(items, lambda g: g[c]).cast("long")
-    return F.struct(
-        F.size(items).alias("played"), won.alias("wins"), drawn.alias("draws"), count("loss").alias("losses"), whole("scored").alias("scored"), whole("conceded").alias("conceded"),
-        exact_round(mean(items, lambda g: g["scored"]), 2).alias("avg_scored"), exact_round(mean(items, lambda g: g["conceded"]), 2).alias("avg_conceded"),
-        exact_round(F.coalesce(F.try_divide(won + 0.5 * drawn, F.size(items)), F.lit(0.0)), 3).alias("win_pct"),
-    )
+    """Played, wins, draws, losses, goals, averages of two places and win share of three (zero without games), counted in one pass."""
+    first = F.struct(*(F.lit(0).alias(c) for c in ("wins", "draws", "losses")), *(F.lit(0).cast("long").alias(c) for c in ("scored", "conceded")))
+
+    def counted(sums: Column, game: Column) -> Column:
+        own, other = game["scored"], game["conceded"]
+        kinds = (("wins", own > other), ("draws", own == other), ("losses", own < other))
+        return F.struct(*((sums[c] + F.when(x, 1).otherwise(0)).alias(c) for c, x in kinds), (sums["scored"] + own).alias("scored"), (sums["conceded"] + other).alias("conceded"))
+
+    def shown(r: Column) -> Column:
+        part = lambda x, places: exact_round(F.coalesce(F.try_divide(x.cast("double"), r["n"]), F.lit(0.0)), places)
+        sums = [r["s"][c].alias(c) for c in ("wins", "draws", "losses", "scored", "conceded")]
+        means = [part(r["s"][c], 2).alias(f"avg_{c}") for c in ("scored", "conceded")]
+        return F.struct(r["n"].alias("played"), *sums, *means, part(r["s"]["wins"] + 0.5 * r["s"]["draws"], 3).alias("win_pct"))
+
+    return once(F.struct(F.size(items).alias("n"), F.aggregate(items, first, counted).alias("s")), shown)
 
 
 def points(game: Column) -> Column:
@@ -106,7 +113,7 @@ def form_before(fixtures: DataFrame, games: DataFrame, lookback: int = LOOKBACK,
     g = F.col("games")
     at_side = lambda side: F.filter(g, lambda x: x["side"] == side)
     return rows.withColumns({
-        "overall": record(g), "home": record(at_side("home")), "away": record(at_side("away")), "streak": streak(g), "points_per_game": exact_round(mean(g, points), 3),
+        "overall": record(g), "home": once(at_side("home"), record), "away": once(at_side("away"), record), "streak": streak(g), "points_per_game": exact_round(mean(g, points), 3),
         "weighted": weighted(g, F.col("kickoff"), half_life_days), "momentum": momentum(g, latest),
     })
 
@@ -221,7 +228,11 @@ def projection_before(fixtures: DataFrame, finals_and_others: DataFrame, games:
 
     ``finals_and_others`` are all fixtures of the leagues, which baselines come from; ``games`` the team games.
     """
-    form = form_before(fixtures, games, lookback)
+    return projection_of(fixtures, finals_and_others, form_before(fixtures, games, lookback))
+
+
+def projection_of(fixtures: DataFrame, finals_and_others: DataFrame, form: DataFrame) -> DataFrame:
+    """The same from the form of ``form_before`` that is at hand."""
     side = lambda s: form.where(F.col("side") == s).select("match_id", F.col(s).alias(f"{s}_own"), F.col("overall").alias(f"{s}_all"))
     rows = fixtures.select("match_id", "league", "home_id", "away_id").join(side("home"), "match_id").join(side("away"), "match_id")
     return projection.from_form(rows.join(baseline_before(finals_and_others).drop("league"), "match_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrain.functions import listing
+from matchgrain.functions.written import written
 from matchgrain.operators import analysis, asof, baseline, fixtures, form, model, value, walkforward
 from matchgrain.plans import oracle
 from matchgrain.sources import feeds, history, merge, reports
@@ -215,24 +216,24 @@ def prjn06_projections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def analyses(spark: SparkSession, sf: str, only: str, project) -> DataFrame:
-    """Documents of the club matches of which ``only`` holds, with their absences, under the projections that ``project`` makes of (these, all)."""
-    m = src.matches(spark, sf, clubs=True)
-    injuries, stats = src.club_injuries(spark, sf)
+    """Documents of the club matches of which ``only`` holds, with their absences, under the projections that ``project`` makes of (these, all, form)."""
+    m = written(src.matches(spark, sf, clubs=True), "matches")
     asked = m.where(only)
-    return analysis.documents(asked, m, src.club_teams(spark, sf), project(asked, m), baseline.injury_burden(injuries, baseline.appearance_share(stats)))
+    form = written(asof.form_before(asked, fixtures.team_games(fixtures.completed(m))), "form")
+    injuries, stats = src.club_injuries(spark, sf)
+    return analysis.documents(asked, m, form, src.club_teams(spark, sf), project(asked, m, form), baseline.injury_burden(injuries, baseline.appearance_share(stats)))
 
 
 @query
 def prjn06_insights(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences about every fixture, played or not, under its projection from form."""
-    games = src.games(spark, sf, clubs=True)
-    return analysis.insights(analyses(spark, sf, "true", lambda asked, m: asof.projection_before(asked, m, games)))
+    return analysis.insights(analyses(spark, sf, "true", asof.projection_of))
 
 
 @query
 def prjn07_analysis(spark: SparkSession, sf: str) -> DataFrame:
     """The whole document of every scheduled match, under the model where a fit knows both teams."""
-    return analyses(spark, sf, "status = 'scheduled'", lambda asked, m: walkforward.projections(asked, m, 10.0))
+    return analyses(spark, sf, "status = 'scheduled'", lambda asked, m, form: walkforward.projections(asked, m, 10.0))
 
 
 @query
