@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,19 @@ def completed(fixtures: DataFrame, before: Column | None = None) -> DataFrame:
     return out if before is None else out.where(F.col("kickoff") < before)
 
 
+def observations(fixtures: DataFrame, before: Column | None = None, max_matches: int | None = None) -> DataFrame:
+    """What a fit sees of each league: completed fixtures strictly before a time, at most the ``max_matches`` latest that have scores.
+
+    Equal kickoffs go by match_id. The limit is a rank that partitions prune before the shuffle, so a league's whole
+    history is not held in one task.
+    """
+    out = completed(fixtures, before).select("match_id", "league", "kickoff", "home_id", "away_id", "home_score", "away_score")
+    if max_matches is None:
+        return out
+    rank = F.row_number().over(Window.partitionBy("league").orderBy(F.desc("kickoff"), F.desc("match_id")))
+    return out.withColumn("_rank", rank).where(F.col("_rank") <= max_matches).drop("_rank")
+
+
 def outcome(scored: Column, conceded: Column) -> Column:
     """'win', 'draw' or 'loss'."""
     return F.when(scored > conceded, "win").when(scored < conceded, "loss").when(scored == conceded, "draw")

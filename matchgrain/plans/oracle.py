@@ -140,6 +140,24 @@ notes as (select m.match_id, list_filter(list_concat({side("h")}, {side("a")}, {
 select match_id, generate_subscripts(said, 1)::int as place, unnest(said) as insight from notes"""
 
 
+#: Teams, leagues and sports of lists and details.
+CATALOG = """leagues as (select n_nationkey as league_id, lower(replace(n_name, ' ', '-')) as league_slug, n_name as league_name, lower(replace(r_name, ' ', '-')) as sport_slug from nation join region on r_regionkey = n_regionkey),
+teams as (select s_suppkey as id, 'S' || s_suppkey as abbreviation, s_name as display_name, s_acctbal > 0 as is_active, s_nationkey as league_id from supplier)"""
+
+
+def catalog(clubs: str) -> dict[str, str]:
+    return {
+        "prj02_team_list": f"with {CATALOG} select id, abbreviation, display_name, is_active, league_slug, sport_slug from teams join leagues using (league_id) where is_active",
+        "prj02_team_detail": f"with {CATALOG} select id, display_name, is_active, league_id, league_name, sport_slug from teams join leagues using (league_id) where is_active",
+        "jn01_event_detail": f"""{clubs}, {CATALOG}, c as (select match_id, 0 as ord, 'home' as side, home_id + 1 as team, home_score as score from matches union all select match_id, 1, 'away', away_id + 1, away_score from matches),
+j as (select match_id, string_agg(side || ':' || abbreviation || ':' || score, ',' order by ord) as competitors from c join teams on id = team group by match_id)
+select m.match_id as id, status, league_slug, sport_slug, coalesce(competitors, '') as competitors from matches m join leagues on league_id = m.match_id % 25 left join j using (match_id)""",
+        "prj05_next_of_league": f"{clubs}, {CATALOG} select match_id as id, league_slug, sport_slug from matches join leagues on league_id = match_id % 25 where league_slug = 'nation_2' and sport_slug = 'asia' and status = 'scheduled' order by kickoff, match_id limit 50",
+        "flt16_fields": f"with {USERS} select match_id, league, status from matches where league = 'click' and status = 'final'",
+        "mod01_observations": f"{clubs} select match_id, league, home_id, away_id, home_score, away_score from finals where kickoff < timestamp '2024-01-15' qualify row_number() over (partition by league order by kickoff desc, match_id desc) <= 50",
+    }
+
+
 def fit_blocks(n: int, aged: str) -> str:
     """The rating fit as a chain of common table expressions, one block for each step of a sweep."""
     out = f"""
@@ -366,4 +384,4 @@ case when o_custkey % 50 % 2 = 0 then (o_custkey % 50)::varchar end as team_id f
         "agg19_appearances": """select o_orderkey, coalesce(case when o_orderkey % 4 = 0 and o_orderkey % 40 >= 5 then o_orderkey % 40 - 5 end, case when o_orderkey % 4 < 2 then o_orderkey % 30 end, case when o_orderkey % 3 > 0 then o_orderkey % 20 / 2.0::double end)::double as appearances from orders""",
     }
     parts = (out["agg11_strength_before"].replace("round(strength, 6)", "strength"), out["agg13_meetings_before"], out["prjn01_projection"])
-    return out | {"prjn06_insights": insights(clubs, *parts), "agg15_context_before": f"{clubs}, {CONTEXT} select * from contexts"}
+    return out | catalog(clubs) | {"prjn06_insights": insights(clubs, *parts), "agg15_context_before": f"{clubs}, {CONTEXT} select * from contexts"}

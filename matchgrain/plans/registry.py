@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchgrain.functions import listing
 from matchgrain.functions.written import written
-from matchgrain.operators import analysis, asof, baseline, fixtures, form, model, value, walkforward
+from matchgrain.operators import analysis, asof, baseline, catalog, fixtures, form, model, value, walkforward
 from matchgrain.plans import oracle
 from matchgrain.sources import feeds, history, merge, reports
 from matchgrain.sources import surrogate as src
@@ -506,6 +506,46 @@ def agg19_appearances(spark: SparkSession, sf: str) -> DataFrame:
     return src.stats_blobs(spark, sf).select("o_orderkey", reports.appearances(F.col("stats")).alias("appearances"))
 
 
+@query
+def prj02_team_list(spark: SparkSession, sf: str) -> DataFrame:
+    t = src.catalog_tables(spark, sf)
+    return catalog.default_order(catalog.team_list(t["teams"], t["leagues"], t["sports"], True), "team", "id")
+
+
+@query
+def prj02_team_detail(spark: SparkSession, sf: str) -> DataFrame:
+    t = src.catalog_tables(spark, sf)
+    return catalog.team_detail(t["teams"], t["leagues"], t["sports"]).select("id", "display_name", "is_active", F.col("league.id").alias("league_id"), F.col("league.name").alias("league_name"), F.col("league.sport_slug").alias("sport_slug"))
+
+
+@query
+def jn01_event_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with their league and competitors, the nested ones as text."""
+    t = src.catalog_tables(spark, sf)
+    out = catalog.event_detail(t["events"], t["leagues"], t["sports"], t["competitors"], t["teams"])
+    sides = F.array_join(F.transform("competitors", lambda c: F.concat_ws(":", c["home_away"], c["team_abbreviation"], c["score"].cast("string"))), ",")
+    return out.select("id", "status", F.col("league.slug").alias("league_slug"), F.col("league.sport_slug").alias("sport_slug"), sides.alias("competitors"))
+
+
+@query
+def prj05_next_of_league(spark: SparkSession, sf: str) -> DataFrame:
+    t = src.catalog_tables(spark, sf)
+    return catalog.next_of_league(catalog.event_list(t["events"], t["leagues"], t["sports"]), "NATION_2", "Asia", "scheduled").select("id", "league_slug", "sport_slug")
+
+
+@query
+def flt16_fields(spark: SparkSession, sf: str) -> DataFrame:
+    asked = {"league": "click", "status": "final", "kickoff": "never", "home_id": ""}
+    return catalog.by_fields(src.matches(spark, sf), asked, {"league", "status", "home_id"}).select("match_id", "league", "status")
+
+
+@query
+def mod01_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifty latest completed matches of each league strictly before a day."""
+    before = F.lit("2024-01-15").cast("timestamp")
+    return fixtures.observations(src.matches(spark, sf, clubs=True), before, 50).drop("kickoff")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -84,6 +84,19 @@ def club_injuries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return rows.where("athlete_id % 3 > 0").withColumns({"league": league, "team_id": F.col("athlete_id") % 20}), stats.where("athlete_id % 4 > 0").withColumn("league", league)
 
 
+def catalog_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """sports (regions), leagues (nations), teams (suppliers, active with a balance above zero), and the club matches as events with their competitors."""
+    slug = lambda c: F.lower(F.replace(F.col(c), F.lit(" "), F.lit("-"))).alias("slug")
+    s, m = table(spark, sf_dir, "supplier"), matches(spark, sf_dir, clubs=True)
+    return {
+        "sports": table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), slug("r_name"), F.col("r_name").alias("name")),
+        "leagues": table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), slug("n_name"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("sport_id")),
+        "teams": s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("abbreviation"), F.col("s_name").alias("display_name"), (F.col("s_acctbal") > 0).alias("is_active"), F.col("s_nationkey").alias("league_id")),
+        "events": m.select(F.col("match_id").alias("id"), F.col("kickoff").alias("date"), "status", (F.col("match_id") % 25).alias("league_id")),
+        "competitors": m.select(F.col("match_id").alias("event_id"), F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(s).alias("home_away"), (F.col(f"{s}_id") + 1).alias("team_id"), F.col(f"{s}_score").alias("score")) for i, s in enumerate(("home", "away"))))).alias("c")).select("event_id", "c.*"),
+    }
+
+
 def scoreboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON payload of a match for each event row: its state from the type of the row, its two sides from the user."""
     e = table(spark, sf_dir, "events")
