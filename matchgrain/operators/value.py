@@ -227,3 +227,9 @@ def against_market(forecasts: DataFrame, market: DataFrame, by: list[str]) -> Da
     out = model.join(priced.select(*by, F.round("log_loss", 4).alias("market_log_loss"), F.col("brier").alias("market_brier")), by)
     delta = F.round(F.col("model_log_loss") - F.col("market_log_loss"), 4)
     return out.withColumns({"log_loss_delta": delta, "beats_market": delta < 0})
+
+
+def market_calibration(forecasts: DataFrame, market: DataFrame, by: list[str] | None = None, bins: int = 10) -> DataFrame:
+    """The calibration of the market's own probabilities, on the matches that forecasts and market both cover."""
+    both = forecasts.select("match_id", "outcome", *(by or [])).join(market.select("match_id", "home", "draw", "away"), "match_id")
+    return calibration(both, bins, by)

@@ -203,14 +203,19 @@ def document(replayed: DataFrame, odds: DataFrame, **limits) -> DataFrame:
     by = ["half_life_days", "league"]
     scored = written(outcomes(replayed), "outcomes")
     four = lambda df: df.select(*by, *(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in by))
-    market = value.against_market(scored, value.consensus(odds), by)
-    bins = value.calibration(scored, by=by).withColumns({c: F.round(c, 4) for c in ("predicted", "observed")})
-    bins = bins.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "predicted", "observed"))).alias("calibration"))
+    priced = written(value.consensus(odds), "consensus")
+    market = value.against_market(scored, priced, by)
+
+    def binned(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.withColumns({c: F.round(c, 4) for c in ("predicted", "observed")})
+        return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "predicted", "observed"))).alias(name))
+
     out = account(replayed).join(four(report(scored)).drop("n"), by, "left")
     pack = lambda df, name: df.select(*by, F.struct(*(c for c in df.columns if c not in by)).alias(name))
     for part, name in ((four(market), "market"), (betting(replayed, odds, **limits), "betting")):
         out = out.join(pack(part, name), by, "left")
-    return out.join(bins, by, "left")
+    out = out.join(binned(value.calibration(scored, by=by), "calibration"), by, "left")
+    return out.join(binned(value.market_calibration(scored, priced, by), "market_calibration"), by, "left")
 
 
 def half_life_sweep(finals: DataFrame, half_lives: list[float], refit_every: int = 5, sweeps: int = model.SWEEPS) -> DataFrame:

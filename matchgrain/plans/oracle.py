@@ -367,6 +367,10 @@ s as (select *, (match_id % 5 + 1) / t as h, (match_id % 3 + 1) / t as d, (match
 l as (select league, count(*) as matches, round(avg(-ln(yh * h + yd * d + ya * a)), 4) as m, round(avg(-ln(yh * mh + yd * md + ya * ma)), 4) as k,
   round(avg(pow(h - yh, 2) + pow(d - yd, 2) + pow(a - ya, 2)), 6) as brier, round(avg(pow(mh - yh, 2) + pow(md - yd, 2) + pow(ma - ya, 2)), 6) as market_brier from s group by league)
 select league, matches, m as model_log_loss, k as market_log_loss, brier, market_brier, round(m - k, 4) as log_loss_delta, round(m - k, 4) < 0 as beats_market from l""",
+        "agg23_market_calibration": f"""{clubs}, {ODDS}, w as (select match_id, max(implied) filter (selection = 'home') as mh, max(implied) filter (selection = 'draw') as md, max(implied) filter (selection = 'away') as ma
+  from devig where market = '1x2' and provider = 'fd-avg' and match_id % 4 > 0 group by match_id),
+f as (select league, unnest([mh, md, ma]) as p, unnest([(home_score > away_score)::int, (home_score = away_score)::int, (home_score < away_score)::int]) as y from finals join w using (match_id))
+select league, least(floor(p * 10), 9)::int as bin, count(*) as n, round(avg(p), 6) as predicted, round(avg(y), 6) as observed from f group by all""",
         "prj04_selected": f"{users} select match_id, status from matches where status = 'scheduled' order by kickoff, match_id limit 5",
         "prj04_selected_fallback": f"{users} select match_id, status from finals order by kickoff desc, match_id limit 5",
         "prj01_event_detail": """select cast(event_id as varchar) as event_id, 'ground' as venue_name, (case when event_id % 5 > 0 then 'home' else 'away' end) || ':' || user_id || ',home:' || (user_id + 1) as competitors from events

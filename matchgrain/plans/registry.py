@@ -439,16 +439,26 @@ def val06_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("match_id", "provider", *(F.round(c, 7).alias(c) for c in ("home", "draw", "away")))
 
 
+def given_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("match_id")
+    total = n % 5 + n % 3 + n % 4 + 3
+    return src.finals(spark, sf, clubs=True).select(n, "league", ((n % 5 + 1) / total).alias("home"), ((n % 3 + 1) / total).alias("draw"), ((n % 4 + 1) / total).alias("away"), value.actual(F.col("home_score"), F.col("away_score")).alias("outcome"))
+
+
 @query
 def agg23_market_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Given probabilities beside the market's."""
-    n = F.col("match_id")
-    total = n % 5 + n % 3 + n % 4 + 3
-    rows = src.finals(spark, sf, clubs=True).select(n, "league", ((n % 5 + 1) / total).alias("home"), ((n % 3 + 1) / total).alias("draw"), ((n % 4 + 1) / total).alias("away"), value.actual(F.col("home_score"), F.col("away_score")).alias("outcome"))
-    out = value.against_market(rows, value.consensus(src.odds(spark, sf).where("match_id % 4 > 0")), ["league"])
+    out = value.against_market(given_forecasts(spark, sf), value.consensus(src.odds(spark, sf).where("match_id % 4 > 0")), ["league"])
     return out.withColumns({c: F.round(c, 6) for c in ("brier", "market_brier")})
 
 
+@query
+def agg23_market_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """How often outcomes came about in bins of the market's probabilities, by league."""
+    out = value.market_calibration(given_forecasts(spark, sf), value.consensus(src.odds(spark, sf).where("match_id % 4 > 0")), ["league"])
+    return out.withColumns({c: F.round(c, 6) for c in ("predicted", "observed")})
+
+
 @query
 def bt04_market_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """The replayed model beside the market, by league."""

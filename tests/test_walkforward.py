@@ -128,6 +128,16 @@ def test_betting_on_the_replay_equals_a_fold(spark):
     assert walkforward.account(replayed, 25.0).first().skipped_unreliable_fit == unreliable > 0
     whole = walkforward.document(replayed, df, min_effective=25.0).first()
     assert whole.betting.bets == b.bets and whole.scored == sum(x.n for x in whole.calibration) / 3 and whole.market.matches > 0
+    bins = {}
+    for i, *_, hg, ag in rows:
+        prices = {s: o for m, p, market, s, _, o in odds if (m, p, market) == (i, "x", "1x2")}
+        if isinstance(want[i], str) or not prices:
+            continue
+        for s, o in prices.items():
+            share = (1 / o) / sum(1 / x for x in prices.values())
+            bins.setdefault(min(int(share * 10), 9), []).append((share, kinds["1x2", s, ""](hg, ag)))
+    assert [tuple(x) for x in whole.market_calibration] == [(k, len(v), pytest.approx(sum(p for p, _ in v) / len(v), abs=1e-4), pytest.approx(sum(y for _, y in v) / len(v), abs=1e-4)) for k, v in sorted(bins.items())]
+    assert whole.market.matches == sum(map(len, bins.values())) / 3
     none = walkforward.betting(replayed, df, 1e9).first()
     assert (none.bets, none.final_bankroll, none.hit_rate) == (0, 1.0, None)
 
