@@ -385,6 +385,10 @@ union all select event_id, 'fd-max', 'totals', 'over', '2.5', 2.1::double from h
 case when c_custkey % 50 % 2 = 0 then (c_custkey % 50)::varchar end as team_id, c_custkey % 9 = 0 as error from customer""",
         "snk10_transactions": """select (o_orderkey % 25)::int as league, case when o_orderkey % 5 > 0 then o_orderkey::varchar end as transaction_id, case when o_orderkey % 7 > 0 then strftime(o_orderdate, '%Y-%m-%d') end as day, o_orderpriority as description,
 case when o_custkey % 50 % 2 = 0 then (o_custkey % 50)::varchar end as team_id from orders where o_orderkey % 6 > 0""",
+        "snk10_transaction_merge": """with t as (select (o_orderkey % 25)::int as league, case when o_orderkey % 5 > 0 then o_orderkey::varchar end as transaction_id, o_orderpriority as description,
+  case when o_custkey % 50 % 2 = 0 then (o_custkey % 50)::varchar end as team_id, case when o_orderkey % 5 > 0 then o_orderkey else 6 end as n from orders where o_orderkey % 6 > 0)
+select league, transaction_id, 'new ' || description as description, team_id, case when transaction_id is not null and n % 3 = 0 then 'updated' else 'created' end as action from t where n % 2 = 0
+union all select league, transaction_id, description, team_id, 'kept' from t where n % 3 = 0 and (transaction_id is null or n % 2 <> 0)""",
         "agg19_appearances": """select o_orderkey, coalesce(case when o_orderkey % 4 = 0 and o_orderkey % 40 >= 5 then o_orderkey % 40 - 5 end, case when o_orderkey % 4 < 2 then o_orderkey % 30 end, case when o_orderkey % 3 > 0 then o_orderkey % 20 / 2.0::double end)::double as appearances from orders""",
     }
     parts = (out["agg11_strength_before"].replace("round(strength, 6)", "strength"), out["agg13_meetings_before"], out["prjn01_projection"])

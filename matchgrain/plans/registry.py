@@ -511,6 +511,15 @@ def snk10_transactions(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("league", "transaction_id", F.date_format("date", "yyyy-MM-dd").alias("day"), "description", "team_id")
 
 
+@query
+def snk10_transaction_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions merged by league and id, each without an id a row of its own."""
+    rows = reports.transactions(src.transaction_feed(spark, sf), src.injury_teams(spark, sf)).where("not error").select("league", "transaction_id", "description", "team_id")
+    number = F.coalesce(F.col("transaction_id").cast("long"), F.lit(6))
+    again = rows.where(number % 2 == 0).withColumn("description", F.concat(F.lit("new "), F.col("description")))
+    return merge.upsert(rows.where(number % 3 == 0), again, ["league", "transaction_id"], optional="transaction_id")
+
+
 @query
 def agg19_appearances(spark: SparkSession, sf: str) -> DataFrame:
     return src.stats_blobs(spark, sf).select("o_orderkey", reports.appearances(F.col("stats")).alias("appearances"))

@@ -35,7 +35,7 @@ def upserted(rows: DataFrame, keys: list[str], at: str, bad: Column | None = Non
     wrong = F.lit(False) if bad is None else F.coalesce(bad, F.lit(False))
     for k in keys:
         wrong = wrong | F.col(k).isNull()
-    return Change(rows, keys, lambda old, new: merge.upsert(old, merge.latest(new, keys, at), keys), bad=wrong)
+    return Change(rows, keys, lambda old, new: merge.upsert(old, new, keys, at), bad=wrong)
 
 
 def created(rows: DataFrame, keys: list[str]) -> Change:
