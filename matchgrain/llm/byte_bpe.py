@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from matchgrain.llm.staging import bound_batches
 
-import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 #: The split of byte-level vocabularies, a fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 SPLIT = regex.compile(PATTERN)
-#: Distinct pieces whose counts a worker remembers; then it starts afresh. Results never depend on it.
-MEMO_SIZE = 150_000
+#: Distinct words whose counts a worker remembers in each of two generations, none longer than WORD_SIZE. Results never depend on either.
+MEMO_SIZE, WORD_SIZE = 300_000, 100
 
 
 def byte_letters() -> list[str]:
@@ -36,30 +37,55 @@ def byte_letters() -> list[str]:
     return letters
 
 
-def merge_count(symbols: list, ranks: dict) -> int:
+class Merges:
+    """The merges of a vocabulary, its symbols as numbers."""
+
+    def __init__(self, merges: Iterable[tuple[str, str]]) -> None:
+        numbers: dict[str, int] = {}
+        number = lambda symbol: numbers.setdefault(symbol, len(numbers))
+        #: The symbol of each byte.
+        self.letters = [number(letter) for letter in byte_letters()]
+        #: The symbol that the merge of each rank makes.
+        self.made: list[int] = []
+        ranks = defaultdict(dict)
+        for rank, (a, b) in enumerate(merges):
+            ranks[number(a)][number(b)] = rank
+            self.made.append(number(a + b))
+        #: By left symbol: the rank of its merge with each right one.
+        self.ranks = [ranks.get(symbol, {}) for symbol in range(len(numbers))]
+
+
+def merge_count(data: bytes, merges: Merges) -> int:
     """Symbols left after merging: pop the lowest rank, leftmost first, until no known pair is adjacent."""
-    n = len(symbols)
-    if n < 2:
+    n, ranks, made = len(data), merges.ranks, merges.made
+    symbols = [merges.letters[b] for b in data]
+    at = [ranks[a].get(b, -1) for a, b in zip(symbols, symbols[1:])]  # the rank of the pair that begins at each symbol
+    heap = [rank << 32 | i for i, rank in enumerate(at) if rank >= 0]
+    if not heap:
         return n
+    heapify(heap)
+    at.append(-1)
     left, right, alive = [*range(-1, n - 1)], [*range(1, n + 1)], n
-    symbols = list(symbols)
-    heap = [(rank, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (rank := ranks.get((symbols[i], symbols[i + 1]))) is not None]
-    heapq.heapify(heap)
     while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = right[i]
-        if symbols[i] != a or j >= n or symbols[j] != b:  # one of the two has been merged meanwhile
+        top = heappop(heap)
+        i, rank = top & 0xFFFFFFFF, top >> 32
+        if at[i] != rank:  # one of the two has been merged meanwhile
             continue
-        symbols[i], symbols[j] = a + b, None
+        j = right[i]
+        symbols[i] = symbol = made[rank]
         right[i] = k = right[j]
+        at[i] = at[j] = -1
         alive -= 1
         if k < n:
             left[k] = i
-            if (rank := ranks.get((a + b, symbols[k]))) is not None:
-                heapq.heappush(heap, (rank, i, a + b, symbols[k]))
+            at[i] = rank = ranks[symbol].get(symbols[k], -1)
+            if rank >= 0:
+                heappush(heap, rank << 32 | i)
         h = left[i]
-        if h >= 0 and (rank := ranks.get((symbols[h], a + b))) is not None:
-            heapq.heappush(heap, (rank, h, symbols[h], a + b))
+        if h >= 0:
+            at[h] = rank = ranks[symbols[h]].get(symbol, -1)
+            if rank >= 0:
+                heappush(heap, rank << 32 | h)
     return alive
 
 
@@ -69,23 +95,42 @@ RARE = regex.compile(r"[^\u0000-\u0557\u0600-\u06ff\u2010-\u2064\u20a0-\u20b9\u2
 MIXED = re.compile(r"\s | \s")
 
 
+#: Marks that stand at the end of a word; a run of them after letters is one piece.
+MARKS = ".,;:!?"
+
+
 class Memo(dict):
-    """Token counts of chunks (texts between single spaces); a full memo starts afresh."""
+    """Token counts of chunks (texts after single spaces). A full memo becomes the older one, from which chunks met again return."""
 
-    def __init__(self, ranks: dict, lead: str = " ") -> None:
+    def __init__(self, merges: Merges) -> None:
         super().__init__()
-        self.ranks, self.lead, self.letters, self.pieces = ranks, lead, byte_letters(), {}
+        self.merges, self.older, self.pieces = merges, {}, {}
 
     def piece(self, piece: str) -> int:
         if (n := self.pieces.get(piece)) is None:
-            n = self.pieces[piece] = merge_count([self.letters[b] for b in piece.encode()], self.ranks)
+            n = self[piece[1:]] if piece[:1] == " " and piece[1:].isalpha() else merge_count(piece.encode(), self.merges)
+            if len(piece) <= WORD_SIZE:
+                if len(self.pieces) >= MEMO_SIZE:
+                    self.pieces.clear()
+                self.pieces[piece] = n
         return n
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= MEMO_SIZE:
-            self.clear()
-            self.pieces.clear()
-        self[chunk] = n = sum(map(self.piece, SPLIT.findall(self.lead + chunk)))
+        if (n := self.older.get(chunk)) is None:
+            word = chunk.rstrip(MARKS)
+            if not word.isalpha():
+                n = sum(map(self.piece, SPLIT.findall(" " + chunk)))
+                if "\n" in chunk:  # the end of a line and the beginning of the next one seldom meet again
+                    return n
+            elif len(word) < len(chunk):
+                return self[word] + self.piece(chunk[len(word) :])
+            else:
+                n = merge_count(b" " + chunk.encode(), self.merges)
+        if len(chunk) <= WORD_SIZE:
+            if len(self) >= MEMO_SIZE:
+                self.older = self.copy()
+                self.clear()
+            self[chunk] = n
         return n
 
 
@@ -95,24 +140,19 @@ def load(path: str) -> tuple[Memo, regex.Pattern | None]:
     spec = json.loads(Path(path).read_text(encoding="utf-8"))
     merges = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"])
     added = [t["content"] for t in spec.get("added_tokens", [])]
-    return Memo({m: i for i, m in enumerate(merges)}), regex.compile("|".join(map(regex.escape, added))) if added else None
+    return Memo(Merges(merges)), regex.compile("|".join(map(regex.escape, added))) if added else None
 
 
 def count_plain(text: str, memo: Memo) -> int:
     """Tokens of a text without added tokens. Every space between two other characters starts a piece."""
     if RARE.search(text):
-        return sum(len(merge_letters(p, memo)) for p, _ in ByteLevel(add_prefix_space=False).pre_tokenize_str(text))
+        return sum(memo.piece(text[i:j]) for _, (i, j) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text))
     if MIXED.search(text) or text[:1] == " " or text[-1:] == " ":
         return sum(map(memo.piece, SPLIT.findall(text)))
     first, *rest = text.split(" ")
     return sum(map(memo.piece, SPLIT.findall(first))) + sum(map(memo.__getitem__, rest))
 
 
-def merge_letters(piece: str, memo: Memo) -> range:
-    """The merged symbols of a piece already written in the letters of the vocabulary."""
-    return range(merge_count([*piece], memo.ranks))
-
-
 def count_tokens(text: str, memo: Memo, added: regex.Pattern | None) -> int:
     """Tokens of one text; a string of an added token counts as one."""
     if added is None or not added.search(text):
