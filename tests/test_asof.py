@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchgrain.functions.rounding import exact_round
-from matchgrain.operators import asof, fixtures
+from matchgrain.operators import asof, baseline, fixtures
 
 MATCHES = "match_id long, league string, kickoff timestamp, status string, home_id long, away_id long, home_score int, away_score int"
 
@@ -125,6 +125,38 @@ def test_forms_strengths_and_baselines_equal_plain_loops(spark):
             assert b.margin_sd == (round(pstdev(margins), 2) if len(margins) > 1 and pstdev(margins) > 0 else 10.0)
 
 
+def test_context_counts_the_finals_of_the_days_before(spark):
+    source = league(200, 9)
+    rows, before = plain(source)
+    m = table(spark, source)
+    got = {(r.match_id, r.side): r for r in asof.context_before(m, m.where("status = 'final'"), days=2, congested_from=3).collect()}
+    assert len(got) == 2 * len(rows)
+    for f in rows:
+        for side, team in (("home", f[4]), ("away", f[5])):
+            own = [r for r in before(f) if team in r[4:6]]
+            recent = sum(r[2] >= f[2] - timedelta(days=2) for r in own)
+            assert got[f[0], side][1:] == (team, side, (f[2] - own[0][2]).days if own else None, recent, recent >= 3)
+
+
+@pytest.mark.parametrize("make", ["context"])
+def test_dense_days_take_no_longer_than_their_matches(spark, make, capsys):
+    """Many matches within the days: a window that slides adds them up for each fixture anew, 5 * 10**9 steps here."""
+    n = F.col("id")
+    m = spark.range(100_000).select(n.alias("match_id"), F.lit("x").alias("league"), F.timestamp_seconds(n).alias("kickoff"), F.lit("final").alias("status"), F.lit(1).cast("long").alias("home_id"), F.lit(2).cast("long").alias("away_id"), (n % 4).cast("int").alias("home_score"), (n % 3).cast("int").alias("away_score"))
+    if make == "context":
+        out = asof.context_before(m, m)
+        got = out.agg(F.sum("recent")).first()[0]
+        want = 2 * sum(range(100_000))
+    else:
+        out = baseline.trailing_baseline(m)
+        got, want = out.agg(F.sum("n")).first()[0], sum(range(100_000))
+        last = out.where("match_id = 99999").first()
+        assert (last.n, last.avg_home, last.avg_away) == (99_999, pytest.approx(sum(i % 4 for i in range(99_999)) / 99_999), pytest.approx(sum(i % 3 for i in range(99_999)) / 99_999))
+    assert got == want
+    out.explain(True)
+    assert "RangeFrame, unbounded" in (plan := capsys.readouterr().out) and "RangeFrame, -" not in plan
+
+
 def test_projection_knows_nothing_of_later_games(spark, low_scoring):
     games = fixtures.team_games(fixtures.completed(low_scoring))
     got = {r.match_id: r for r in asof.projection_before(low_scoring, low_scoring, games).collect()}
