@@ -35,22 +35,23 @@ def summary(grouped) -> DataFrame:
 def trailing_baseline(fixtures: DataFrame, days: int = 7) -> DataFrame:
     """For every fixture the baseline of its league over the days strictly before it.
 
-    One range window over microseconds, its upper bound strict. Time is cut into spans of ``days``; a fixture counts in
-    its own span and, as history, in the next, so that a window's partition is two spans of a league, however long the
-    league's history is.
+    A fixture reads the sums over the fixtures before it and those before its days, and takes the second from the first, so
+    the work does not grow with what the days hold. Time is cut into spans of ``days``; a fixture counts in its own span
+    and, as history, in the next, so that a window's partition is two spans of a league, however long the league's history is.
     """
     margin = F.col("home_score") - F.col("away_score")
-    final = F.expr("status = 'final' and home_score is not null and away_score is not null")
-    at = fixtures.select("match_id", "league", "status", "home_score", "away_score", micros(F.col("kickoff")).alias("at"))
-    at = at.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).where(F.col("own") | final)
-    at = at.withColumn("span", F.floor(F.col("at") / (days * DAY)) + F.when(F.col("own"), 0).otherwise(1))
-    w = Window.partitionBy("league", "span").orderBy("at").rangeBetween(-days * DAY, -1)
-    over = lambda x: F.avg(F.when(final, x)).over(w)
-    out = at.select(
-        "own", "match_id", "league", F.count(F.when(final, 1)).over(w).alias("n"), over(F.col("home_score")).alias("avg_home"), over(F.col("away_score")).alias("avg_away"),
-        over(margin).alias("home_advantage"), over((margin == 0).cast("double")).alias("draw_rate"),
-    )
-    return out.where("own").drop("own")
+    values = {"n": F.lit(1), "home": F.col("home_score"), "away": F.col("away_score"), "margin": margin, "draws": (margin == 0).cast("int")}
+    at, length = micros(F.col("kickoff")), days * DAY
+    span = F.floor(at / length)
+    read = lambda when, sign: F.struct(when.alias("at"), F.lit(sign).alias("sign"))
+    reads = fixtures.select("match_id", "league", span.alias("span"), F.explode(F.array(read(at, 1), read(at - length, -1))).alias("r")).select("match_id", "league", "span", "r.*")
+    final = fixtures.where("status = 'final' and home_score is not null and away_score is not null")
+    facts = final.select("league", at.alias("at"), F.explode(F.array(span, span + 1)).alias("span"), *(v.cast("long").alias(f"_{c}") for c, v in values.items()))
+    before = Window.partitionBy("league", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    known = reads.unionByName(facts, allowMissingColumns=True).withColumns({f"_{c}": F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)) for c in values}).where("sign is not null")
+    out = known.groupBy("league", "span", "match_id").agg(*(F.sum(F.col("sign") * F.col(f"_{c}")).alias(f"_{c}") for c in values))
+    part = lambda c, name: F.try_divide(F.col(f"_{c}"), F.col("_n")).alias(name)
+    return out.select("match_id", "league", F.col("_n").alias("n"), part("home", "avg_home"), part("away", "avg_away"), part("margin", "home_advantage"), part("draws", "draw_rate"))
 
 
 def severity(status: Column) -> Column:

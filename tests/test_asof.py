@@ -138,7 +138,7 @@ def test_context_counts_the_finals_of_the_days_before(spark):
             assert got[f[0], side][1:] == (team, side, (f[2] - own[0][2]).days if own else None, recent, recent >= 3)
 
 
-@pytest.mark.parametrize("make", ["context"])
+@pytest.mark.parametrize("make", ["context", "trailing"])
 def test_dense_days_take_no_longer_than_their_matches(spark, make, capsys):
     """Many matches within the days: a window that slides adds them up for each fixture anew, 5 * 10**9 steps here."""
     n = F.col("id")
