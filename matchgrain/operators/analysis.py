@@ -117,8 +117,8 @@ def documents(fixtures: DataFrame, others: DataFrame, form: DataFrame, teams: Da
     """One row for each fixture of two teams from what was known strictly before it.
 
     ``fixtures`` (match_id, which is unique, league, kickoff, status, home_id, away_id, scores) may be some of ``others``,
-    all fixtures of the leagues. ``form`` is that of ``asof.form_before`` under the same ``lookback``; written first, it is made
-    once for strengths and projections too. ``projections`` are those of ``walkforward.projections`` or, without ``source``, of form.
+    all fixtures of the leagues. ``form`` is that of ``asof.form_before`` under the same ``lookback``; of a written
+    ``asof.form_at``, it is made once for strengths and projections too. ``projections`` are those of ``walkforward.projections`` or, without ``source``, of form.
     Columns: match_id, league, kickoff, status, home and away (team, form, context), head_to_head, league_baseline,
     projection, confidence, insights, lookback. Insights hold what is said of the home team's form, of the away team's, of
     the circumstances of both, of meetings and of the projection. A team without games has zeros; a fixture without a

@@ -138,6 +138,16 @@ def test_context_counts_the_finals_of_the_days_before(spark):
             assert got[f[0], side][1:] == (team, side, (f[2] - own[0][2]).days if own else None, recent, recent >= 3)
 
 
+def test_fixtures_of_one_time_share_a_form_and_rows_without_a_time_stay(spark):
+    rows = [("x", utc(2024, 1, 1 + i // 8), "final", 1 + i % 2, 2 - i % 2, i % 3, i % 2) for i in range(32)] + [("x", None, "final", 1, 2, 1, 0), (None, utc(2024, 1, 9), "final", 1, 2, 1, 0)]
+    m = table(spark, rows)
+    games = fixtures.team_games(fixtures.completed(m))
+    assert asof.form_at(m, games).where("league = 'x' and kickoff is not null").count() == 2 * 4
+    form = asof.form_before(m, games)
+    assert form.count() == 2 * len(rows) == asof.strength_before(form, games).count()
+    assert form.where("kickoff is null").count() == form.where("league is null").count() == 2
+
+
 @pytest.mark.parametrize("make", ["context", "trailing"])
 def test_dense_days_take_no_longer_than_their_matches(spark, make, capsys):
     """Many matches within the days: a window that slides adds them up for each fixture anew, 5 * 10**9 steps here."""
